@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill import fixed
-from pagemill.functions.core import SPACE_CLASS, blank_to_null, col, let, strip
+from pagemill.functions.core import SPACE, blank_to_null, col, let, strip
 
 
 def template_variables(template: Column | str, pattern: str = fixed.REQUEST_VARIABLE) -> Column:
@@ -54,7 +54,7 @@ def unknown_variables(template: Column | str, values: Column, pattern: str = fix
 def sanitize_component(name: Column | str) -> Column:
     """A safe file name: illegal characters replaced, dots and blanks stripped, reserved names marked, length cut."""
     cleaned = F.btrim(strip(F.regexp_replace(col(name), fixed.ILLEGAL_NAME_CLASS, "_")), F.lit("."))
-    cleaned = F.regexp_replace(cleaned, SPACE_CLASS + "+", " ")
+    cleaned = F.regexp_replace(cleaned, SPACE + "+", " ")
 
     def finish(text: Column) -> Column:
         reserved = F.upper(F.substring_index(text, ".", 1)).isin(*fixed.RESERVED_NAMES)

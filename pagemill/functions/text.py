@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill import fixed
-from pagemill.functions.core import SPACE_CLASS, col, fold_space, let, literal_map, strip
+from pagemill.functions.core import SPACE, col, count_chars, fold_space, let, literal_map, strip
 
 HASH_ALGORITHM = "md5"
 
@@ -40,22 +40,40 @@ def clean_text(
     raw = col(text)
     tagged = F.contains(raw, F.lit("<")) & F.contains(raw, F.lit(">"))
     plain = F.when(tagged, F.regexp_replace(raw, "<[^>]+>", "")).otherwise(raw)
-    plain = F.replace(F.replace(plain, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
-    plain = F.regexp_replace(plain, r"[\x{a0}\x{3000}]", " ")
-    plain = F.regexp_replace(plain, f"{fixed.ZERO_WIDTH_CLASS}|{fixed.CONTROL_CLASS}", "")
+    for mark, by in (("&nbsp;", " "), ("&amp;", "&"), ("\xa0", " "), ("\u3000", " ")):
+        plain = F.replace(plain, F.lit(mark), F.lit(by))
+    plain = F.regexp_replace(plain, _INVISIBLE, "")
     lines = F.transform(F.split(plain, "\n"), strip)
     patterns = [*junk, *extra_junk]
     if patterns:
         lines = F.filter(lines, lambda line: ~line.rlike(junk_pattern(patterns)))
-    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    return let(F.array_join(lines, "\n"), lambda joined: strip(_one_blank_line(joined)))
+
+
+# Printable ASCII and the Latin to Indic blocks are ruled out first, so most characters cost one comparison.
+_INVISIBLE = f"[[^ -~\\x{{80}}-\\x{{200a}}]&&{fixed.ZERO_WIDTH_CLASS[:-1]}{fixed.CONTROL_CLASS[1:]}]"
+_BLANKS = r"[ \t\f\x{0b}\x{3000}]+"
+
+
+def _one_blank_line(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("\n\n\n")), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(text)
 
 
 def normalize_text(text: Column | str) -> Column:
-    """One newline style, inline blanks folded, lines stripped, at most one blank line. Idempotent."""
-    lined = F.regexp_replace(F.replace(col(text), F.lit("\r\n"), F.lit("\n")), r"[\r\n]", "\n")
-    lined = F.regexp_replace(lined, r"[ \t\f\x{0b}\x{3000}]+", " ")
-    lined = F.array_join(F.transform(F.split(lined, "\n"), strip), "\n")
-    return F.coalesce(strip(F.regexp_replace(lined, r"\n{3,}", "\n\n")), F.lit(""))
+    """One newline style, inline blanks folded, lines stripped, at most one blank line. Idempotent.
+
+    The regex passes are guarded by substring tests, which are far cheaper and fail on most texts.
+    """
+    lined = F.replace(F.replace(col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+    def fold(body: Column) -> Column:
+        needed = F.contains(body, F.lit("  "))
+        for mark in "\t\f\x0b\u3000":
+            needed = needed | F.contains(body, F.lit(mark))
+        folded = F.when(needed, F.regexp_replace(body, _BLANKS, " ")).otherwise(body)
+        return F.array_join(F.transform(F.split(folded, "\n"), strip), "\n")
+
+    return F.coalesce(let(let(lined, fold), lambda body: strip(_one_blank_line(body))), F.lit(""))
 
 
 def split_paragraphs(text: Column | str) -> Column:
@@ -71,14 +89,14 @@ def split_paragraphs(text: Column | str) -> Column:
 def count_words(text: Column | str) -> Column:
     """CJK characters plus runs of ASCII letters and digits."""
     body = F.coalesce(col(text), F.lit(""))
-    return F.regexp_count(body, F.lit(fixed.CJK_CLASS)) + F.regexp_count(body, F.lit("[A-Za-z0-9]+"))
+    return count_chars(body, fixed.CJK_CLASS) + F.regexp_count(body, F.lit("[A-Za-z0-9]+"))
 
 
 def script_ratio(text: Column | str, script: str = fixed.CJK_CLASS) -> Column:
     """Share of ``script`` characters among the characters that are not white space; 0 when there are none."""
     body = col(text)
-    solid = F.length(body) - F.regexp_count(body, F.lit(SPACE_CLASS))
-    return F.coalesce(F.try_divide(F.regexp_count(body, F.lit(script)), solid), F.lit(0.0))
+    solid = F.length(body) - F.regexp_count(body, F.lit(SPACE))
+    return F.coalesce(F.try_divide(count_chars(body, script), solid), F.lit(0.0))
 
 
 def repeat_line_ratio(text: Column | str) -> Column:

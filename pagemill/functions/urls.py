@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill import fixed
-from pagemill.functions.core import SPACE_CLASS, col, let, strip
+from pagemill.functions.core import SPACE, col, let, strip
 
 _SEP = "\x1f"
 _URL = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -154,7 +154,7 @@ def looks_like_url(value: Column | str) -> Column:
     text = strip(value)
     return (
         (text != "")
-        & ~text.rlike(SPACE_CLASS)
+        & ~text.rlike(SPACE)
         & (
             F.contains(text, F.lit("/"))
             | text.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://")

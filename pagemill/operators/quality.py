@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import fixed
-from pagemill.functions.core import SPACE_CLASS, let, strip
+from pagemill.functions.core import NOT_SPACE, let, strip
 from pagemill.functions.text import (
     clean_text, content_hash, count_words, normalize_text, repeat_line_ratio, script_ratio,
 )
-from pagemill.sizes import join_small
+from pagemill.sizes import join_small, spread
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ def quality_gate(text: Column, policy: ContentPolicy = ContentPolicy()) -> Colum
         value if isinstance(value, Column) else F.lit(value)
         for value in (policy.min_length, policy.max_length, policy.min_script_ratio, policy.max_repeat_line_ratio)
     )
-    empty = F.lit(policy.reject_on_empty) & ~text.rlike(_NOT_SPACE)
+    empty = F.lit(policy.reject_on_empty) & ~text.rlike(NOT_SPACE)
 
     def by_repeat(ratio: Column) -> Column:
         return F.when(ratio > repeat_max, verdict("high_repeat_ratio", F.round(ratio, 4), repeat_max))
@@ -64,9 +64,6 @@ def quality_gate(text: Column, policy: ContentPolicy = ContentPolicy()) -> Colum
     )
 
 
-_NOT_SPACE = "[^" + SPACE_CLASS[1:]
-
-
 def process_content(
     df: DataFrame,
     text: str = "text",
@@ -75,14 +72,20 @@ def process_content(
 ) -> DataFrame:
     """Clean, normalise, gate, count and hash; adds ``body, rejected, word_count, content_hash``.
 
-    Rejected rows keep their reason and stay in the result, so one bad row never stops a batch.
+    Rejected rows keep their reason and stay in the result, so one bad row never stops a batch. The four values come
+    out of one generator: a later filter on ``rejected`` is not pushed below it, so no text is cleaned twice.
     """
-    return (
-        df.withColumn("body", normalize_text(clean_text(text, extra_junk)))
-        .withColumn("rejected", quality_gate(F.col("body"), policy))
-        .withColumn("word_count", count_words("body"))
-        .withColumn("content_hash", content_hash("body"))
-    )
+    def measure(body: Column) -> Column:
+        return F.struct(
+            body.alias("body"),
+            quality_gate(body, policy).alias("rejected"),
+            count_words(body).alias("word_count"),
+            content_hash(body).alias("content_hash"),
+        )
+
+    keep = [F.col(c) for c in df.columns]
+    done = let(normalize_text(clean_text(text, extra_junk)), measure)
+    return spread(df).select(*keep, F.inline(F.array(done)))
 
 
 def accepted(processed: DataFrame) -> DataFrame:
