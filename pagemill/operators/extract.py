@@ -107,7 +107,7 @@ def extract_regex(text: Column | str, pattern: Column | str) -> Column:
 def extract_jsonpath(text: Column | str, path: Column | str) -> Column:
     """Values at a path as strings; a ``[*]`` path gives every element, nulls are dropped."""
     rule = F.lit(path) if isinstance(path, str) else path
-    found = F.get_json_object(col(text), rule)
+    found = F.call_function("get_json_object", col(text), rule)
     many = F.array_compact(F.from_json(found, "array<string>"))
     spread_out = F.contains(rule, F.lit("[*]")) & F.startswith(found, F.lit("["))
     return F.when(found.isNull(), F.array().cast("array<string>")).when(spread_out, many).otherwise(F.array(found))
@@ -214,7 +214,7 @@ def extract_many(pages: DataFrame, base_url: str = "url") -> DataFrame:
 
 def extract_many_json(pages: DataFrame, path: str, fields: dict[str, str], text: str = "text") -> DataFrame:
     """JSON lists: the array at ``path`` is flattened, null items are skipped, each item gives one row."""
-    found = F.get_json_object(col(text), F.lit(path))
+    found = F.get_json_object(col(text), path)
     items = F.filter(F.from_json(found, "array<string>"), lambda i: i.isNotNull() & (i != "null"))
     flat = F.when(F.startswith(found, F.lit("[")), items).otherwise(F.array_compact(F.array(found)))
     keep = [c for c in pages.columns if c != text]
