@@ -92,7 +92,6 @@ def request_key(t: Tables):  # noqa: ANN201
 
 
 @query("search_predicate", """
-  WITH k AS (SELECT regexp_extract(lower(text), '^([a-z]+)', 1) AS w FROM benchmark WHERE item_id = 0)
   SELECT doc_id, replace(replace(replace(lang || '_' || source || '%', '\\', '\\\\'), '%', '\\%'), '_', '\\_') AS escaped,
          contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'that with') AS hit, false AS blank FROM documents""")
 def search_predicate(t: Tables):  # noqa: ANN201
@@ -194,10 +193,10 @@ def parse_status(t: Tables):  # noqa: ANN201
 
 
 @query("make_snippet", """
-  WITH b AS (SELECT doc_id, text, 'with the' AS w, instr(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'with the') AS at FROM documents)
-  SELECT doc_id, CASE WHEN at = 0 THEN trim(left(text, 60), chr(10) || ' ')
-         ELSE CASE WHEN at > 31 THEN '…' ELSE '' END || trim(substring(text, greatest(at - 30, 1), least(at - 1 + 8 + 30, length(text)) - greatest(at - 30, 1) + 1), chr(10) || ' ')
-              || CASE WHEN at - 1 + 8 + 30 < length(text) THEN '…' ELSE '' END END AS snippet FROM b""")
+  WITH b AS (SELECT doc_id, text, 'with the' AS w, instr(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'with the') AS pos FROM documents)
+  SELECT doc_id, CASE WHEN pos = 0 THEN trim(left(text, 60), chr(10) || ' ')
+         ELSE CASE WHEN pos > 31 THEN '…' ELSE '' END || trim(substring(text, greatest(pos - 30, 1), least(pos - 1 + 8 + 30, length(text)) - greatest(pos - 30, 1) + 1), chr(10) || ' ')
+              || CASE WHEN pos - 1 + 8 + 30 < length(text) THEN '…' ELSE '' END END AS snippet FROM b""")
 def make_snippet(t: Tables):  # noqa: ANN201
     return t.documents.select("doc_id", X.make_snippet("text", "With the").alias("snippet"))
 

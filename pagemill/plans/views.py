@@ -75,7 +75,7 @@ def task_events(t) -> DataFrame:  # noqa: ANN001
 
 STATUS = {"signup": "pending", "click": "running", "view": "paused", "error": "failed", "purchase": "success"}
 _CASE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in STATUS.items())
-TASK_EVENTS = f"""SELECT user_id::VARCHAR AS task_id, event_id, CASE event_type {_CASE} END AS status, epoch_us(ts) AS micros, ts AS at,
+TASK_EVENTS = f"""SELECT user_id::VARCHAR AS task_id, event_id, CASE event_type {_CASE} END AS status, epoch_us(ts) AS micros,
     json_extract_string(props, '$.k')::BIGINT AS k, value FROM events"""
 
 
