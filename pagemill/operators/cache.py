@@ -72,7 +72,9 @@ def _digits() -> list[tuple[str, Column]]:
         ("day", F.floor(second / 86_400)),
         ("second", second % 86_400),
         ("micro", micros % 1_000_000),
-        *[(f"d{i}", F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("long")) for i in range(8)],
+        # equal times: a million groups by digest, then the digest itself within the one group that is left
+        ("group", F.substring(digest, 1, 5)),
+        ("digest", digest),
     ]
 
 
@@ -80,7 +82,7 @@ def evict_lru(cache: DataFrame, max_size_bytes: int) -> DataFrame:
     """Oldest access first until the total fits; returns the cache with an ``evicted`` flag. 0 means no limit.
 
     The cut-off is found digit by digit, like selecting the k-th element: sizes are summed per value of the next
-    digit (map-side, at most 86,400 to a million groups), a prefix sum tells in which value the limit falls, and only
+    digit (map-side, at most a million groups), a prefix sum tells in which value the limit falls, and only
     that value is looked into by the next digit. No ordered pass over all entries takes place, and equal access times
     are split by the digest of the key. The flag is then a plain comparison with the cut-off.
     """

@@ -1,4 +1,4 @@
 """Queries over the given tables, each with its comparison SQL."""
 
 from pagemill.plans.registry import QUERIES, SQL  # noqa: F401
-from pagemill.plans import changes, extraction, identity, library, quality  # noqa: F401
+from pagemill.plans import catalogue, changes, crawl, extraction, identity, library, quality  # noqa: F401
