@@ -28,6 +28,8 @@ def spread(df: DataFrame, bytes_per_core: int = 32 * 1024 * 1024) -> DataFrame:
     A table of a few megabytes often is one file with one row group, that is one task. Only inputs below
     ``bytes_per_core`` per core are moved; a large table already has more splits than cores and is left in place.
     """
+    if df.isStreaming:  # the trigger bounds a micro-batch and its splits
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if planned_bytes(df) >= cores * bytes_per_core:
         return df

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RESPONSES = T.StructType.fromDDL(
+RESPONSES = (
     "source_id string, url string, status_code int, headers map<string,string>, content binary, encoding string, fetched_at timestamp"
 )
-RULES = T.StructType.fromDDL("source_id string, capability string, field string, rule string, _corrupt_record string")
-CHAPTERS = T.StructType.fromDDL(
+RULES = "source_id string, capability string, field string, rule string, _corrupt_record string"
+CHAPTERS = (
     "id string, book_id string, source_chapter_id string, title string, url string, index int, content string, "
     "content_hash string, word_count int, created_at timestamp, updated_at timestamp"
 )
@@ -22,7 +21,7 @@ def read_responses(spark: SparkSession, path: str, stream: bool = False, max_fil
     return reader.schema(RESPONSES).parquet(path).filter(F.col("status_code") == 200)
 
 
-def read_rules(spark: SparkSession, path: str, schema: T.StructType = RULES) -> tuple[DataFrame, DataFrame]:
+def read_rules(spark: SparkSession, path: str, schema: str = RULES) -> tuple[DataFrame, DataFrame]:
     """Rule rows from JSON lines; rows that do not parse or lack a key come out as rejects instead of failing the read."""
     raw = (
         spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagemill import fixed
 from pagemill.operators.tasks import transition_allowed
 
-EVENT = T.StructType.fromDDL(
+EVENT = (
     "event string, event_id bigint, task_id string, type string, status string, book_id string, total bigint, "
     "completed bigint, failed bigint, error_code string, error_message string, at timestamp"
 )
