@@ -34,7 +34,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     latest = f"{root}/out"
 
     def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{latest}/{number}")
+        batch.write.mode("overwrite").parquet(f"{latest}/current")
 
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", latest)
