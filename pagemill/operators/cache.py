@@ -63,56 +63,42 @@ def invalidate_many(cache: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 # --- capacity -----------------------------------------------------------------------------------------------------
-def _digits() -> list[tuple[str, Column]]:
-    """The eviction order (accessed_at, digest of the key) as a list of digits, coarse to fine."""
-    micros = F.unix_micros("accessed_at")
-    second = F.floor(micros / 1_000_000)
-    digest = F.md5("key")
-    return [
-        ("day", F.floor(second / 86_400)),
-        ("second", second % 86_400),
-        ("micro", micros % 1_000_000),
-        # equal times: a million groups by digest, then the digest itself within the one group that is left
-        ("group", F.substring(digest, 1, 5)),
-        ("digest", digest),
-    ]
+def _fall(entries: DataFrame, digit: Column, need: int) -> tuple | None:
+    """The value of ``digit`` in which the running size reaches ``need``, and what is still needed inside it."""
+    sums = entries.groupBy(digit.alias("d")).agg(F.sum("size_bytes").alias("s"))
+    upto = F.sum("s").over(Window.orderBy("d"))
+    row = sums.select("d", "s", upto.alias("u")).filter(F.col("u") >= need).orderBy("d").first()
+    return None if row is None else (row["d"], need - row["u"] + row["s"])
 
 
 def evict_lru(cache: DataFrame, max_size_bytes: int) -> DataFrame:
     """Oldest access first until the total fits; returns the cache with an ``evicted`` flag. 0 means no limit.
 
-    The cut-off is found digit by digit, like selecting the k-th element: sizes are summed per value of the next
-    digit (map-side, at most a million groups), a prefix sum tells in which value the limit falls, and only
-    that value is looked into by the next digit. No ordered pass over all entries takes place, and equal access times
-    are split by the digest of the key. The flag is then a plain comparison with the cut-off.
+    The order is (accessed_at, digest of the key). The cut-off is found digit by digit, like selecting the k-th
+    element: sizes are summed per day, then per second of the day in which the limit falls, per microsecond of that
+    second, and per digest where access times are equal. Each step aggregates map-side into at most a million groups,
+    reads only the entries of the value found before (a pushed-down time range) and brings one row to the driver. No
+    ordered pass over all entries takes place; the flag is a comparison with the cut-off.
     """
+    kept = F.lit(False)
     if max_size_bytes <= 0:
-        return cache.withColumn("evicted", F.lit(False))
-    digits = _digits()
-    narrow = cache.select(F.col("size_bytes").alias("_size"), *[d.alias(f"_{n}") for n, d in digits])
-    names = [f"_{n}" for n, _ in digits]
-    cut = None
-    for i, name in enumerate(names):
-        prefix = names[:i]
-        if cut is None:
-            sums = narrow.groupBy(name).agg(F.sum("_size").alias("_sum"))
-            sums = sums.withColumn("_need", F.sum("_sum").over(Window.partitionBy()) - max_size_bytes).filter("_need > 0")
-        else:
-            sums = narrow.join(F.broadcast(cut), prefix).groupBy(*prefix, "_need", name).agg(F.sum("_size").alias("_sum"))
-        running = F.sum("_sum").over(Window.partitionBy(*prefix, "_need").orderBy(name))
-        left = (F.col("_need") - F.col("_upto") + F.col("_sum")).alias("_need")
-        cut = (
-            sums.withColumn("_upto", running)
-            .filter(F.col("_upto") >= F.col("_need"))
-            .groupBy(*prefix)
-            .agg(F.min_by(F.struct(F.col(name), left), F.col(name)).alias("_c"))
-            .filter("_c IS NOT NULL")
-            .select(*prefix, "_c.*")
-        )
-    # the entry the limit falls into is evicted too; there is no such entry when the total already fits
-    edge = cut.select(F.struct(*names).alias("_edge")).scalar()
-    at = F.struct(*[d.alias(f"_{n}") for n, d in digits])
-    return cache.withColumn("evicted", F.coalesce(at <= edge, F.lit(False)))
+        return cache.withColumn("evicted", kept)
+    entries = cache.select("size_bytes", "accessed_at", "key")
+    total = entries.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
+    need = total - max_size_bytes
+    if need <= 0:
+        return cache.withColumn("evicted", kept)
+    start, at = 0, F.col("accessed_at")
+    for finer in (86_400_000_000, 1_000_000, 1):
+        digit, need = _fall(entries, F.expr(f"floor((unix_micros(accessed_at) - {start}) / {finer}D)"), need)
+        start += digit * finer
+        span = [F.timestamp_micros(F.lit(edge)) for edge in (start, start + finer)]
+        entries = entries.filter((at >= span[0]) & (at < span[1]))
+    digest = F.md5("key")
+    group, need = _fall(entries, F.substring(digest, 1, 5), need)
+    last, _ = _fall(entries.filter(F.startswith(digest, F.lit(group))), digest, need)
+    edge = F.timestamp_micros(F.lit(start))
+    return cache.withColumn("evicted", (at < edge) | ((at == edge) & (digest <= last)))
 
 
 def enforce_capacity(cache: DataFrame, max_size_bytes: int) -> DataFrame:

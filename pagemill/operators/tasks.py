@@ -122,7 +122,8 @@ def throttle_progress(
     """
     seen = neighbours(events, [task], [at, tie], width, {"_previous": at})
     pause = F.col("_previous").isNull() | (F.col(at) - F.col("_previous") >= interval)
-    marked = seen.withColumn("_start", pause | (F.col(done) >= F.col(total))).drop("_previous")
+    # written once: the burst numbers below read it twice
+    marked = cut_lineage(seen.withColumn("_start", pause | (F.col(done) >= F.col(total))).drop("_previous"))
     bursts = running_sums(marked, [task], [at, tie], width, {"_burst": F.col("_start").cast("long")})
     names, kinds = events.columns, events.schema
     ordered = bursts.repartition(task, "_burst").sortWithinPartitions(task, "_burst", at, tie)

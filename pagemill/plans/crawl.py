@@ -48,11 +48,11 @@ def evict(t: Tables):  # noqa: ANN201
 
 @query("enforce_capacity", """
   WITH r AS (SELECT l_orderkey, l_linenumber, sum(q) OVER () AS total, sum(q) OVER (ORDER BY l_shipdate, md5(k), k ROWS UNBOUNDED PRECEDING) - q AS earlier
-             FROM (SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity::BIGINT AS q, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice::BIGINT AS k FROM lineitem))
+             FROM (SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity::BIGINT AS q, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::BIGINT AS k FROM lineitem))
   SELECT count(*) AS entries, sum(l_orderkey + l_linenumber)::BIGINT AS checksum FROM r WHERE total - earlier <= 700000""")
 def capacity(t: Tables):  # noqa: ANN201
     """Order lines as cache entries: many share an access day."""
-    k = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice").cast("long"))
+    k = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"))
     rows = t.lineitem.select(
         k.alias("key"), F.col("l_quantity").cast("long").alias("size_bytes"), F.col("l_shipdate").cast("timestamp").alias("accessed_at"),
         "l_orderkey", "l_linenumber",

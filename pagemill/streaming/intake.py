@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagemill import fixed
 from pagemill.functions.urls import identity_key, request_key
 from pagemill.operators.merge import upsert_chapters
 from pagemill.operators.quality import ContentPolicy, process_content
@@ -17,10 +20,37 @@ SNAPSHOT_COLUMNS = (
 )
 
 
-def dedup_requests(requests: DataFrame, ttl: str = "30 minutes", at: str = "requested_at") -> DataFrame:
-    """Only the first of equal requests within their time to live passes; the rest is served from the cache."""
+def dedup_requests(
+    requests: DataFrame, ttl_seconds: int = fixed.CACHE_TTL_SECONDS, late: str = "10 minutes", at: str = "requested_at"
+) -> DataFrame:
+    """Requests that must be fetched: the first of its key, then the first after each time to live has run out.
+
+    Built-in deduplication may also swallow a repeat that comes later than the time to live, so the expiry is kept as
+    state: one number per key, dropped by an event-time timer.
+    """
     keyed = requests.withColumn("request_key", request_key("source_id", "method", "url"))
-    return keyed.withWatermark(at, ttl).dropDuplicatesWithinWatermark(["request_key"])
+    names, ttl = keyed.columns, ttl_seconds * 1_000_000
+
+    def serve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        expires = state.get[0] if state.exists else -1
+        rows = pd.concat(frames).sort_values(at)
+        fetch = []
+        for moment in rows[at]:
+            micros = pd.Timestamp(moment).value // 1000
+            fetch.append(micros >= expires)
+            if fetch[-1]:
+                expires = micros + ttl
+        state.update((expires,))
+        state.setTimeoutTimestamp(max(expires // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[fetch, names]
+
+    return (
+        keyed.withWatermark(at, late).groupBy("request_key")
+        .applyInPandasWithState(serve, keyed.schema, "expires bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def prepare_chapters(landed: DataFrame, policy: ContentPolicy, extra_junk: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -38,6 +68,15 @@ def prepare_chapters(landed: DataFrame, policy: ContentPolicy, extra_junk: Itera
     return good, rejects
 
 
+def observed(processed: DataFrame, name: str = "intake") -> DataFrame:
+    """Counts of accepted and rejected rows as metrics of the query that runs anyway; no second pass."""
+    good = F.col("rejected").isNull()
+    return processed.observe(
+        name, F.count(F.lit(1)).alias("rows"), F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected"),
+        F.coalesce(F.sum(F.when(good, F.col("word_count"))), F.lit(0)).alias("words"),
+    )
+
+
 def changed_only(current: DataFrame | None, incoming: DataFrame) -> DataFrame:
     """Rows whose identity is new or whose title, link or text differs; equal rows are skipped."""
     if current is None:
