@@ -1,9 +1,12 @@
 """Running values over long ordered groups, without sorting a whole group in one task.
 
-A window ordered over a key that holds a third of all rows sorts that third in one task. Here the order column is cut
-into fixed ranges; totals per (key, range) are taken map-side and prefix-summed (a table with one row per range), then
-each range is finished on its own. Rows are shuffled once, by (key, range), so a hot key is spread over its ranges.
-Keys must not be null.
+A window ordered over a key that holds a third of all rows sorts that third in one task. Here the order is cut into
+ranges; totals per (key, range) are taken map-side and prefix-summed (a table with one row per range), then each range
+is finished on its own. Rows are shuffled once, by (key, range), so a hot key is spread over its ranges.
+
+Ranges come from a fixed ``width`` of the first order column where its values are known to be spread out (an index that
+is unique in its book), and otherwise from splitters taken from a sample of (key, order) tuples, which also cut through
+ties of the first order column. Keys and order columns must not be null, the order tuple should be unique.
 """
 
 from __future__ import annotations
@@ -13,12 +16,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE = "_range"
-
+from pagemill.functions.core import let
 
-def range_of(order: str, width: float) -> Column:
-    """Range number of an integer, double or timestamp order column."""
-    return F.floor(F.col(order).cast("double") / F.lit(float(width))).cast("long")
+RANGE = "_range"
+SPLITTERS = 1024
+PER_RANGE = 64
+
+
+def with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None = None) -> DataFrame:
+    """Add the range number: rising with the order inside each key."""
+    if width is not None:
+        return df.withColumn(RANGE, F.floor(F.col(order[0]).cast("double") / F.lit(float(width))).cast("long"))
+    place = F.struct(*keys, *order)
+    # an even sample by hash, so that any re-run picks the same tuples; equal tuples count once, so what reaches the
+    # driver is about SPLITTERS * PER_RANGE narrow rows whatever the size and the skew of the input
+    rows = df.count()
+    share = F.lit(min(1.0, SPLITTERS * PER_RANGE / max(rows, 1)))
+    picked = df.select(place.alias("o")).filter(F.pmod(F.xxhash64("o"), F.lit(1 << 40)) < share * (1 << 40))
+    chosen = picked.distinct().orderBy("o")
+    kinds = [(f.name, f.dataType.simpleString()) for f in chosen.schema["o"].dataType.fields]
+    sample = chosen.select(*[F.col(f"o.`{n}`").cast("string").alias(f"c{i}") for i, (n, _) in enumerate(kinds)]).collect()
+    stride = max(PER_RANGE, len(sample) // SPLITTERS)
+    splitters = [_tuple_sql(r, kinds) for r in sample[stride::stride]]
+    if not splitters:
+        return df.withColumn(RANGE, F.lit(0).cast("long"))
+    side = max(1, round(len(splitters) ** 0.5))
+    groups = [splitters[i : i + side] for i in range(0, len(splitters), side)]
+    heads = F.expr(f"array({', '.join(g[0] for g in groups)})")
+    members = F.expr("array(" + ", ".join(f"array({', '.join(g)})" for g in groups) + ")")
+
+    def number(here: Column) -> Column:
+        group = F.size(F.filter(heads, lambda s: s <= here))
+        inside = F.size(F.filter(F.element_at(members, F.greatest(group, F.lit(1))), lambda s: s <= here))
+        return F.when(group == 0, 0).otherwise((group - 1) * side + inside).cast("long")
+
+    return df.withColumn(RANGE, let(place, number))
+
+
+def _tuple_sql(row: Sequence[str], kinds: list[tuple[str, str]]) -> str:
+    """A tuple as a constant; the text form of a value casts back to the same value."""
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in row]
+    return "named_struct(" + ", ".join(f"'{n}', cast({q} AS {k})" for q, (n, k) in zip(quoted, kinds)) + ")"
 
 
 def _before(keys: Sequence[str]):  # noqa: ANN202
@@ -30,10 +68,10 @@ def _local(keys: Sequence[str], order: Sequence[str | Column]):  # noqa: ANN202
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, sums: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None, sums: dict[str, Column]
 ) -> DataFrame:
     """Inclusive running sum of every entry of ``sums`` in the order of ``order`` (its first column is ranged)."""
-    ranged = df.withColumn(RANGE, range_of(order[0], width)).withColumns({f"_v_{n}": c for n, c in sums.items()})
+    ranged = with_ranges(df, keys, order, width).withColumns({f"_v_{n}": c for n, c in sums.items()})
     totals = ranged.groupBy(*keys, RANGE).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     offsets = totals.select(
         *keys, RANGE, *[F.coalesce(F.sum(f"_t_{n}").over(_before(keys)), F.lit(0)).alias(f"_o_{n}") for n in sums]
@@ -45,13 +83,13 @@ def running_sums(
     )
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, out: str = "rn") -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None, out: str = "rn") -> DataFrame:
     """1-based position within the key."""
     return running_sums(df, keys, order, width, {out: F.lit(1).cast("long")})
 
 
 def assign_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, reverse: bool = False, out: str = "index"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None, reverse: bool = False, out: str = "index"
 ) -> DataFrame:
     """0-based position within the key, from the end when ``reverse``."""
     numbered = row_numbers(df, keys, order, width, out)
@@ -62,13 +100,13 @@ def assign_index(
 
 
 def neighbours(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, previous: dict[str, str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None, previous: dict[str, str]
 ) -> DataFrame:
     """Values of the row before, also across range borders (null on the first row of a key).
 
     ``previous`` maps new column names to source columns.
     """
-    ranged = df.withColumn(RANGE, range_of(order[0], width))
+    ranged = with_ranges(df, keys, order, width)
     last = F.max_by(F.struct(*[F.col(c).alias(n) for n, c in previous.items()]), F.struct(*order))
     ends = ranged.groupBy(*keys, RANGE).agg(last.alias("_end"))
     carried = ends.select(

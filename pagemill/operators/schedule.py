@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill import fixed
 from pagemill.functions.values import is_retryable, retry_delay
-from pagemill.operators.ordered import RANGE, neighbours, range_of, row_numbers, running_sums
+from pagemill.operators.ordered import RANGE, neighbours, row_numbers, running_sums, with_ranges
 
 
 def priority_order(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def priority_order(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
 
 
 def politeness_schedule(
-    requests: DataFrame, gap: float = fixed.MIN_REQUEST_GAP_SECONDS, width: float = 3600.0,
+    requests: DataFrame, gap: float = fixed.MIN_REQUEST_GAP_SECONDS, width: float | None = None,
     source: str = "source_id", arrival: str = "arrival", tie: str = "request_id",
 ) -> DataFrame:
     """Earliest start of every request (seconds) with at least ``gap`` between starts of one source.
@@ -24,7 +24,7 @@ def politeness_schedule(
     start = gap * rn + max over the requests up to it of (arrival - gap * rn). Both the position and the maximum are
     taken per time range first and carried over by a prefix, so the queue of one source is never sorted in one task.
     """
-    ranged = requests.withColumn(RANGE, range_of(arrival, width))
+    ranged = with_ranges(requests, [source], [arrival, tie], width)
     here = Window.partitionBy(source, RANGE).orderBy(arrival, tie)
     local = ranged.withColumn("_k", F.row_number().over(here)).withColumn("_slack", F.col(arrival) - F.lit(gap) * F.col("_k"))
     totals = local.groupBy(source, RANGE).agg(F.count("*").alias("_n"), F.max("_slack").alias("_m"))
@@ -39,7 +39,7 @@ def politeness_schedule(
 
 
 def gap_violations(
-    starts: DataFrame, gap: float = fixed.MIN_REQUEST_GAP_SECONDS, width: float = 3600.0,
+    starts: DataFrame, gap: float = fixed.MIN_REQUEST_GAP_SECONDS, width: float | None = None,
     source: str = "source_id", at: str = "started", tie: str = "request_id",
 ) -> DataFrame:
     """Starts that follow the one before at the same source too soon."""
@@ -48,7 +48,7 @@ def gap_violations(
 
 
 def in_flight(
-    intervals: DataFrame, width: float = 3600.0, source: str | None = "source_id", started: str = "started",
+    intervals: DataFrame, width: float | None = None, source: str | None = "source_id", started: str = "started",
     ended: str = "ended",
 ) -> DataFrame:
     """Highest number of requests open at once, per source or overall. An end at a time frees its slot before a start."""
@@ -70,7 +70,7 @@ def in_flight(
 
 def politeness_audit(
     intervals: DataFrame, gap: float = fixed.MIN_REQUEST_GAP_SECONDS, per_source: int = fixed.SOURCE_CONCURRENCY,
-    width: float = 3600.0,
+    width: float | None = None,
 ) -> DataFrame:
     """Per source: requests, starts that came too soon, highest number open at once, and whether limits held."""
     counts = intervals.groupBy("source_id").agg(F.count("*").alias("requests"))
@@ -84,7 +84,7 @@ def politeness_audit(
 
 
 def attempt_history(
-    attempts: DataFrame, width: float = 3600.0, request: str = "request_id", at: str = "at", tie: str = "attempt_id",
+    attempts: DataFrame, width: float | None = None, request: str = "request_id", at: str = "at", tie: str = "attempt_id",
     retry_after: Column | None = None,
 ) -> DataFrame:
     """Number every attempt of a request, with the delay before the next one and whether one is allowed."""

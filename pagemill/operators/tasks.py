@@ -23,7 +23,7 @@ def latest_task_state(events: DataFrame, at: str = "at", tie: str = "event_id")
     return events.groupBy("task_id").agg(F.max_by(F.struct(*rest), F.struct(at, tie)).alias("_r")).select("task_id", "_r.*")
 
 
-def validate_transitions(events: DataFrame, at: str = "at", tie: str = "event_id", width: float = 3600.0) -> DataFrame:
+def validate_transitions(events: DataFrame, at: str = "at", tie: str = "event_id", width: float | None = None) -> DataFrame:
     """Every event with the status before it and a verdict: start, same, allowed or rejected."""
     seen = neighbours(events, ["task_id"], [at, tie], width, {"previous_status": "status"})
     before, status = F.col("previous_status"), F.col("status")
@@ -111,7 +111,7 @@ def failures(items: DataFrame) -> DataFrame:
 
 
 def throttle_progress(
-    events: DataFrame, interval: float = fixed.PROGRESS_INTERVAL_SECONDS, width: float = 3600.0,
+    events: DataFrame, interval: float = fixed.PROGRESS_INTERVAL_SECONDS, width: float | None = None,
     task: str = "task_id", at: str = "at", tie: str = "event_id", done: str = "done", total: str = "total",
 ) -> DataFrame:
     """Per task keep the first event, then one only ``interval`` after the last kept; a final event always passes.

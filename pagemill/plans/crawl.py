@@ -112,7 +112,7 @@ def schedule(t: Tables):  # noqa: ANN201
     requests = t.events.select(
         "event_id", F.col("event_type").alias("source_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("arrival")
     )
-    out = G.politeness_schedule(requests, 1200.0, width=86_400, tie="event_id")
+    out = G.politeness_schedule(requests, 1200.0, tie="event_id")
     return out.select("event_id", F.round(F.col("start_at") - 1704067200, 3).alias("start_at"))
 
 
@@ -128,7 +128,7 @@ _SPANS = """SELECT event_id, event_type AS s, epoch_us(ts) AS a, epoch_us(ts) +
          (SELECT count(*) FROM gaps WHERE gaps.s = q.s AND g < 300000000) = 0 AND (SELECT max(o) FROM open WHERE open.s = q.s) <= 2 AS within_limits
   FROM (SELECT DISTINCT s FROM e) q""")
 def audit(t: Tables):  # noqa: ANN201
-    return G.politeness_audit(_spans(t), 300_000_000, width=24 * HOUR)
+    return G.politeness_audit(_spans(t), 300_000_000)
 
 
 def _spans(t: Tables):  # noqa: ANN202
@@ -185,7 +185,7 @@ _EDGES = ", ".join(f"'{a}>{b}'" for a, b in K.fixed.TASK_TRANSITIONS)
   SELECT event_id, previous_status, status, CASE WHEN previous_status IS NULL THEN 'start' WHEN previous_status = status THEN 'same'
          WHEN previous_status || '>' || status IN ({_EDGES}) THEN 'allowed' ELSE 'rejected' END AS verdict FROM p""")
 def transitions(t: Tables):  # noqa: ANN201
-    out = K.validate_transitions(W.task_events(t), "micros", width=24 * HOUR)
+    out = K.validate_transitions(W.task_events(t), "micros")
     return out.select("event_id", "previous_status", "status", "verdict")
 
 

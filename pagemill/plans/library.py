@@ -160,8 +160,8 @@ def top_n_per_source(t: Tables):  # noqa: ANN201
 @query("assign_index", """
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS "index", count(*) OVER (PARTITION BY source) - row_number() OVER (PARTITION BY source ORDER BY doc_id) AS reversed FROM documents""")
 def assign_index(t: Tables):  # noqa: ANN201
-    up = O.assign_index(t.documents.select("doc_id", "source"), ["source"], ["doc_id"], 100)
-    return O.assign_index(up, ["source"], ["doc_id"], 100, reverse=True, out="reversed")
+    up = O.assign_index(t.documents.select("doc_id", "source"), ["source"], ["doc_id"], None)
+    return O.assign_index(up, ["source"], ["doc_id"], None, reverse=True, out="reversed")
 
 
 # --- merges -------------------------------------------------------------------------------------------------------

@@ -93,9 +93,9 @@ def test_eviction_against_brute_force(spark, limit):
     assert {k for k, v in got.items() if v} == gone
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
+@pytest.mark.parametrize("width", [1, 7, 1000, None])
 def test_ranged_windows_equal_plain_ones(spark, width):
-    rng = random.Random(width)
+    rng = random.Random(width or 0)
     data = [("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 3)}", rng.randint(-50, 200), i, rng.randint(0, 9)) for i in range(400)]
     df = spark.createDataFrame(data, "k string, at long, id long, v long")
     from pyspark.sql import Window
@@ -108,7 +108,16 @@ def test_ranged_windows_equal_plain_ones(spark, width):
     assert {r["id"]: (r["s"], r["n"], r["p"]) for r in out.collect()} == want
 
 
-def test_politeness_schedule_equals_the_recurrence(spark):
+def test_sampled_ranges_cut_through_ties(spark):
+    df = spark.range(40_000).select(F.lit("hot").alias("k"), F.lit(7).alias("at"), "id")
+    ranged = O.with_ranges(df, ["k"], ["at", "id"])
+    sizes = [r["count"] for r in ranged.groupBy(O.RANGE).count().collect()]
+    assert len(sizes) > 500 and max(sizes) < 200
+    assert O.row_numbers(df, ["k"], ["at", "id"], None).filter(F.col("rn") != F.col("id") + 1).count() == 0
+
+
+@pytest.mark.parametrize("width", [7, None])
+def test_politeness_schedule_equals_the_recurrence(spark, width):
     rng = random.Random(2)
     data = [(f"s{rng.randint(0, 2)}", float(rng.randint(0, 60)), i) for i in range(200)]
     df = spark.createDataFrame(data, "source_id string, arrival double, request_id long")
@@ -116,7 +125,7 @@ def test_politeness_schedule_equals_the_recurrence(spark):
     for s, a, i in sorted(data, key=lambda x: (x[1], x[2])):
         last[s] = max(a, last.get(s, -1e9) + 0.5)
         want[i] = last[s]
-    got = {r["request_id"]: r["start_at"] for r in G.politeness_schedule(df, 0.5, width=7).collect()}
+    got = {r["request_id"]: r["start_at"] for r in G.politeness_schedule(df, 0.5, width=width).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
