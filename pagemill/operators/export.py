@@ -23,7 +23,7 @@ INDEX_WIDTH = 10_000
 
 def escape_xml(text: Column | str) -> Column:
     out = col(text)
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+    for char, entity in fixed.XML_ESCAPES:
         out = F.replace(out, F.lit(char), F.lit(entity))
     return out
 
@@ -90,7 +90,7 @@ def export_markdown(books: DataFrame, chapters: DataFrame, heading_level: int =
 # --- e-book parts -------------------------------------------------------------------------------------------------
 def book_uuid(book_id: Column, namespace: str = "book") -> Column:
     """Name-based UUID (version 5, URL namespace), from one SHA-1."""
-    digest = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), F.encode(F.concat(F.lit(namespace + ":"), book_id), "UTF-8")))
+    digest = F.sha1(F.concat(F.unhex(F.lit(fixed.URL_NAMESPACE)), F.encode(F.concat(F.lit(namespace + ":"), book_id), "UTF-8")))
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
     return F.concat_ws(
         "-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)),
@@ -99,26 +99,19 @@ def book_uuid(book_id: Column, namespace: str = "book") -> Column:
 
 
 def iso_utc(moment: Column | str) -> Column:
-    return F.date_format(col(moment), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(col(moment), fixed.UTC_FORMAT)
 
 
 def number_chapters(chapters: DataFrame) -> DataFrame:
     """1-based position and file name of every chapter of its book."""
     numbered = row_numbers(chapters, ["book_id"], ["index"], INDEX_WIDTH, "position")
-    return numbered.withColumn("file_name", F.format_string("chapter_%04d.xhtml", "position"))
+    return numbered.withColumn("file_name", F.format_string(fixed.CHAPTER_FILE, "position"))
 
 
 def chapter_xhtml(title: Column, content: Column) -> Column:
-    paragraphs = F.transform(split_paragraphs(content), lambda p: F.concat(F.lit("    <p>"), escape_xml(p), F.lit("</p>")))
-    body = F.coalesce(
-        blank_to_null(F.array_join(paragraphs, "\n")), F.lit(f"    <p><em>{fixed.EMPTY_CHAPTER}</em></p>")
-    )
-    name = escape_xml(title)
-    return F.concat(
-        F.lit(fixed.XHTML_OPEN + ">\n<head>\n  <title>"), name,
-        F.lit('</title>\n  <link rel="stylesheet" type="text/css" href="style.css"/>\n</head>\n<body>\n  <h1>'), name,
-        F.lit("</h1>\n"), body, F.lit("\n</body>\n</html>\n"),
-    )
+    paragraphs = F.transform(split_paragraphs(content), lambda p: F.format_string(fixed.PARAGRAPH, escape_xml(p)))
+    body = F.coalesce(blank_to_null(F.array_join(paragraphs, "\n")), F.lit(fixed.EMPTY_PARAGRAPH))
+    return F.format_string(fixed.CHAPTER_XHTML, escape_xml(title), body)
 
 
 def export_metadata(books: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -178,50 +171,22 @@ def export_xhtml_parts(
     head = head.join(counts, "id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     title = escape_xml("title")
 
-    opf_meta = F.array_join(
-        F.transform(
-            F.col("_meta"),
-            lambda e: F.concat(F.lit("    <dc:"), e["key"], F.lit(">"), escape_xml(e["value"]), F.lit("</dc:"), e["key"], F.lit(">\n")),
-        ), "",
-    )
+    fill = F.format_string
+    nothing, empty = F.lit(""), F.col("_n") == 0
+    opf_meta = F.array_join(F.transform(F.col("_meta"), lambda e: fill(fixed.OPF_FIELD, e["key"], escape_xml(e["value"]))), "")
     opf_open = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" '
-              'unique-identifier="bookid">\n  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n    <dc:identifier id="bookid">'),
-        F.col("_uid"), F.lit("</dc:identifier>\n"), opf_meta,
-        F.lit('    <meta property="dcterms:modified">'), iso_utc("updated_at"),
-        F.lit('</meta>\n    <meta property="dcterms:created">'), iso_utc("created_at"), F.lit("</meta>\n"),
-        F.when(has_cover, '    <meta name="cover" content="cover-image"/>\n').otherwise(""),
-        F.lit("  </metadata>\n  <manifest>\n"),
-        F.when(
-            has_cover,
-            F.concat(
-                F.lit('    <item id="cover-image" href="'), image, F.lit('" media-type="'), F.col("_media"),
-                F.lit('" properties="cover-image"/>\n    <item id="cover" href="cover.xhtml" media-type="application/xhtml+xml"/>\n'),
-            ),
-        ).otherwise(""),
+        fill(fixed.OPF_OPEN, F.col("_uid"), opf_meta, iso_utc("updated_at"), iso_utc("created_at")),
+        F.when(has_cover, fixed.OPF_COVER_META).otherwise(""),
+        F.lit(fixed.OPF_MANIFEST),
+        F.when(has_cover, fill(fixed.OPF_COVER_ITEMS, image, F.col("_media"))).otherwise(nothing),
     )
     opf_middle = F.concat(
-        F.lit('    <item id="toc" href="toc.xhtml" media-type="application/xhtml+xml" properties="nav"/>\n'
-              '    <item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>\n'
-              '    <item id="css" href="style.css" media-type="text/css"/>\n  </manifest>\n  <spine toc="ncx">\n'),
-        F.when(has_cover, '    <itemref idref="cover"/>\n').when(F.col("_n") == 0, "\n").otherwise(""),
-    )
-    nav_open = F.concat(
-        F.lit(fixed.XHTML_OPEN + ">\n<head>\n  <title>"), title,
-        F.lit(f'</title>\n</head>\n<body>\n  <nav epub:type="toc" id="toc">\n    <h1>{fixed.CONTENTS_TITLE}</h1>\n    <ol>\n'),
-        F.when(F.col("_n") == 0, f"      <li><span>{fixed.NO_CHAPTERS}</span></li>\n").otherwise(""),
-    )
-    ncx_open = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1">\n'
-              '  <head>\n    <meta name="dtb:uid" content="'), F.col("_uid"),
-        F.lit('"/>\n    <meta name="dtb:depth" content="1"/>\n  </head>\n  <docTitle><text>'), title,
-        F.lit("</text></docTitle>\n  <navMap>\n"), F.when(F.col("_n") == 0, "\n").otherwise(""),
-    )
-    cover_page = F.concat(
-        F.lit(fixed.XHTML_OPEN + ' lang="zh-CN">\n  <head>\n    <title>'), title,
-        F.lit('</title>\n    <link rel="stylesheet" type="text/css" href="style.css"/>\n  </head>\n  <body class="cover">\n    <img src="'),
-        image, F.lit('" alt="'), title, F.lit('"/>\n  </body>\n</html>\n'),
+        F.lit(fixed.OPF_LAST_ITEMS + fixed.OPF_SPINE),
+        F.when(has_cover, fixed.OPF_COVER_REF).when(empty, "\n").otherwise(""),
     )
+    nav_open = F.concat(fill(fixed.NAV_OPEN, title), F.when(empty, fixed.NAV_EMPTY).otherwise(""))
+    ncx_open = F.concat(fill(fixed.NCX_OPEN, F.col("_uid"), title), F.when(empty, "\n").otherwise(""))
+    cover_page = fill(fixed.COVER_XHTML, title, image)
     far = 1 << 40
     fixed_parts = [
         ("mimetype", 0, F.lit(fixed.EPUB_MIMETYPE), None),
@@ -229,12 +194,12 @@ def export_xhtml_parts(
         ("OEBPS/style.css", 0, F.lit(fixed.EPUB_CSS), None),
         ("OEBPS/cover.xhtml", 0, cover_page, has_cover),
         ("OEBPS/toc.xhtml", 0, nav_open, None),
-        ("OEBPS/toc.xhtml", far, F.lit("    </ol>\n  </nav>\n</body>\n</html>\n"), None),
+        ("OEBPS/toc.xhtml", far, F.lit(fixed.NAV_CLOSE), None),
         ("OEBPS/toc.ncx", 0, ncx_open, None),
-        ("OEBPS/toc.ncx", far, F.lit("  </navMap>\n</ncx>\n"), None),
+        ("OEBPS/toc.ncx", far, F.lit(fixed.NCX_CLOSE), None),
         ("OEBPS/content.opf", 0, opf_open, None),
         ("OEBPS/content.opf", far, opf_middle, None),
-        ("OEBPS/content.opf", 3 * far, F.lit("  </spine>\n</package>\n"), None),
+        ("OEBPS/content.opf", 3 * far, F.lit(fixed.OPF_CLOSE), None),
     ]
     book_rows = head.select(
         F.col("id").alias("book_id"),
@@ -253,19 +218,13 @@ def export_xhtml_parts(
             )
         ),
     )
-    number = F.col("position").cast("string")
-    name = escape_xml("title")
+    number, file_name = F.col("position"), F.col("file_name")
     chapter_parts = [
-        (F.concat(F.lit("OEBPS/"), F.col("file_name")), F.lit(0), chapter_xhtml(F.col("title"), F.col("content"))),
-        (F.lit("OEBPS/toc.xhtml"), F.col("position"),
-         F.concat(F.lit('      <li><a href="'), F.col("file_name"), F.lit('">'), name, F.lit("</a></li>\n"))),
-        (F.lit("OEBPS/toc.ncx"), F.col("position"),
-         F.concat(F.lit('    <navPoint id="nav'), number, F.lit('" playOrder="'), number, F.lit('">\n      <navLabel><text>'), name,
-                  F.lit('</text></navLabel>\n      <content src="'), F.col("file_name"), F.lit('"/>\n    </navPoint>\n'))),
-        (F.lit("OEBPS/content.opf"), F.col("position"),
-         F.concat(F.lit('    <item id="ch'), number, F.lit('" href="'), F.col("file_name"), F.lit('" media-type="application/xhtml+xml"/>\n'))),
-        (F.lit("OEBPS/content.opf"), F.col("position") + 2 * far,
-         F.concat(F.lit('    <itemref idref="ch'), number, F.lit('"/>\n'))),
+        (F.concat(F.lit("OEBPS/"), file_name), F.lit(0), chapter_xhtml(F.col("title"), F.col("content"))),
+        (F.lit("OEBPS/toc.xhtml"), number, fill(fixed.NAV_ITEM, file_name, escape_xml("title"))),
+        (F.lit("OEBPS/toc.ncx"), number, fill(fixed.NCX_POINT, number, escape_xml("title"), file_name)),
+        (F.lit("OEBPS/content.opf"), number, fill(fixed.OPF_ITEM, number, file_name)),
+        (F.lit("OEBPS/content.opf"), number + 2 * far, fill(fixed.OPF_REF, number)),
     ]
     chapter_rows = (
         number_chapters(chapters).join(books.select(F.col("id").alias("book_id")), "book_id", "left_semi")
