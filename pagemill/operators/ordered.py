@@ -19,24 +19,28 @@ from pyspark.sql import functions as F
 from pagemill.functions.core import let
 
 RANGE = "_range"
-SPLITTERS = 1024
+MOST_RANGES = 1024
 PER_RANGE = 64
 
 
-def with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None = None) -> DataFrame:
-    """Add the range number: rising with the order inside each key."""
+def with_ranges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None = None, ranges: int | None = None
+) -> DataFrame:
+    """Add the range number: rising with the order inside each key. ``ranges`` defaults to four per shuffle partition."""
     if width is not None:
         return df.withColumn(RANGE, F.floor(F.col(order[0]).cast("double") / F.lit(float(width))).cast("long"))
     place = F.struct(*keys, *order)
     # an even sample by hash, so that any re-run picks the same tuples; equal tuples count once, so what reaches the
-    # driver is about SPLITTERS * PER_RANGE narrow rows whatever the size and the skew of the input
+    # driver is about ranges * PER_RANGE narrow rows whatever the size and the skew of the input
+    if ranges is None:
+        ranges = min(MOST_RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.count()
-    share = F.lit(min(1.0, SPLITTERS * PER_RANGE / max(rows, 1)))
+    share = F.lit(min(1.0, ranges * PER_RANGE / max(rows, 1)))
     picked = df.select(place.alias("o")).filter(F.pmod(F.xxhash64("o"), F.lit(1 << 40)) < share * (1 << 40))
     chosen = picked.distinct().orderBy("o")
     kinds = [(f.name, f.dataType.simpleString()) for f in chosen.schema["o"].dataType.fields]
     sample = chosen.select(*[F.col(f"o.`{n}`").cast("string").alias(f"c{i}") for i, (n, _) in enumerate(kinds)]).collect()
-    stride = max(PER_RANGE, len(sample) // SPLITTERS)
+    stride = max(PER_RANGE, len(sample) // ranges)
     splitters = [_tuple_sql(r, kinds) for r in sample[stride::stride]]
     if not splitters:
         return df.withColumn(RANGE, F.lit(0).cast("long"))

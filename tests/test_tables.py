@@ -110,7 +110,7 @@ def test_ranged_windows_equal_plain_ones(spark, width):
 
 def test_sampled_ranges_cut_through_ties(spark):
     df = spark.range(40_000).select(F.lit("hot").alias("k"), F.lit(7).alias("at"), "id")
-    ranged = O.with_ranges(df, ["k"], ["at", "id"])
+    ranged = O.with_ranges(df, ["k"], ["at", "id"], ranges=1024)
     sizes = [r["count"] for r in ranged.groupBy(O.RANGE).count().collect()]
     assert len(sizes) > 500 and max(sizes) < 200
     assert O.row_numbers(df, ["k"], ["at", "id"], None).filter(F.col("rn") != F.col("id") + 1).count() == 0
