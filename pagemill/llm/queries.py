@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import packing, shared, token_file
+from pagemill.llm import packing, shared, simhash, token_file
 from pagemill.llm.tokens import public_file
 from pagemill.session import prepare
 
@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
     return register
 
 
+@query("op4_simhash")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_file("byte_bpe_50k.json"))
