@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import packing, shared, simhash, token_file
+from pagemill.llm import langid, packing, shared, simhash, token_file, toxicity
 from pagemill.llm.tokens import public_file
 from pagemill.session import prepare
 
@@ -28,6 +28,16 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
     return register
 
 
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_id(table(spark, folder, "documents"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op4_simhash")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
