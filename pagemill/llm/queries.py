@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import langid, packing, shared, simhash, token_file, toxicity
+from pagemill.llm import langid, packing, rules, shared, simhash, token_file, toxicity
 from pagemill.llm.tokens import public_file
 from pagemill.session import prepare
 
@@ -43,6 +43,30 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM hit, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
+f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (n_repeat_words * 100 > n_words * 50)::BIGINT + 4 * (n_symbols * 10 > n_words)::BIGINT
+        + 8 * (n_dup_lines * 2 > n_lines)::BIGINT + 16 * (word_chars < n_words * 2)::BIGINT + 32 * (word_chars > n_words * 20)::BIGINT AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
+FROM f
+"""
+
+
+@query("op5_quality_rules", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.quality(table(spark, folder, "documents"))
+
+
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_file("byte_bpe_50k.json"))
