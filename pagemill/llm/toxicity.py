@@ -22,7 +22,7 @@ BITS = 20
 SKIPS = (1, 2, 3)
 SAMPLE_ROWS = 20_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 THRESHOLD = 0.3
 _K = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 #: Bytes of words: letters, digits and everything beyond ASCII.
