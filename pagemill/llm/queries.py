@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import langid, packing, rules, shared, simhash, token_file, toxicity
+from pagemill.llm import langid, packing, rules, secrets, shared, simhash, token_file, toxicity
 from pagemill.llm.tokens import public_file
 from pagemill.session import prepare
 
@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
     return register
 
 
+@query("op1_secret_scan")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
 @query("op2_language_id")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return langid.language_id(table(spark, folder, "documents"))
