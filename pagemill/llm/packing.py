@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.batches import bounded, select, texts
+from pagemill.llm.batches import bounded, select
 from pagemill.llm.tokens import encoder
 from pagemill.session import cut_lineage
 
@@ -40,7 +40,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int =
         enc = encoder(tokenizer)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(texts(batch.column(1))), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 ids += end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1

@@ -9,17 +9,23 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The pattern that the byte-level pre-tokenizer is defined by.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_NOT_A_CUT = re.compile(r" (?=\s|\Z)")
+#: A space before white space or the end is no cut; the zero byte marks cuts.
+_NOT_A_CUT = r" ([\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)|\x00"
 _CUT = re.compile(r"(?= \S)")
-MOST_WORDS = 400_000
-MOST_PIECES = 1_200_000
+#: Beyond these code points Unicode versions may differ; the capital dotted I changes its length when lowered.
+_FAR = re.compile("[^\x00-\u024f]|\u0130")
+MOST_KNOWN = 2_000_000
 
 
 def _kind(path: str) -> tuple[str, str]:
@@ -42,7 +48,8 @@ def _kind(path: str) -> tuple[str, str]:
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, one instance per Python worker and tokenizer file.
 
-    The two memories are bounded; a full one is emptied, which costs time and changes nothing else.
+    Words and the pieces that the pre-tokenizer cuts them into are remembered together. The memory is bounded; a full one is
+    emptied, which costs time and changes nothing else.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,52 +63,76 @@ class Encoder:
         self._pattern = regex.compile(pattern) if pattern else None
         with open(path, encoding="utf-8") as f:
             self._special = [t["content"] for t in json.load(f).get("added_tokens", [])]
-        self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _plain(self, word: str) -> bool:
-        """Cutting the word by the pattern is the same as what the tokenizer does with it."""
-        if any(s in word for s in self._special):
-            return False
-        if self.kind == "bytes":
-            return word.isascii() or max(word) < "\u0250"
-        return "'" not in word and (word.isascii() or (max(word) < "\u0250" and "İ" not in word)) and (
-            word.isascii() or unicodedata.is_normalized("NFC", word)
-        )
-
-    def _word(self, word: str) -> bytes:
-        if not self._plain(word):
-            return self._whole(word)
-        out = []
-        for piece in self._pattern.findall(word if self.kind == "bytes" else word.lower()):
-            ids = self._pieces.get(piece)
-            if ids is None:
-                ids = self._pieces[piece] = self._whole(piece)
-            out.append(ids)
-        return b"".join(out)
-
-    @staticmethod
-    def _cuts(text: str) -> list[str]:
-        if _NOT_A_CUT.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self._known: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        done = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in done)]
+
+    def _pieces(self, word: str) -> list[str]:
+        """What the pre-tokenizer cuts a word into, or the word itself where that is not plain to see."""
+        lowered = word if self.kind == "bytes" else word.lower()
+        if word[:1] == " ":  # the common cases: letters, or letters and one closing mark
+            if word[1:].isalpha() and (word.isascii() or not _FAR.search(word)):
+                return [lowered]
+            if word[-1:] in ".,:;" and word[1:-1].isalpha() and (word.isascii() or not _FAR.search(word)):
+                return [lowered[:-1], word[-1]]
+        if any(s in word for s in self._special) or _FAR.search(word):
+            return [word]
+        if self.kind == "words" and ("'" in word or not (word.isascii() or unicodedata.is_normalized("NFC", word))):
+            return [word]
+        return self._pattern.findall(lowered)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words not met before; what their pieces need is encoded in one call."""
+        known = self._known
+        cuts = [self._pieces(word) for word in words]
+        new = list(set(chain.from_iterable(cuts)).difference(known))
+        known.update(zip(new, self._whole(new), strict=True))
+        for word, pieces in zip(words, cuts, strict=True):
+            if len(pieces) > 1:
+                known[word] = b"".join([known[p] for p in pieces])
+            elif not pieces:
+                known[word] = b""
+            elif pieces[0] != word:
+                known[word] = known[pieces[0]]
+
+    def _one(self, text: str) -> bytes:
+        words = _CUT.split(text)
+        self._learn(list(set(words).difference(self._known)))
+        return b"".join([self._known[w] for w in words])
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of every text of a column; null reads as empty. Arrow cuts the texts and finds the distinct words of the
+        batch, so that only these are looked up; their ids are then gathered in numpy."""
+        column = column.fill_null("") if column.null_count else column
         if self.kind == "other":
-            return [self._whole(t) for t in texts]
-        if len(self._words) > MOST_WORDS:
-            self._words.clear()
-        if len(self._pieces) > MOST_PIECES:
-            self._pieces.clear()
-        cut = [self._cuts(t) for t in texts]
-        known = self._words
-        for word in set().union(*cut).difference(known):
-            known[word] = self._word(word)
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+            return self._whole(column.to_pylist())
+        if len(self._known) > MOST_KNOWN:
+            self._known.clear()
+        odd = pc.match_substring_regex(column, _NOT_A_CUT)
+        usual = column.filter(pc.invert(odd))
+        lists = pc.split_pattern(pc.replace_substring(usual, " ", "\0 "), "\0")
+        coded = lists.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self._learn([w for w in words if w not in self._known])
+        ids = [self._known[w] for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        count = size[index]
+        end = np.cumsum(count)
+        at = np.repeat(first[index] - end + count, count) + np.arange(count.sum())
+        flat = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        cut = (4 * np.r_[0, end][lists.offsets.to_numpy()]).tolist()
+        plain = iter(zip(cut, cut[1:], strict=False))
+        out = []
+        for strange, text in zip(odd.to_pylist(), column, strict=True):
+            if strange:
+                out.append(self._one(text.as_py()))
+            else:
+                lo, hi = next(plain)
+                out.append(flat[lo:hi])
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

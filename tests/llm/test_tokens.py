@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,7 +30,7 @@ def test_cuts_do_not_change_ids(name):
     @given(st.lists(st.sampled_from([" ", "  ", "\n", "\t ", "don't", "It's", "abc", "\u00c9t\u00e9", "e\u0301", "\u0130", "\u4e2d", "42", "!?", ".", "<|endoftext|>", "<|ENDOFTEXT|>", "\x1c", "\u00a0", "\u03a3", "Word.", "\r\n"])))
     def check(parts):
         text = "".join(parts)
-        assert encoder(public_file(name)).encode([text])[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder(public_file(name)).encode(pa.array([None, text, "x"]))[1] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     check()
 
@@ -48,6 +49,8 @@ def test_token_file_round_trip(rows):
 def test_token_file_many_blocks():
     ids = np.random.default_rng(1).choice([3, 300, 70_000, 2**31], 20_000).astype(np.uint32)
     file = token_file.TokenFile(b"".join(token_file.pack_file([1], np.array([20_000]), ids)))
+    for lo, hi in ((0, 20_000), (511, 513), (64, 64), (1, 19_999), (700, 5000)):
+        assert (file.span(lo, hi) == ids[lo:hi]).all()
     pick = np.random.default_rng(2).permutation(20_000)
     assert (file.take(pick) == ids[pick]).all()
 
