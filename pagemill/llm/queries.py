@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import langid, packing, rules, secrets, shared, simhash, token_file, toxicity
+from pagemill.llm import decontaminate, langid, packing, rules, secrets, shared, simhash, token_file, toxicity
 from pagemill.llm.tokens import public_file
 from pagemill.session import prepare
 
@@ -77,6 +77,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_file("byte_bpe_50k.json"))
 
 
+@query("op9_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op10_token_file")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     files = token_file.write_tokens(table(spark, folder, "documents"), public_file("word_bpe_49k.json"), shared.new_folder(spark, "tokens"))
