@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pagemill.llm import shared
-from pagemill.llm.batches import bounded, texts
+from pagemill.llm.batches import bounded
 from pagemill.llm.tokens import encoder
 from pagemill.session import cut_lineage
 
@@ -108,8 +108,30 @@ class TokenFile:
             where, shift = rank, shift + CHUNK_BITS
         return out
 
+    def _rank(self, level: int, at: int) -> int:
+        """Ids before position ``at`` of a level that go on to the next one."""
+        _, bits, ranks = self._levels[level]
+        block, word = at // RANK_BITS, at >> 6
+        ones = int(np.bitwise_count(bits[block * (RANK_BITS // 64) : word]).sum())
+        if at & 63:
+            ones += int(np.bitwise_count(bits[word] & np.uint64((1 << (at & 63)) - 1)))
+        return int(ranks[block]) + ones
+
+    def span(self, lo: int, hi: int) -> np.ndarray:
+        """Ids of the tokens from ``lo`` to before ``hi``: their codes stand in a row on every level."""
+        out, live = np.zeros(hi - lo, np.uint32), np.arange(hi - lo)
+        for level, (low, bits, _) in enumerate(self._levels):
+            out[live] |= low[lo:hi].astype(np.uint32) << np.uint32(CHUNK_BITS * level)
+            more = np.unpackbits(bits[lo >> 6 : (hi + 63) >> 6].view(np.uint8), bitorder="little")[lo & 63 :][: hi - lo]
+            live = live[more.view(bool)]
+            if not len(live):
+                break
+            lo = self._rank(level, lo)
+            hi = lo + len(live)
+        return out
+
     def document(self, k: int) -> np.ndarray:
-        return self.take(np.arange(int(self.starts[k]), int(self.starts[k + 1])))
+        return self.span(int(self.starts[k]), int(self.starts[k + 1]))
 
 
 WRITTEN = "part int, seq int, path string, n_docs long, n_tokens long"
@@ -144,7 +166,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
 
         total = 0
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(texts(batch.column(1))), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 names.append(doc)
                 held.append(ids + end)
                 total += len(held[-1]) // 4
@@ -178,7 +200,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 lo = 0
                 while lo < count:  # some thousand tokens at a time, documents whole
                     hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + (1 << 18), "right")) - 1)
-                    ids = file.take(np.arange(starts[lo], starts[hi])).astype("<u4").tobytes()
+                    ids = file.span(int(starts[lo]), int(starts[hi])).astype("<u4").tobytes()
                     cut = 4 * (starts[lo : hi + 1] - starts[lo])
                     crc = [zlib.crc32(ids[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                     named = pa.array(file.doc_ids[lo:hi], mask=file.present[lo:hi] == 0)
