@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontaminate, langid, ngram_lm, packing, rules, secrets, shared, simhash, token_file, toxicity
+from pagemill.llm import decontaminate, langid, ngram_lm, packing, rules, secrets, shared, simhash, suffixes, token_file, toxicity
 from pagemill.llm.tokens import public_file
 from pagemill.session import prepare
 
@@ -72,6 +72,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality(table(spark, folder, "documents"))
 
 
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents"))
+
+
 @query("op7_lm_scores")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_lm.lm_scores(table(spark, folder, "documents"))
