@@ -20,8 +20,11 @@ ORACLE_SQL = None
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose text has letters, and so a language; the model is learned from the labelled rows of ``docs``."""
+    """Documents whose text has letters, and so a language; the model is learned from the labelled rows of ``docs``. Without
+    any label the letters alone decide."""
     langs, matrix = langid.train(docs.filter(fold("doc_id", 5) != 0))
+    if not langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     judged = langid.identify(docs, langs, matrix)
     return judged.filter(F.col("lang_pred") != langid.UNKNOWN).select(*[f"`{c}`" for c in docs.columns])
 
