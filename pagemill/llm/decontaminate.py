@@ -24,9 +24,10 @@ SEGMENT = 120
 EDIT_SHARE = 0.12
 LEAST_CHARS = 20
 BLOCK_BYTES = 4 * 1024 * 1024
-_P = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 20
+CELLS = 1 << 22
+RARE = 6
 
 
 def normal(text: str) -> str:
@@ -38,14 +39,14 @@ def codes(text: str) -> np.ndarray:
 
 
 def grams(code: np.ndarray) -> np.ndarray:
-    """Hash of the q-gram that starts at each place."""
-    if len(code) < Q:
+    """The q-gram that starts at each place, mixed. Characters are folded to a byte, so that a q-gram of 7 is one masked word;
+    equal characters stay equal, so no shared q-gram is missed."""
+    n = len(code) - Q + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    wide = code.astype(np.uint64)
-    h = np.zeros(len(code) - Q + 1, np.uint64)
-    for k in range(Q):
-        h = h * _P + wide[k : len(code) - Q + 1 + k]
-    h *= _MIX
+    folded = np.append((code ^ (code >> np.uint32(8))).astype(np.uint8), np.zeros(8, np.uint8))
+    words = np.lib.stride_tricks.as_strided(folded, (n, 8), (1, 1))
+    h = (np.ascontiguousarray(words).view("<u8")[:, 0] & np.uint64((1 << 8 * Q) - 1)) * _MIX
     return h ^ (h >> np.uint64(32))
 
 
@@ -62,6 +63,9 @@ class Index:
     first: np.ndarray  # entries of each key
     entry_segment: np.ndarray
     entry_place: np.ndarray
+    rare_first: np.ndarray  # the same without the commonest places of each segment
+    rare_segment: np.ndarray
+    rare_bound: np.ndarray
     maybe: np.ndarray
 
 
@@ -91,7 +95,15 @@ def build_index(rows: list[tuple], edit_share: float = EDIT_SHARE) -> Index:
     keys, first = np.unique(key[order], return_index=True)
     maybe = np.zeros(1 << FILTER_BITS, bool)
     maybe[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Index(items, np.array(item, np.int64), segment, budget, bound, keys, np.r_[first, len(key)], owner[order], place[order], maybe)
+    first, owner = np.r_[first, len(key)], owner[order].astype(np.int32)
+    often = np.repeat(np.diff(first), np.diff(first))  # places in all segments that hold the q-gram
+    rank = np.lexsort((-often, owner))
+    within = np.arange(len(rank)) - np.searchsorted(owner[rank], owner[rank])
+    skipped = np.maximum(bound - RARE, 0)
+    rare = np.ones(len(key), bool)
+    rare[rank[within < skipped[owner[rank]]]] = False
+    rare_first = np.r_[0, np.cumsum(rare)][first]
+    return Index(items, np.array(item, np.int64), segment, budget, bound, keys, first, owner, place[order], rare_first, owner[rare], bound - skipped, maybe)
 
 
 def align(text: str, segment: str, budget: int) -> tuple[int, int, int] | None:
@@ -118,10 +130,44 @@ def align(text: str, segment: str, budget: int) -> tuple[int, int, int] | None:
     return (int(row[end]), int(start[end]), end) if row[end] <= budget else None
 
 
+def least_edits(text: str, segment: str) -> int:
+    """Edits of the best region, by Myers' bit-parallel columns: one whole-number word holds a column of the table."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(segment):
+        where[c] = where.get(c, 0) | 1 << i
+    m = len(segment)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    best = m
+    for c in text:
+        eq = where.get(c, 0)
+        x = eq | down
+        d0 = ((((x & up) + up) ^ up) | x) & full
+        hp, hn = down | ~(d0 | up) & full, up & d0
+        if hp & top:
+            score += 1
+        elif hn & top:
+            score -= 1
+            if score < best:
+                best = score
+        hp, hn = hp << 1 & full, hn << 1 & full
+        up, down = hn | ~(d0 | hp) & full, hp & d0
+    return best
+
+
+def _entries(first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of each key in a row, and how many each has."""
+    count = (first[key + 1] - first[key]).astype(np.int32)
+    return np.repeat((first[key] - np.cumsum(count) + count).astype(np.int32), count) + np.arange(count.sum(), dtype=np.int32), count
+
+
 def find(batch: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, stop, edits) of the best region per text and item; places are in the normalized text."""
     if not len(index.keys):
         return []
+    step = max(1, CELLS // len(index.segment))
+    if len(batch) > step:  # the table of texts and segments below stays bounded
+        return [(k + r, *rest) for k in range(0, len(batch), step) for r, *rest in find(batch[k : k + step], index)]
     clean = [normal(t) for t in batch]
     gap = "\0" * Q  # no q-gram of a segment reaches over it
     size = np.array([len(c) + Q for c in clean], np.int64)
@@ -132,16 +178,28 @@ def find(batch: list[str], index: Index) -> list[tuple[int, int, int, int, int]]
     key[key == len(index.keys)] = 0
     real = index.keys[key] == h[at]
     at, key = at[real], key[real]
-    count = index.first[key + 1] - index.first[key]
-    entry = np.repeat(index.first[key] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    place = np.repeat(at, count)
-    segment = index.entry_segment[entry]
-    row = np.searchsorted(begin, place, "right") - 1
+    row = (np.searchsorted(begin, at, "right") - 1).astype(np.int32)
+    base = row * np.int32(len(index.segment))
+    # first without the commonest q-grams of each segment, which lowers the bound by as many; few texts are left
+    entry, count = _entries(index.rare_first, key)
+    shared = np.bincount(np.repeat(base, count) + index.rare_segment[entry], minlength=len(batch) * len(index.segment))
+    may = shared.reshape(len(batch), -1) >= index.rare_bound
+    some = may.any(1)[row]
+    at, key, base = at[some], key[some], base[some]
+    entry, count = _entries(index.first, key)
+    cell = np.repeat(base, count) + index.entry_segment[entry]
+    enough = np.flatnonzero(may.ravel()[cell])
+    entry, place, cell = entry[enough], np.repeat(at, count)[enough], cell[enough].astype(np.int64)
+    row, segment = cell // len(index.segment), cell % len(index.segment)
     width = 2 * index.budget[segment] + 1
     most = int(size.max()) + SEGMENT
     band = (place - begin[row] - index.entry_place[entry] + SEGMENT * 2) // width  # from 0 on
     pairs = (row * len(index.segment) + segment) * (most + 2 * SEGMENT + 2)
-    bands, shared = np.unique(np.r_[pairs + band, pairs + band + 1], return_counts=True)  # a band and the half before it
+    # each in a band and the half before it; a place of the segment counts once in a band, however often the text repeats
+    seen = np.sort(np.r_[pairs + band, pairs + band + 1] * SEGMENT + np.tile(index.entry_place[entry], 2))
+    seen = seen[np.r_[True, seen[1:] != seen[:-1]]] // SEGMENT if len(seen) else seen
+    new = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]]) if len(seen) else np.zeros(0, np.int64)
+    bands, shared = seen[new], np.diff(np.r_[new, len(seen)])
     segment = bands // (most + 2 * SEGMENT + 2) % len(index.segment)
     enough = shared >= index.bound[segment]
     bands, segment = bands[enough], segment[enough]
@@ -151,7 +209,8 @@ def find(batch: list[str], index: Index) -> list[tuple[int, int, int, int, int]]
         k, wide, pattern = int(index.budget[s]), int(2 * index.budget[s] + 1), index.segment[s]
         low = (b - 1) * wide - 2 * SEGMENT  # the band spans diagonals [low, low + 2 wide)
         lo, hi = max(0, low - k), max(0, low + 2 * wide + len(pattern) + k)
-        found = align(clean[r][lo:hi], pattern, k)
+        region = clean[r][lo:hi]
+        found = align(region, pattern, k) if pattern in region or least_edits(region, pattern) <= k else None
         if found:
             key = (r, int(index.item[s]))
             best[key] = min(best.get(key, (1 << 30, 0, 0)), (found[0], lo + found[1], lo + found[2]))
