@@ -62,6 +62,9 @@ def invalidate_many(cache: DataFrame, targets: DataFrame) -> DataFrame:
     return cache.join(links, ["source_id", "url"], "left_anti").join(whole, "source_id", "left_anti")
 
 
+NEVER = "1900-01-01 00:00:00"
+
+
 # --- capacity -----------------------------------------------------------------------------------------------------
 def _fall(entries: DataFrame, digit: Column, need: int) -> tuple | None:
     """The value of ``digit`` in which the running size reaches ``need``, and what is still needed inside it."""
@@ -78,26 +81,28 @@ def evict_lru(cache: DataFrame, max_size_bytes: int) -> DataFrame:
     element: sizes are summed per day, then per second of the day in which the limit falls, per microsecond of that
     second, and per digest where access times are equal. Each step aggregates map-side into at most a million groups,
     reads only the entries of the value found before (a pushed-down time range) and brings one row to the driver. No
-    ordered pass over all entries takes place; the flag is a comparison with the cut-off.
+    ordered pass over all entries takes place; the flag is a comparison with the cut-off. An entry without an access time is
+    the oldest.
     """
     kept = F.lit(False)
     if max_size_bytes <= 0:
         return cache.withColumn("evicted", kept)
-    entries = cache.select("size_bytes", "accessed_at", "key")
+    at = F.coalesce("accessed_at", F.lit(NEVER).cast("timestamp"))
+    entries = cache.select("size_bytes", at.alias("accessed_at"), F.coalesce("key", F.lit("")).alias("key"))
     total = entries.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
     need = total - max_size_bytes
     if need <= 0:
         return cache.withColumn("evicted", kept)
-    start, at = 0, F.col("accessed_at")
+    start = 0
     for finer in (86_400_000_000, 1_000_000, 1):
         digit, need = _fall(entries, F.expr(f"floor((unix_micros(accessed_at) - {start}) / {finer}D)"), need)
         start += digit * finer
         span = [F.timestamp_micros(F.lit(edge)) for edge in (start, start + finer)]
-        entries = entries.filter((at >= span[0]) & (at < span[1]))
+        entries = entries.filter((F.col("accessed_at") >= span[0]) & (F.col("accessed_at") < span[1]))
     digest = F.md5("key")
     group, need = _fall(entries, F.substring(digest, 1, 5), need)
     last, _ = _fall(entries.filter(F.startswith(digest, F.lit(group))), digest, need)
-    edge = F.timestamp_micros(F.lit(start))
+    edge, digest = F.timestamp_micros(F.lit(start)), F.md5(F.coalesce("key", F.lit("")))
     return cache.withColumn("evicted", (at < edge) | ((at == edge) & (digest <= last)))
 
 

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from pagemill import fixed
 from pagemill.functions.core import blank_to_null, col, fold_space, let, strip
-from pagemill.sizes import spread
 
 NODE = (
     "node: int, last: int, parent: int, depth: int, tag: string, id: string, classes: array<string>, "
@@ -158,7 +157,7 @@ def shred_html(df: DataFrame, html: str = "html") -> DataFrame:
                 texts = pa.array(["".join(p.pieces) for p in pages], type=pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, nodes, texts], [*keep, "nodes", "page_text"])
 
-    return spread(df).mapInArrow(parse, T.StructType([*df.schema.fields, *added.fields]))
+    return df.mapInArrow(parse, T.StructType([*df.schema.fields, *added.fields]))
 
 
 def node_table(shredded: DataFrame, keys: Iterable[str]) -> DataFrame:

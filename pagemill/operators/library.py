@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import contains_keyword, fold_ascii_case, make_snippet
-from pagemill.sizes import join_small, spread
+from pagemill.sizes import join_small
 
 
 # --- scans --------------------------------------------------------------------------------------------------------
@@ -76,7 +76,7 @@ def search_many(chapters: DataFrame, keywords: list[str], content: str = "conten
         lambda k: F.contains(fold_ascii_case(F.col("_body")), fold_ascii_case(k)),
     )
     return (
-        spread(chapters).withColumn("_body", F.col(content))
+        chapters.withColumn("_body", F.col(content))
         .select("book_id", "id", "index", "_body", F.explode(found).alias("keyword"))
         .withColumn("snippet", make_snippet("_body", F.col("keyword")))
         .drop("_body")

@@ -11,16 +11,21 @@ from pagemill.functions.urls import identity_key
 BOOK_REFRESHED = ("url", "title", "author", "intro", "cover_url", "latest_chapter", "status")
 
 
-def _latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the last by ``order``; combined map-side, so repeats of a hot key never travel."""
+def _latest(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row per key, the last by ``order``; combined map-side, so repeats of a hot key never travel. Rows that tie are
+    told apart by a digest of their values, so that every run picks the same one."""
     rest = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
+    digest = F.md5(F.to_json(F.struct(*rest)))
+    place = F.struct(F.col(order), digest) if order else digest
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_r"))
     return picked.select(*keys, "_r.*")
 
 
-def upsert_books(books: DataFrame, drafts: DataFrame, now: Column) -> DataFrame:
-    """Match on (source_id, source_book_id): refresh seven fields, keep id and creation time, merge metadata."""
+def upsert_books(books: DataFrame, drafts: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    """Match on (source_id, source_book_id): refresh seven fields, keep id and creation time, merge metadata. Repeated drafts
+    of a book collapse to one, the last by ``order`` if there is such a column."""
     keys = ["source_id", "source_book_id"]
+    drafts = _latest(drafts.select(*keys, *BOOK_REFRESHED, "extra", *([order] if order else [])), keys, order)
     fresh = drafts.select(
         *keys, *[F.col(c).alias(f"_new_{c}") for c in BOOK_REFRESHED], F.col("extra").alias("_extra"), F.lit(True).alias("_hit")
     )
@@ -64,7 +69,9 @@ SOURCE_DEFINITION = ("name", "version", "spec_version", "homepage", "license", "
 
 
 def sync_catalogue(index: DataFrame, found: DataFrame, now: Column) -> DataFrame:
-    """Definitions found on storage against the index: insert, update (switches and health stay), delete."""
+    """Definitions found on storage against the index: insert, update (switches and health stay), delete.
+    A source found several times counts once, with its greatest version."""
+    found = _latest(found.select("source_id", *SOURCE_DEFINITION), ["source_id"], "version")
     fresh = found.select("source_id", *[F.col(c).alias(f"_new_{c}") for c in SOURCE_DEFINITION], F.lit(True).alias("_hit"))
     joined = index.withColumn("_old", F.lit(True)).join(fresh, "source_id", "full_outer")
     hit, known = F.col("_hit").isNotNull(), F.col("_old").isNotNull()
@@ -80,8 +87,10 @@ def sync_catalogue(index: DataFrame, found: DataFrame, now: Column) -> DataFrame
     return joined.withColumns(cols).drop("_old", "_hit", *[f"_new_{c}" for c in SOURCE_DEFINITION])
 
 
-def install_source(index: DataFrame, installs: DataFrame, now: Column) -> DataFrame:
-    """Install or overwrite: the previous version moves only when the version really changed."""
+def install_source(index: DataFrame, installs: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    """Install or overwrite: the previous version moves only when the version really changed. Repeated installs of a source
+    collapse to one, the last by ``order`` if there is such a column."""
+    installs = _latest(installs.select("source_id", *SOURCE_DEFINITION, *([order] if order else [])), ["source_id"], order)
     fresh = installs.select("source_id", *[F.col(c).alias(f"_new_{c}") for c in SOURCE_DEFINITION], F.lit(True).alias("_hit"))
     joined = index.withColumn("_old", F.lit(True)).join(fresh, "source_id", "full_outer")
     hit, known = F.col("_hit").isNotNull(), F.col("_old").isNotNull()

@@ -6,7 +6,8 @@ is finished on its own. Rows are shuffled once, by (key, range), so a hot key is
 
 Ranges come from a fixed ``width`` of the first order column where its values are known to be spread out (an index that
 is unique in its book), and otherwise from splitters taken from a sample of (key, order) tuples, which also cut through
-ties of the first order column. Keys and order columns must not be null, the order tuple should be unique.
+ties of the first order column. Null keys form a key of their own and null order values come first; the order tuple should
+be unique.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from pagemill.functions.core import let
 
 RANGE = "_range"
-MOST_RANGES = 1024
 PER_RANGE = 64
 
 
@@ -28,12 +28,13 @@ def with_ranges(
 ) -> DataFrame:
     """Add the range number: rising with the order inside each key. ``ranges`` defaults to four per shuffle partition."""
     if width is not None:
-        return df.withColumn(RANGE, F.floor(F.col(order[0]).cast("double") / F.lit(float(width))).cast("long"))
+        first = F.floor(F.col(order[0]).cast("double") / F.lit(float(width))).cast("long")
+        return df.withColumn(RANGE, F.coalesce(first, F.lit(-(1 << 62))))
     place = F.struct(*keys, *order)
     # an even sample by hash, so that any re-run picks the same tuples; equal tuples count once, so what reaches the
     # driver is about ranges * PER_RANGE narrow rows whatever the size and the skew of the input
     if ranges is None:
-        ranges = min(MOST_RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        ranges = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.count()
     share = F.lit(min(1.0, ranges * PER_RANGE / max(rows, 1)))
     picked = df.select(place.alias("o")).filter(F.pmod(F.xxhash64("o"), F.lit(1 << 40)) < share * (1 << 40))
@@ -59,10 +60,20 @@ def with_ranges(
 
 def _tuple_sql(row: Sequence[str], kinds: list[tuple[str, str]]) -> str:
     """A tuple as a constant; the text form of a value casts back to the same value."""
-    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in row]
+    quoted = ["NULL" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in row]
     return "named_struct(" + ", ".join(f"'{n}', cast({q} AS {k})" for q, (n, k) in zip(quoted, kinds)) + ")"
 
 
+def rejoin(rows: DataFrame, per_range: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bring values per (key, range) back to the rows; equal nulls meet, so no row is lost."""
+    on = [*keys, RANGE]
+    side = per_range.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    met = F.lit(True)
+    for c in on:
+        met = met & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return rows.join(side, met).drop(*[f"_r_{c}" for c in on])
+
+
 def _before(keys: Sequence[str]):  # noqa: ANN202
     return Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -81,7 +92,7 @@ def running_sums(
         *keys, RANGE, *[F.coalesce(F.sum(f"_t_{n}").over(_before(keys)), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
     local = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.join(offsets, [*keys, RANGE])
+    joined = rejoin(ranged, offsets, keys)
     return joined.withColumns({n: F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(local) for n in sums}).drop(
         RANGE, *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums]
     )
@@ -99,8 +110,8 @@ def assign_index(
     numbered = row_numbers(df, keys, order, width, out)
     if not reverse:
         return numbered.withColumn(out, F.col(out) - 1)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return numbered.join(sizes, list(keys)).withColumn(out, F.col("_n") - F.col(out)).drop("_n")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn(RANGE, F.lit(0))
+    return rejoin(numbered.withColumn(RANGE, F.lit(0)), sizes, keys).withColumn(out, F.col("_n") - F.col(out)).drop("_n", RANGE)
 
 
 def neighbours(
@@ -119,7 +130,7 @@ def neighbours(
     here = _local(keys, order)
     here_rn = F.row_number().over(here)
     return (
-        ranged.join(carried, [*keys, RANGE])
+        rejoin(ranged, carried, keys)
         .withColumns(
             {
                 n: F.when(here_rn == 1, F.col("_carry")[n]).otherwise(F.lag(c).over(here))

@@ -13,7 +13,7 @@ from pagemill.functions.core import NOT_SPACE, let, strip
 from pagemill.functions.text import (
     clean_text, content_hash, count_words, normalize_text, repeat_line_ratio, script_ratio,
 )
-from pagemill.sizes import join_small, spread
+from pagemill.sizes import join_small
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def process_content(
 
     keep = [F.col(c) for c in df.columns]
     done = let(normalize_text(clean_text(text, extra_junk)), measure)
-    return spread(df).select(*keep, F.inline(F.array(done)))
+    return df.select(*keep, F.inline(F.array(done)))
 
 
 def accepted(processed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill import fixed
 from pagemill.functions.values import is_retryable, retry_delay
-from pagemill.operators.ordered import RANGE, neighbours, row_numbers, running_sums, with_ranges
+from pagemill.operators.ordered import RANGE, neighbours, rejoin, row_numbers, running_sums, with_ranges
 
 
 def priority_order(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
@@ -15,6 +15,12 @@ def priority_order(tasks: DataFrame, cancelled: DataFrame) -> DataFrame:
     return tasks.join(cancelled.select("task_id").distinct(), "task_id", "left_anti").orderBy(F.desc("priority"), "seq")
 
 
+def work_ranks(tasks: DataFrame, cancelled: DataFrame, arrival: list[str]) -> DataFrame:
+    """The whole work list with the 1-based rank of every task, numbered range by range instead of in one sorted task."""
+    kept = tasks.join(cancelled.select("task_id").distinct(), "task_id", "left_anti").withColumn("_urgency", -F.col("priority"))
+    return row_numbers(kept, [], ["_urgency", *arrival], None, "rank").drop("_urgency")
+
+
 def politeness_schedule(
     requests: DataFrame, gap: float = fixed.MIN_REQUEST_GAP_SECONDS, width: float | None = None,
     source: str = "source_id", arrival: str = "arrival", tie: str = "request_id",
@@ -31,7 +37,7 @@ def politeness_schedule(
     before = Window.partitionBy(source).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     offsets = offsets.withColumn("_peak", F.max(F.col("_m") - F.lit(gap) * F.col("_off")).over(before))
-    joined = local.join(offsets.select(source, RANGE, "_off", "_peak"), [source, RANGE])
+    joined = rejoin(local, offsets.select(source, RANGE, "_off", "_peak"), [source])
     upto = F.max("_slack").over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.lit(gap) * F.col("_off")
     return joined.withColumn(
         "start_at", F.greatest(upto, F.col("_peak")) + F.lit(gap) * (F.col("_off") + F.col("_k"))

@@ -89,19 +89,15 @@ def invalidate(t: Tables):  # noqa: ANN201
 
 # --- schedule -----------------------------------------------------------------------------------------------------
 @query("priority_order", """
-  SELECT o_orderkey AS task_id, rank FROM (SELECT o_orderkey, row_number() OVER (ORDER BY left(o_orderpriority, 1)::INT DESC, o_orderdate, o_orderkey) AS rank FROM orders
-         WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')) WHERE rank <= 100""")
+  SELECT o_orderkey AS task_id, row_number() OVER (ORDER BY left(o_orderpriority, 1)::INT DESC, o_orderdate, o_orderkey) AS rank FROM orders
+         WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""")
 def priority(t: Tables):  # noqa: ANN201
-    """Orders as tasks; those of one market segment are cancelled; the head of the work list."""
-    from pyspark.sql import Window
-
+    """Orders as tasks; those of one market segment are cancelled; every other one with its rank."""
     tasks = t.orders.select(
-        F.col("o_orderkey").alias("task_id"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("priority"),
-        F.struct("o_orderdate", "o_orderkey").alias("seq"), "o_custkey",
-    )
+        F.col("o_orderkey").alias("task_id"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("priority"), "o_orderdate", "o_custkey",
+    ).withColumn("key", F.col("task_id"))
     gone = t.customer.filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"))
-    head = G.priority_order(tasks, tasks.join(gone, "o_custkey").select("task_id")).limit(100)
-    return head.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority"), "seq")).cast("long")).select("task_id", "rank")
+    return G.work_ranks(tasks, tasks.join(gone, "o_custkey").select("task_id"), ["o_orderdate", "key"]).select("task_id", "rank")
 
 
 @query("politeness_schedule", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,18 +33,36 @@ def local_session(cores: str = "8", app: str = "pagemill", memory: str = "12g")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere."""
+    """Apply the runtime settings to a session made elsewhere, and send the package to its Python workers."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Workers unpickle functions by module name, so they need the package wherever the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    built = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/pagemill", "zip", os.path.dirname(here), os.path.basename(here))
+    context.addPyFile(built)  # Spark copies it to every executor
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where none is named (tests), one is made."""
+    """The shared folder the cluster names in spark.checkpoint.dir. One is made only on a local master, as in tests: executors
+    of a cluster do not see a folder of the driver's machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir()
 

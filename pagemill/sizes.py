@@ -19,17 +19,3 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> Data
     which shuffles both sides and splits the keys that turn out to be hot."""
     side = F.broadcast(small) if planned_bytes(small) <= BROADCAST_BYTES else small
     return big.join(side, on, how)
-
-
-def spread(df: DataFrame, bytes_per_core: int = 32 * 1024 * 1024) -> DataFrame:
-    """Share a small input among all cores before CPU-heavy work per row.
-
-    A table of a few megabytes often is one file with one row group, that is one task. Only inputs below
-    ``bytes_per_core`` per core are moved; a large table already has more splits than cores and is left in place.
-    """
-    if df.isStreaming:  # the trigger bounds a micro-batch and its splits
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if planned_bytes(df) >= cores * bytes_per_core:
-        return df
-    return df.repartition(cores)
