@@ -7,7 +7,7 @@ import struct
 
 import numpy as np
 
-ZERO_STEP = 64
+BLOCK_WORDS = 8
 _ONE = np.uint64(1)
 
 
@@ -25,10 +25,11 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     low = np.concatenate([*bits, np.zeros(8, np.uint8)])
     upper = (values >> np.uint64(width)).astype(np.int64)
     top = int(upper[-1]) if n else 0
-    flags = np.zeros(-(-(n + top + 2) // 64) * 64 + 64, np.uint8)
+    flags = np.zeros(-(-(n + top + 2) // (64 * BLOCK_WORDS)) * 64 * BLOCK_WORDS, np.uint8)
     flags[upper + np.arange(n)] = 1
     high = np.packbits(flags, bitorder="little").view(np.uint64)
-    zeros = np.flatnonzero(flags == 0)[::ZERO_STEP].astype(np.uint64)
+    free = (64 - np.bitwise_count(high).astype(np.int64)).reshape(-1, BLOCK_WORDS).sum(1)
+    zeros = (np.cumsum(free) - free).astype(np.uint64)  # zeros before each block
     return {"low": low, "high": high, "zeros": zeros, "shape": np.array([n, width, top], np.uint64)}
 
 
@@ -48,16 +49,14 @@ class EliasFano:
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero (from 0) of the upper bits."""
-        at = self.zeros[k // ZERO_STEP].astype(np.int64)
-        left = k % ZERO_STEP
-        word = at >> 6
-        free = ~self.high[word] & (~np.uint64(0) << (at & 63).astype(np.uint64))
+        block = np.searchsorted(self.zeros, k.astype(np.uint64), "right") - 1
+        left = k - self.zeros[block].astype(np.int64)
+        word = block * BLOCK_WORDS
+        free = ~self.high[word]
         live = np.arange(len(k))
-        while True:
+        while len(live):
             count = np.bitwise_count(free[live]).astype(np.int64)
             more = left[live] >= count
-            if not more.any():
-                break
             live, count = live[more], count[more]
             left[live] -= count
             word[live] += 1
@@ -72,7 +71,7 @@ class EliasFano:
         return (word << 6) + place
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each value in the sequence, or -1: the zero before its upper part bounds the few values to compare."""
+        """Index of each value in the sequence, or -1: the zeros around its upper part bound the values to compare."""
         out = np.full(len(x), -1, np.int64)
         upper = (x >> np.uint64(self.width)).astype(np.int64)
         live = np.flatnonzero(upper <= self.top)
@@ -82,17 +81,52 @@ class EliasFano:
         bit = np.zeros(len(live), np.int64)
         inner = h > 0
         bit[inner] = self._zero(h[inner] - 1) + 1
-        while len(live):
-            one = ((self.high[bit >> 6] >> (bit & 63).astype(np.uint64)) & _ONE).astype(bool)
-            live, h, want, bit = live[one], h[one], want[one], bit[one]
-            index = bit - h
-            value = self.lows(index)
-            out[live[value == want]] = index[value == want]
-            on = value < want
-            live, h, want, bit = live[on], h[on], want[on], bit[on] + 1
+        # values whose upper part is h are the ones from here to the next zero
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)] << ((np.uint64(64) - shift) & np.uint64(63))
+        ones = (self.high[word] >> shift) | np.where(shift > 0, after, np.uint64(0))
+        run = np.bitwise_count(ones ^ (ones + _ONE)).astype(np.int64) - 1
+        long = np.flatnonzero((ones + _ONE) == 0)
+        run[long] = self._zero(h[long]) - bit[long]
+        lo = bit - h
+        hi = lo + run
+        while len(live):  # bisection; most ranges hold a value or two
+            some = lo < hi
+            live, want, lo, hi = live[some], want[some], lo[some], hi[some]
+            mid = (lo + hi) >> 1
+            value = self.lows(mid)
+            same = value == want
+            out[live[same]] = mid[same]
+            live, want, lo, hi, mid, value = (a[~same] for a in (live, want, lo, hi, mid, value))
+            right = value < want
+            lo, hi = np.where(right, mid + 1, lo), np.where(right, hi, mid)
         return out
 
 
+def build_ranks(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Bitmap of sorted distinct values that lie close together, with the ranks of its words."""
+    lo = int(values[0]) if len(values) else 0
+    flags = np.zeros((-(-(int(values[-1]) - lo + 1) // 64) if len(values) else 1) * 64, np.uint8)
+    flags[values.astype(np.int64) - lo] = 1
+    bits = np.packbits(flags, bitorder="little").view(np.uint64)
+    count = np.bitwise_count(bits).astype(np.int64)
+    return {"bits": bits, "ranks": (np.cumsum(count) - count).astype(np.uint64), "lo": np.array([lo], np.uint64)}
+
+
+class Ranks:
+    def __init__(self, bits: np.ndarray, ranks: np.ndarray, lo: np.ndarray) -> None:
+        self._bits, self._ranks, self._lo = bits, ranks, int(lo[0])
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Rank of each value, or -1."""
+        at = x.astype(np.int64) - self._lo
+        inside = (at >= 0) & (at < 64 * len(self._bits))
+        at = np.where(inside, at, 0)
+        word, bit = self._bits[at >> 6], (at & 63).astype(np.uint64)
+        rank = self._ranks[at >> 6].astype(np.int64) + np.bitwise_count(word & ((_ONE << bit) - _ONE))
+        return np.where(inside & ((word >> bit) & _ONE).astype(bool), rank, -1)
+
+
 def pack_arrays(arrays: dict[str, np.ndarray]) -> list[bytes]:
     """Parts of a file of named arrays, each aligned to 8 bytes behind a header that lists them."""
     listed, body, at = [], [], 0

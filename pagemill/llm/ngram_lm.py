@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import shared
 from pagemill.llm.batches import bounded, flat
-from pagemill.llm.elias_fano import EliasFano, build, open_arrays, pack_arrays
+from pagemill.llm.elias_fano import EliasFano, Ranks, build, build_ranks, open_arrays, pack_arrays
 from pagemill.llm.sampling import fold
 
 DISCOUNT = 0.75
@@ -64,14 +64,33 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tokens, first
 
 
-def _sum(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns in lexical order and their summed counts."""
-    if not len(count):
-        return columns, count
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
-    return [c[new] for c in columns], np.add.reduceat(count[order], new)
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def _sum(key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their summed counts."""
+    if count is None:
+        key = np.sort(key)
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        return key[new], np.diff(np.r_[new, len(key)])
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[new], (np.add.reduceat(count[order], new) if len(new) else count)
+
+
+def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, where each first stands, and the place of every key among them."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]][: len(key)]
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], inverse
+
+
+def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64)
 
 
 def count_words(texts: DataFrame, folder: str) -> list[tuple[int, int]]:
@@ -82,9 +101,8 @@ def count_words(texts: DataFrame, folder: str) -> list[tuple[int, int]]:
         totals = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
-            words, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            (words,), n = _sum([np.r_[totals[0], words]], np.r_[totals[1], n])
-            return words, n
+            words, n = _sum(np.concatenate([*held, np.zeros(0, np.uint64)]))
+            return _sum(np.r_[totals[0], words], np.r_[totals[1], n])
 
         for batch in batches:
             held.append(token_hashes(batch.column(0))[0])
@@ -101,7 +119,7 @@ def count_words(texts: DataFrame, folder: str) -> list[tuple[int, int]]:
         shard = table.column("shard")[0].as_py()
         words = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in table.column("words")])
         n = np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in table.column("n")])
-        (words,), n = _sum([words], n)
+        words, n = _sum(words, n)
         shared.put(f"{folder}/words-{shard:03d}", pack_arrays(build(words, 1 << 63) | {"sum": np.r_[0, np.cumsum(n)].astype(np.uint64)}))
         return pa.table({"shard": pa.array([shard], pa.int32()), "words": [len(words)], "tokens": [int(n.sum())]})
 
@@ -131,7 +149,7 @@ class Vocabulary:
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Id, count and tokens of smaller words for each hash; unknown words have the id ``unknown`` and the count 0."""
-        distinct, inverse = np.unique(hashes, return_inverse=True)
+        distinct, _, inverse = _places(hashes)
         ids = np.full(len(distinct), self.unknown, np.int64)
         count, below = np.zeros(len(distinct), np.int64), np.full(len(distinct), self.tokens, np.int64)
         cut = np.searchsorted(distinct >> np.uint64(57), np.arange(WORD_SHARDS + 1))
@@ -187,49 +205,52 @@ def count_ngrams(texts: DataFrame, folder: str, sizes: list[tuple[int, int]], do
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(folder, sizes, documents)
-        held: dict[int, list[tuple]] = {2: [], 3: []}
+        held: list[tuple] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for order, parts in held.items():
-                if not parts:
-                    continue
-                columns = [np.concatenate([p[k] for p in parts]) for k in range(order + 1)]  # the shard, then the words
-                columns, n = _sum(columns, np.ones(len(columns[0]), np.int64))
-                cut = np.searchsorted(columns[0], np.arange(shards + 1))
-                used = np.flatnonzero(np.diff(cut))
-                blocks = [pa.array([c[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary()) for c in (*columns[1:], n.astype(np.uint32))]
-                w = [blocks[2] if order == 3 else pa.array([b""] * len(used), pa.binary())]
-                arrays = [pa.array(used, pa.int32()), pa.array([order] * len(used), pa.int32()), blocks[0], blocks[1], *w, blocks[-1]]
-                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "order", "u", "v", "w", "n"])
-                parts.clear()
+        def flush() -> pa.RecordBatch:
+            pairs, shard, last, words = (np.concatenate([p[k] for p in held]) for k in range(4))
+            base = np.cumsum([0, *[len(p[0]) for p in held]])[:-1]
+            context = last + np.repeat(base, [len(p[2]) for p in held])
+            distinct, first, inverse = _places(pairs)
+            n2 = np.bincount(inverse, minlength=len(distinct)).astype(np.uint32)
+            grams, n3 = _sum(_pair(inverse[context], words))
+            below = np.bincount((grams >> np.uint64(32)).astype(np.int64), minlength=len(distinct)).astype(np.uint32)
+            cut = np.searchsorted(shard[first], np.arange(shards + 1))  # shards rise with the pairs
+            child = np.r_[0, np.cumsum(below, dtype=np.int64)][cut]
+            used = np.flatnonzero(np.diff(cut))
+            u, v, w = (distinct >> np.uint64(32)).astype(np.uint32), (distinct & _LOW).astype(np.uint32), (grams & _LOW).astype(np.uint32)
+            blocks = [pa.array([c[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary()) for c in (u, v, n2, below)]
+            blocks += [pa.array([c[child[s] : child[s + 1]].tobytes() for s in used], pa.binary()) for c in (w, n3.astype(np.uint32))]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *blocks], names=["shard", "u", "v", "n2", "below", "w", "n3"])
 
         for batch in batches:
             ids, count, below, at, inner, _ = _padded(vocabulary, batch.column(0))
             shard = vocabulary.shard_of(shards, below[:-1], count[:-1], below[1:]).astype(np.int32)
-            words = ids.astype(np.uint32)
-            held[2].append((shard[at - 1], words[at - 1], words[at]))
-            held[3].append((shard[inner - 2], words[inner - 2], words[inner - 1], words[inner]))
+            token = np.zeros(len(ids), np.int64)
+            token[at] = np.arange(len(at))
+            held.append((_pair(ids[at - 1], ids[at]), shard[at - 1], token[inner - 1], ids[inner].astype(np.uint32)))
             size += len(at)
             if size > HELD_TOKENS:
-                yield from flush()
-                size = 0
-        yield from flush()
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     def write(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        order = np.array(table.column("order"))
-        levels = []
-        for n in (2, 3):
-            rows = table.filter(pa.array(order == n))
-            columns = [np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(b.as_py(), np.uint32) for b in rows.column(c)]]) for c in ("u", "v", "w", "n")]
-            levels.append(_sum(columns[:n], columns[3].astype(np.int64)))
+        u, v, n2, below, w, n3 = (
+            np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(b.as_py(), np.uint32) for b in table.column(c)]]) for c in ("u", "v", "n2", "below", "w", "n3")
+        )
+        pairs, _, inverse = _places(_pair(u, v))
+        total = np.bincount(inverse, n2, len(pairs)).astype(np.int64)
+        grams, n3 = _sum(_pair(np.repeat(inverse, below), w), n3.astype(np.int64))
         vocabulary = Vocabulary(folder, sizes, documents)
-        shared.put(f"{folder}/grams-{shard:05d}", pack_arrays(_trie(levels, vocabulary)))
+        shared.put(f"{folder}/grams-{shard:05d}", pack_arrays(_trie(pairs, total, grams, n3, vocabulary)))
         return pa.table({"shard": pa.array([shard], pa.int32())})
 
     bounded(texts.sparkSession, BATCH_ROWS)
-    counted = texts.mapInArrow(local, "shard int, order int, u binary, v binary, w binary, n binary")
+    counted = texts.mapInArrow(local, "shard int, u binary, v binary, n2 binary, below binary, w binary, n3 binary")
     counted.groupBy("shard").applyInArrow(write, "shard int").count()
 
 
@@ -240,31 +261,26 @@ def _quantised(p: np.ndarray) -> np.ndarray:
 _LEVELS = 10 ** (-np.arange(256) / STEPS)
 
 
-def _trie(levels: list, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """Arrays of one shard: first words, bigrams below them, trigrams below these.
+def _trie(pairs: np.ndarray, n2: np.ndarray, grams: np.ndarray, n3: np.ndarray, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """Arrays of one shard: first words, bigrams below them, trigrams below these. ``grams`` are (rank of the pair, word).
 
     A bigram keeps its discounted probability and what its trigrams leave over; a first word keeps the sum of its bigrams in
     this shard, so that a word cut into several shards is added up by the reader.
     """
-    (u, v), n2 = levels[0]
-    (tu, tv, tw), n3 = levels[1]
-    base = vocabulary.words + 2
-    words, of_word = np.unique(u, return_inverse=True)
-    stay = n2 >= LEAST_COUNTS[0]
-    pair = of_word.astype(np.uint64) * np.uint64(base) + v
-    # every trigram's first two words are a bigram of the same shard
-    rank_u = np.searchsorted(words, tu)
-    parent = np.searchsorted(pair, rank_u.astype(np.uint64) * np.uint64(base) + tv)
+    u, v = (pairs >> np.uint64(32)).astype(np.int64), pairs & _LOW
+    base = np.uint64(vocabulary.words + 2)
+    new = np.r_[True, u[1:] != u[:-1]][: len(u)]
+    words, of_word = u[new], np.cumsum(new) - 1
     keep = n3 >= LEAST_COUNTS[1]
-    p3 = (n3[keep] - DISCOUNT) / n2[parent[keep]]
-    third = build(parent[keep].astype(np.uint64) * np.uint64(base) + tw[keep], (len(pair) + 1) * base)
-    left = 1 - np.bincount(parent[keep], p3, len(pair))
-    begins = words == vocabulary.begin
-    count = np.where(begins, vocabulary.documents, vocabulary.counts(np.minimum(words, max(0, vocabulary.words - 1)).astype(np.int64)))
-    p2 = np.where(stay, (n2 - DISCOUNT) / count[of_word], 0.0)
-    out = {f"w.{k}": a for k, a in build(words.astype(np.uint64), base).items()}
-    out |= {f"b.{k}": a for k, a in build(pair, (len(words) + 1) * base).items()}
-    out |= {f"t.{k}": a for k, a in third.items()}
+    parent, w = (grams[keep] >> np.uint64(32)), grams[keep] & _LOW
+    p3 = (n3[keep] - DISCOUNT) / n2[parent.astype(np.int64)]
+    left = 1 - np.bincount(parent.astype(np.int64), p3, len(pairs))
+    known = vocabulary.counts(np.minimum(words, max(0, vocabulary.words - 1)))
+    count = np.where(words == vocabulary.begin, vocabulary.documents, known)
+    p2 = np.where(n2 >= LEAST_COUNTS[0], (n2 - DISCOUNT) / count[of_word], 0.0)
+    out = {f"w.{k}": a for k, a in build_ranks(words).items()}
+    out |= {f"b.{k}": a for k, a in build(of_word.astype(np.uint64) * base + v, (len(words) + 1) * int(base)).items()}
+    out |= {f"t.{k}": a for k, a in build(parent * base + w, (len(pairs) + 1) * int(base)).items()}
     return out | {
         "sum": np.bincount(of_word, p2, len(words)).astype(np.float32), "p2": _quantised(p2), "left": _quantised(np.maximum(left, 1e-12)), "p3": _quantised(p3),
     }
@@ -283,79 +299,86 @@ class Trie:
             try:
                 a = open_arrays(shared.get(f"{self._folder}/grams-{s:05d}"))
             except FileNotFoundError:  # no n-gram fell into it
-                a = None
-            ef = lambda k: EliasFano(a[f"{k}.low"], a[f"{k}.high"], a[f"{k}.zeros"], a[f"{k}.shape"])
-            self._open[s] = (ef("w"), ef("b"), ef("t"), a["sum"], a["p2"], a["left"], a["p3"]) if a else ()
+                self._open[s] = ()
+            else:
+                ef = [EliasFano(*[a[f"{k}.{n}"] for n in ("low", "high", "zeros", "shape")]) for k in "bt"]
+                self._open[s] = (Ranks(a["w.bits"], a["w.ranks"], a["w.lo"]), *ef, a["sum"], a["p2"], a["left"], a["p3"])
         return self._open[s]
 
     def _each(self, shard: np.ndarray):  # noqa: ANN202
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        """The shards in use and their slices of ascending shard numbers."""
+        cut = np.searchsorted(shard, np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             parts = self._shard(s)
             if parts:
-                yield parts, order[cut[s] : cut[s + 1]]
+                yield parts, slice(cut[s], cut[s + 1])
 
     def kept_mass(self, u: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Summed probabilities of the stored bigrams after each word, over the shards from ``first`` to ``last``."""
+        """Summed probabilities of the stored bigrams after each of the ascending words, over its shards."""
         out = np.zeros(len(u))
-        todo = np.arange(len(u))
-        shard = first.copy()
+        todo, shard = np.arange(len(u)), first.copy()
         while len(todo):
-            for parts, at in self._each(shard[todo]):
-                where = todo[at]
-                rank = parts[0].find(u[where].astype(np.uint64))
-                out[where] += np.where(rank >= 0, parts[3][rank], 0.0)
+            for parts, part in self._each(shard[todo]):
+                rank = parts[0].find(u[todo[part]])
+                out[todo[part]] += np.where(rank >= 0, parts[3][rank], 0.0)
             shard[todo] += 1
             todo = todo[shard[todo] <= last[todo]]
+            todo = todo[np.argsort(shard[todo], kind="stable")]
         return out
 
-    def bigrams(self, u: np.ndarray, v: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(u))
-        for parts, at in self._each(shard):
-            rank = parts[0].find(u[at].astype(np.uint64))
-            hit = np.flatnonzero(rank >= 0)
-            found = parts[1].find(rank[hit].astype(np.uint64) * self._base + v[at[hit]].astype(np.uint64))
-            out[at[hit]] = np.where(found >= 0, _LEVELS[parts[4][found]], 0.0)
-        return out
-
-    def trigrams(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stored probability (or 0) and what the context leaves to the shorter one (1 for an unknown context)."""
-        p, left = np.zeros(len(u)), np.ones(len(u))
-        for parts, at in self._each(shard):
-            rank = parts[0].find(u[at].astype(np.uint64))
-            at, rank = at[rank >= 0], rank[rank >= 0]
-            pair = parts[1].find(rank.astype(np.uint64) * self._base + v[at].astype(np.uint64))
-            at, pair = at[pair >= 0], pair[pair >= 0]
-            left[at] = _LEVELS[parts[5][pair]]
-            found = parts[2].find(pair.astype(np.uint64) * self._base + w[at].astype(np.uint64))
-            p[at] = np.where(found >= 0, _LEVELS[parts[6][found]], 0.0) if len(parts[6]) else 0.0
-        return p, left
+    def pairs(self, u: np.ndarray, v: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ascending pairs: the place in their shard or -1, the stored probability, and what they leave to shorter contexts."""
+        rank, p, left = np.full(len(u), -1), np.zeros(len(u)), np.ones(len(u))
+        for parts, part in self._each(shard):
+            first = parts[0].find(u[part])
+            hit = np.flatnonzero(first >= 0)
+            found = parts[1].find(first[hit].astype(np.uint64) * self._base + v[part][hit].astype(np.uint64))
+            hit, found = hit[found >= 0] + part.start, found[found >= 0]
+            rank[hit], p[hit], left[hit] = found, _LEVELS[parts[4][found]], _LEVELS[parts[5][found]]
+        return rank, p, left
+
+    def triples(self, pair: np.ndarray, w: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Stored probability of words after pairs (places in their shard), by ascending pair; 0 if there is none."""
+        p = np.zeros(len(pair))
+        for parts, part in self._each(shard):
+            found = parts[2].find(pair[part].astype(np.uint64) * self._base + w[part].astype(np.uint64))
+            hit = np.flatnonzero(found >= 0)
+            p[hit + part.start] = _LEVELS[parts[6][found[hit]]]
+        return p
 
 
 def score_batch(column: pa.Array, vocabulary: Vocabulary, trie: Trie) -> tuple[np.ndarray, ...]:
-    """n_tokens, n_known, base_score and score of each text."""
+    """n_tokens, n_known, base_score and score of each text. Pairs are looked up once per batch, in order."""
     ids, count, below, at, inner, first = _padded(vocabulary, column)
     smooth = vocabulary.tokens + 0.5 * (vocabulary.words + 1)
     p1 = (count[at] + 0.5) / smooth
-    u, v = ids[at - 1], ids[at]
-    shard = vocabulary.shard_of(trie.shards, below[:-1], count[:-1], below[1:])
+    distinct, where, inverse = _places(_pair(ids[at - 1], ids[at]))
+    place = at[where]
+    u, v = distinct >> np.uint64(32), distinct & _LOW
+    shard = vocabulary.shard_of(trie.shards, below[place - 1], count[place - 1], below[place])
+    rank, p2, left = trie.pairs(u, v, shard)
     # the shards that hold a word: of its first and of its last follower
-    words, back = np.unique(at - 1, return_inverse=True)
-    distinct, index = np.unique(ids[words], return_index=True)
-    place = words[index]
-    zero, end = np.zeros(len(place), np.int64), np.full(len(place), vocabulary.tokens + vocabulary.documents)
-    span = [vocabulary.shard_of(trie.shards, below[place], count[place], edge) for edge in (zero, end)]
-    mass = trie.kept_mass(distinct, *span)[np.searchsorted(distinct, ids[words])][back]
-    p2 = trie.bigrams(u, v, shard[at - 1]) + np.maximum(1 - mass, 1e-12) * p1
-    by_place = np.zeros(len(ids))
-    by_place[at] = p2
-    p3, left = trie.trigrams(ids[inner - 2], ids[inner - 1], ids[inner], shard[inner - 2])
-    by_place[inner] = p3 + left * by_place[inner]
+    new = np.r_[True, u[1:] != u[:-1]][: len(u)]
+    of = place[new] - 1
+    ends = (np.zeros(len(of), np.int64), np.full(len(of), vocabulary.tokens + vocabulary.documents))
+    mass = trie.kept_mass(u[new], *[vocabulary.shard_of(trie.shards, below[of], count[of], end) for end in ends])
+    rest = np.maximum(1 - mass, 1e-12)[np.cumsum(new) - 1]
+    p = p2[inverse] + rest[inverse] * p1
+    token = np.zeros(len(ids), np.int64)
+    token[at] = np.arange(len(at))
+    now, context = token[inner], inverse[token[inner] - 1]
+    known = rank[context] >= 0
+    known_now, known_context = now[known], context[known]
+    order = np.argsort(_pair(known_context, ids[at[known_now]]))
+    known_now, known_context = known_now[order], known_context[order]
+    p3 = np.zeros(len(at))
+    p3[known_now] = trie.triples(rank[known_context], ids[at[known_now]], shard[known_context])
+    longer = left[context]
+    p[now] = p3[now] + longer * p[now]
     rows = first[:-1]
     total = lambda x: np.add.reduceat(x, rows) if len(rows) else np.zeros(0)
-    known = total((count[at] > 0).astype(np.int64)).astype(np.int64)
-    return np.diff(first), known, total(np.log10(p1)), total(np.log10(by_place[at]))
+    n_known = total((count[at] > 0).astype(np.int64)).astype(np.int64)
+    return np.diff(first), n_known, total(np.log10(p1)), total(np.log10(p))
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
