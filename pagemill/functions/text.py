@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -31,12 +33,31 @@ def _scoped(pattern: str) -> str:
     return f"(?i:{pattern[4:]})" if pattern.startswith("(?i)") else pattern
 
 
+def usable_patterns(patterns: Iterable[str]) -> list[str]:
+    """The patterns that Java compiles, named groups rewritten; one that does not is reported and left out, so that a bad
+    argument never fails the job."""
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    context, kept = SparkContext._active_spark_context, []
+    for pattern in patterns:
+        java = pattern.replace("(?P<", "(?<")
+        try:
+            context._jvm.java.util.regex.Pattern.compile(junk_pattern([java])) if context else re.compile(pattern)
+        except (IllegalArgumentException, re.error):
+            warnings.warn(f"junk pattern ignored: {pattern!r}", stacklevel=2)
+        else:
+            kept.append(java)
+    return kept
+
+
 def clean_text(
     text: Column | str,
     extra_junk: Iterable[str] = (),
     junk: Iterable[str] = fixed.JUNK_LINE_PATTERNS,
 ) -> Column:
-    """Drop tags, invisible characters and junk lines; strip every line; keep at most one blank line."""
+    """Drop tags, invisible characters and junk lines; strip every line; keep at most one blank line. Extra patterns that
+    cannot be compiled are ignored."""
     raw = col(text)
     tagged = F.contains(raw, F.lit("<")) & F.contains(raw, F.lit(">"))
     plain = F.when(tagged, F.regexp_replace(raw, "<[^>]+>", "")).otherwise(raw)
@@ -44,7 +65,7 @@ def clean_text(
         plain = F.replace(plain, F.lit(mark), F.lit(by))
     plain = F.regexp_replace(plain, _INVISIBLE, "")
     lines = F.transform(F.split(plain, "\n"), strip)
-    patterns = [*junk, *extra_junk]
+    patterns = [*junk, *usable_patterns(extra_junk)]
     if patterns:
         lines = F.filter(lines, lambda line: ~line.rlike(junk_pattern(patterns)))
     return let(F.array_join(lines, "\n"), lambda joined: strip(_one_blank_line(joined)))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import html
+import html.entities
 import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pagemill.functions.core import col, fold_space, strip
+from pagemill.functions.core import col, fold_space, let, strip
 from pagemill.functions.urls import looks_like_url, url_join
 
 STEP = "op: string, pattern: string, replacement: string, value: string, separator: string"
@@ -28,29 +27,69 @@ ENTITIES = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_rare(text):  # noqa: ANN001, ANN202
-    return text.map(html.unescape, na_action="ignore")
+# The standard table of named references comes with Python; names that are valid without a semicolon are matched by prefix.
+_NAMED = "\x1e".join(f"{k}\x1f{v}" for k, v in html.entities.html5.items())
+_SHORT = "|".join(sorted((k for k in html.entities.html5 if not k.endswith(";")), key=len, reverse=True))
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: What the bytes 128 to 159 mean in numeric references, and code points that give nothing.
+_WINDOWS = bytes(range(128, 160)).decode("cp1252", "replace")
+_NOTHING = r"^(?:[1-8]|1[4-9]|2[0-9]|3[01]|12[7-9]|1[34][0-9]|15[0-9]|11)$"
 
 
-def unescape_entities(value: Column | str, rare: bool = False) -> Column:
-    """The common entities in the JVM; ``rare`` sends the values that still hold others to Arrow workers."""
+def _numeric(reference: Column) -> Column:
+    """The character of a numeric reference; unusable numbers give the replacement character, control codes nothing."""
+    digits = F.regexp_replace(F.regexp_extract(reference, r"^&#[xX]?0*([0-9a-fA-F]*)", 1), "^$", "0")
+    base16 = F.substring(F.lower(reference), 3, 1) == "x"
+    number = F.when(F.length(digits) > 8, F.lit("99999999")).when(base16, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+
+    def character(n: Column) -> Column:
+        wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        plane_end = (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE) | n.between(0xFDD0, 0xFDEF)
+        return (
+            F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+            .when(n == 13, "\r")
+            .when(n.between(128, 159), F.substring(F.lit(_C1), (n - 127).cast("int"), F.lit(1)))
+            .when(n.cast("string").rlike(_NOTHING) | plane_end, "")
+            .otherwise(wide)
+        )
+
+    return let(number, character)
+
+
+# as the table above, but the five bytes without a meaning stay control characters
+_C1 = "".join(c if c != "\ufffd" else chr(128 + k) for k, c in enumerate(_WINDOWS))
+
+
+def _decoded(reference: Column) -> Column:
+    named = F.str_to_map(F.lit(_NAMED), F.lit("\x1e"), F.lit("\x1f"))
+    name = F.substring(reference, 2, 40)
+    short = F.regexp_extract(name, f"^(?:{_SHORT})", 0)
+    by_prefix = F.when(short != "", F.concat(F.element_at(named, short), F.substring(name, F.length(short) + 1, F.lit(40))))
+    return F.when(F.startswith(reference, F.lit("&#")), _numeric(reference)).otherwise(F.coalesce(F.element_at(named, name), by_prefix, reference))
+
+
+def _unescape_all(text: Column) -> Column:
+    """Every reference once: the text is cut at references and put together with what they stand for."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), _decoded)
+    pieces = F.split(text, _REFERENCE, -1)
+    return F.array_join(F.zip_with(pieces, found, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+
+
+def unescape_entities(value: Column | str) -> Column:
+    """References to characters. The common ones are replaced directly; a text that holds others is taken apart."""
     text = col(value)
     plain = text
     for entity, char in ENTITIES:
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    plain = F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
-    if not rare:
-        return plain
     unusual = text.rlike(r"&(?!(?:" + "|".join(e[1:-1] for e, _ in ENTITIES) + r");)[#A-Za-z]")
-    return F.coalesce(_unescape_rare(F.when(unusual, text)), plain)
+    return F.when(unusual, _unescape_all(text)).when(F.contains(text, F.lit("&")), plain).otherwise(text)
 
 
-def remove_html(value: Column | str, rare_entities: bool = False) -> Column:
+def remove_html(value: Column | str) -> Column:
     """Line breaks for <br> and closing blocks, then no tags, then no entities."""
     text = F.regexp_replace(col(value), r"(?i)<\s*br\s*/?\s*>", "\n")
     text = F.regexp_replace(text, r"(?i)</\s*(?:p|div|li|tr|h[1-6]|blockquote|section|article)\s*>", "\n")
-    return unescape_entities(F.regexp_replace(text, "<[^>]+>", ""), rare_entities)
+    return unescape_entities(F.regexp_replace(text, "<[^>]+>", ""))
 
 
 def to_java_replacement(text: str) -> str:

@@ -172,7 +172,16 @@ def test_transforms_both_ways(spark, one, value, steps, want):
 
 
 def test_rare_entities(one):
-    assert one(T.unescape_entities(F.lit("&#8212;&eacute;&amp;"), rare=True)) == "—é&"
+    assert one(T.unescape_entities(F.lit("&#8212;&eacute;&amp;"))) == "—é&"
+    assert one(T.remove_html(F.lit("<b>&#x4e2d;</b> &copyx &nosuch; &#38;lt;"))) == "中 ©x &nosuch; &lt;"
+
+
+def test_every_named_and_many_numeric_references(spark):
+    import html
+
+    texts = [f"&{n} x" for n in html.entities.html5] + [f"&#{n};" for n in range(300)] + ["&#xD800;", "&#x110000;", "&#99999999999999;", "&#000065;"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.unescape_entities("t").alias("u")).collect()
+    assert [r.t for r in rows if r.u != html.unescape(r.t)] == []
 
 
 def test_bad_transforms_are_refused():

@@ -70,6 +70,15 @@ def test_sources_found_twice(spark):
     assert [r.installed_version for r in merge.install_source(index, stamped, now, "installed_at").collect()] == ["2"]
 
 
+def test_bad_junk_patterns_are_ignored(spark):
+    from pagemill.functions.text import clean_text
+
+    df = spark.createDataFrame([("keep\nadvert 1\nspam 22",)], "t string")
+    with pytest.warns(UserWarning):
+        cleaned = df.select(clean_text("t", ["(", "advert.*", "(?P<a>spam) \\d+"]).alias("c")).first()["c"]
+    assert cleaned == "keep"
+
+
 def test_workers_find_the_package_from_another_folder(tmp_path):
     code = (
         f"import sys; sys.path.insert(0, {ROOT!r})\n"
