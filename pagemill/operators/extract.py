@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Iterable
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill import fixed
 from pagemill.functions.core import blank_to_null, col, let, strip
 from pagemill.functions.text import parse_status
 from pagemill.functions.urls import normalize_url
-from pagemill.operators.html import inside, node_value, parse_selector, select_nodes
+from pagemill.operators.html import inside, node_value, parse_selector, select_nodes, selector_supported
 from pagemill.operators.transforms import STEPS, apply_transform_column
 from pagemill.sizes import join_small
 
@@ -67,20 +72,65 @@ def xpath_to_selector(path: Column) -> Column:
     )
 
 
+#: What the path evaluators understand. Anything else is rejected, never guessed.
+XPATH_STEPS = r"^/{0,2}[a-zA-Z*][\w\-]*(?:\[@[\w\-]+(?:\s*=\s*(?:'[^']*'|\"[^\"]*\"))?\])*(?:/{1,2}[a-zA-Z][\w\-]*(?:\[@[\w\-]+(?:\s*=\s*(?:'[^']*'|\"[^\"]*\"))?\])*)*(?:/{1,2}(?:@[\w\-]+|text\(\)))?$"
+JSON_STEPS = r"^\$(?:\.[^.\[\]*?@() ]+|\[\d+\]|\[\*\]|\['[^'\]]+'\])*$"
+
+
+@F.pandas_udf(T.StringType())
+def java_pattern(patterns: pd.Series) -> pd.Series:
+    """The pattern in Java's spelling, or null if it is no pattern or means something else there. Runs over rules, not pages."""
+
+    def one(pattern: str | None) -> str | None:
+        if pattern is None:
+            return None
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("error")  # sets that other engines read as nested
+                names = re.compile(pattern).groupindex
+        except (re.error, Warning, OverflowError, RecursionError):
+            return None
+        if re.search(r"\(\?(?:\(|#|[a-zA-Z]*[aLu])|&&|\\Z", pattern):
+            return None
+        spelled = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern).replace("(?P<", "(?<").replace("{,", "{0,")
+        return None if any(not n.isalnum() or not n.isascii() for n in names) else spelled
+
+    return patterns.map(one, na_action="ignore")
+
+
 def compile_rules(rules: DataFrame, raw: str = "rule") -> DataFrame:
-    """Parse the rule text of every row once; simple xpaths are routed to the selector form."""
+    """Parse the rule text of every row once; simple xpaths are routed to the selector form.
+
+    ``problem`` says why a rule cannot be evaluated; such a rule has the type ``unsupported`` and gives no values. A source
+    with a bad rule stops nothing: its other rules run.
+    """
     parsed = rules.withColumn("_r", parse_rule(raw)).withColumn(
         "_x", F.when(F.col("_r.rule_type") == "xpath", xpath_to_selector(F.col("_r.expression")))
     )
     selector = F.coalesce(F.col("_x.expression"), F.when(F.col("_r.rule_type") == "css", F.col("_r.expression")))
-    return parsed.withColumns(
+    kind, expression = F.col("_r.rule_type"), F.col("_r.expression")
+    checked = parsed.withColumn("_java", java_pattern(F.when(kind == "regex", expression)))
+    problem = (
+        F.when(kind.isNull(), "empty rule")
+        .when((kind == "css") & ~selector_supported(expression), "unsupported selector")
+        .when((kind == "xpath") & ~(expression.rlike(XPATH_STEPS) & selector_supported(F.col("_x.expression"))), "unsupported path")
+        .when((kind == "jsonpath") & ~expression.rlike(JSON_STEPS), "unsupported JSON path")
+        .when((kind == "regex") & F.col("_java").isNull(), "unusable pattern")
+        .when((kind == "attr") & (expression == ""), "empty attribute")
+    )
+    return checked.withColumn("problem", problem).withColumns(
         {
-            "rule_type": F.col("_r.rule_type"),
-            "expression": F.col("_r.expression"),
+            "rule_type": F.when(F.col("problem").isNotNull(), "unsupported").otherwise(kind),
+            "expression": F.coalesce("_java", expression),
             "attribute": F.coalesce(F.col("_x.attribute"), F.col("_r.attribute")),
-            "selector": F.when(selector.isNotNull(), parse_selector(selector)),
+            "selector": F.when(selector.isNotNull() & F.col("problem").isNull(), parse_selector(selector)),
         }
-    ).drop("_r", "_x")
+    ).drop("_r", "_x", "_java")
+
+
+def rule_rejects(rules: DataFrame, raw: str = "rule") -> DataFrame:
+    """The rules that cannot be evaluated, in all their columns, with the reason in ``problem``."""
+    return compile_rules(rules, raw).filter(F.col("problem").isNotNull()).select(*rules.columns, "problem")
 
 
 # --- values of one rule -------------------------------------------------------------------------------------------
@@ -198,14 +248,23 @@ _SPENT = ("nodes", "page_text", "html", "fields", "list_rule", "transforms")
 
 
 def extract_many(pages: DataFrame, base_url: str = "url") -> DataFrame:
-    """One row per list item with ``item_no`` (from 0) and ``record``; all in the row of the page, no shuffle."""
-    page, nodes = _page(), F.col("nodes")
-    items = select_nodes(nodes, F.col("list_rule.selector"))
+    """One row per list item with ``item_no`` (from 0) and ``record``; all in the row of the page, no shuffle.
+
+    An item of a selector is the part of the page below it; an item of a JSON path is the text of an array element (or of a
+    single value), on which the JSON paths of the fields are evaluated; null elements are skipped.
+    """
+    nodes, body = F.col("nodes"), F.col("html")
+    dom = F.transform(select_nodes(nodes, F.col("list_rule.selector")), lambda i: F.struct(inside(nodes, i).alias("scope"), body.alias("body")))
+    none = F.filter(nodes, lambda n: F.lit(False))
+    found = F.call_function("get_json_object", body, F.col("list_rule.expression"))
+    elements = F.when(F.startswith(found, F.lit("[")), F.from_json(found, "array<string>")).otherwise(F.array(found))
+    texts = F.filter(elements, lambda i: i.isNotNull() & (i != "null"))
+    json = F.transform(texts, lambda i: F.struct(none.alias("scope"), i.alias("body")))
+    items = F.when(F.col("list_rule.rule_type") == "jsonpath", json).otherwise(dom)
     records = F.transform(
         items,
-        lambda item: let(
-            inside(nodes, item),
-            lambda scope: _record(page, scope, F.col("fields"), F.col("transforms"), F.col(base_url)),
+        lambda item: _record(
+            F.struct(F.col("page_text"), item["body"].alias("html")), item["scope"], F.col("fields"), F.col("transforms"), F.col(base_url)
         ),
     )
     keep = [c for c in pages.columns if c not in _SPENT]

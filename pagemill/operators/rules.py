@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import fixed
+from pagemill.functions.core import literal_map
 from pagemill.functions.naming import render_template, template_variables, unknown_variables
 from pagemill.functions.text import fold_ascii_case  # noqa: F401
 from pagemill.functions.urls import request_host, url_host
 from pagemill.functions.values import asset_suffix
-from pagemill.operators.extract import parse_rule
-from pagemill.operators.html import selector_supported
+from pagemill.operators.extract import parse_rule, rule_rejects
 from pagemill.sizes import join_small
 
 
@@ -179,10 +179,14 @@ def lint_rules(sources: DataFrame, rules: DataFrame, templates: DataFrame, remov
         )
     # rules that cannot be evaluated
     parsed = rules.withColumn("r", parse_rule("rule"))
-    broken = parsed.filter((F.col("r.rule_type") == "css") & ~selector_supported("r.expression"))
+    hints = {
+        "unsupported selector": "use tag, .class, #id, [attr], descendant, > and comma", "unsupported path": "use steps, [@name='value'], @name and text()",
+        "unsupported JSON path": "use $, .name, ['name'], [n] and [*]", "unusable pattern": "write a pattern that compiles", "empty attribute": "name an attribute",
+    }
+    broken = rule_rejects(rules).filter(F.col("problem") != "empty rule").withColumn("r", parse_rule("rule"))
     checks.append(
-        _report(broken, "error", text("capability", F.lit("."), "field"), text(F.lit("unsupported selector "), "r.expression"),
-                F.lit("use tag, .class, #id, [attr], descendant, > and comma"))
+        _report(broken, "error", text("capability", F.lit("."), "field"), text("problem", F.lit(" "), "r.expression"),
+                F.element_at(literal_map(hints), F.col("problem")))
     )
     wrong_list = parsed.filter((F.col("field") == "list") & F.col("r.rule_type").isin("xpath", "regex", "attr"))
     checks.append(

@@ -256,6 +256,42 @@ def extract_many_json(t: Tables):  # noqa: ANN201
     return E.extract_many_json(feed, "$.data.list", {"title": "$.t", "size": "$.m.n", "author": "$.a"})
 
 
+@query("extract_many_rules_json", """
+  WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+  SELECT doc_id, (i - 1)::INTEGER AS item_no, trim(ls[i], ' ') AS title, (length(ls[i]))::VARCHAR AS size, 'nobody' AS author
+  FROM l, unnest(range(1, len(ls) + 1)) AS r(i) WHERE ls[i] IS NOT NULL""")
+def extract_many_rules_json(t: Tables):  # noqa: ANN201
+    """The same lists by a rule catalogue: a JSON list rule, JSON fields and a transform list."""
+    spark = t.documents.sparkSession
+    lines = F.transform(F.split("text", "\n"), lambda ln: F.struct(ln.alias("t"), F.struct(F.length(ln).alias("n")).alias("m")))
+    feed = t.documents.select("doc_id", F.lit("feed").alias("source_id"), F.to_json(F.struct(F.struct(lines.alias("list")).alias("data"))).alias("html"))
+    pages = feed.withColumns({"url": F.lit("https://example.com/"), "page_text": F.lit(""), "nodes": F.array().cast(f"array<struct<{H.NODE}>>")})
+    rules = [("list", "jsonpath:$.data.list"), ("title", "jsonpath:$.t"), ("size", "jsonpath:$.m.n"), ("author", "jsonpath:$.a"), ("bad", "jsonpath:$..n")]
+    catalogue = spark.createDataFrame([("feed", "chapters", f, r) for f, r in rules], "source_id string, capability string, field string, rule string")
+    steps = spark.createDataFrame(
+        [("feed", "chapters", 1, "regex_replace", "^ +| +$", "", None, None), ("feed", "chapters", 2, "default", None, None, "nobody", None)],
+        "source_id string, capability string, ord int, op string, pattern string, replacement string, value string, separator string")
+    out = E.extract_many(E.with_rules(pages, E.rule_sets(catalogue, steps), "chapters"))
+    named = {n: F.try_element_at("record", F.lit(n)) for n in ("title", "size", "author")}
+    return out.select("doc_id", "item_no", *[c.alias(n) for n, c in named.items()])
+
+
+REJECTED = (
+    ("li.item > a", None), ("li:last-child", "unsupported selector"), ("xpath://li[contains(text(),'2')]", "unsupported path"),
+    ("xpath://li[2]", "unsupported path"), ("xpath://a[@class='k']/@href", None), ("jsonpath:$..x", "unsupported JSON path"),
+    ("jsonpath:$.a[0]['b c']", None), ("regex:(", "unusable pattern"), ("regex:(?P<n>\\d+)", None), ("regex:(?(1)a|b)", "unusable pattern"), ("@href", None),
+)
+
+
+@query("rule_rejects", "SELECT page_id, k AS rule_no, problem FROM (SELECT page_id, page_id %% %d AS k, CASE %s END AS problem FROM pages) WHERE problem IS NOT NULL" % (
+    len(REJECTED), " ".join(f"WHEN page_id % {len(REJECTED)} = {k} THEN {S.lit(p) if p else 'NULL'}" for k, (_, p) in enumerate(REJECTED))))
+def rejects(t: Tables):  # noqa: ANN201
+    """One rule per page, most of them beyond what can be evaluated."""
+    number = F.col("page_id") % len(REJECTED)
+    rule = F.element_at(F.array(*[F.lit(r) for r, _ in REJECTED]), (number + 1).cast("int"))
+    return E.rule_rejects(t.pages.select("page_id", number.alias("rule_no"), rule.alias("rule"))).select("page_id", "rule_no", "problem")
+
+
 @query("extract_xpath", f"""
   SELECT conv_id, turn, role, {S.strip('text')} AS body FROM conversations""")
 def extract_xpath(t: Tables):  # noqa: ANN201

@@ -236,3 +236,21 @@ def test_domain_admission(spark):
 )
 def test_selector_support(one, selector, ok):
     assert one(H.selector_supported(F.lit(selector))) is ok
+
+
+def test_rules_that_cannot_be_evaluated_are_rejected_and_stop_nothing(spark):
+    rules = [
+        ("s", "chapters", "list", "li"), ("s", "chapters", "a", "li:last-child"), ("s", "chapters", "b", "xpath://li[contains(text(),'2')]"),
+        ("s", "chapters", "c", "xpath://li[2]"), ("s", "chapters", "d", "regex:("), ("s", "chapters", "e", "regex:(?P<x>1)"),
+        ("s", "chapters", "f", "xpath://a[@class='k']/@href"), ("s", "chapters", "g", "jsonpath:$..x"), ("s", "chapters", "h", "@text"),
+        ("j", "chapters", "list", "jsonpath:$.data.list"), ("j", "chapters", "title", "jsonpath:$.t"),
+    ]
+    table = spark.createDataFrame(rules, "source_id string, capability string, field string, rule string")
+    bad = {r.field: r.problem for r in E.rule_rejects(table).collect()}
+    assert bad == {"a": "unsupported selector", "b": "unsupported path", "c": "unsupported path", "d": "unusable pattern", "g": "unsupported JSON path"}
+    pages = spark.createDataFrame(
+        [("s", "u", "<ul><li>1<a class='k' href='h1'>z</a></li><li>2</li></ul>"), ("j", "u", '{"data":{"list":[{"t":"one"},null,{"t":"two"}]}}')],
+        "source_id string, url string, html string")
+    items = E.extract_many(E.with_rules(H.shred_html(pages), E.rule_sets(table), "chapters")).collect()
+    got = {(r.source_id, r.item_no): {k: v for k, v in r.record.items() if v is not None} for r in items}
+    assert got == {("s", 0): {"e": "1", "f": "h1", "h": "1z"}, ("s", 1): {"h": "2"}, ("j", 0): {"title": "one"}, ("j", 1): {"title": "two"}}
