@@ -61,7 +61,7 @@ def scratch_folder(spark: SparkSession) -> str:
     if named:
         return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
     if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir()
