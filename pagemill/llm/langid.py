@@ -23,7 +23,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 3000
-MOST_LANGUAGES = 400
+MOST_LANGUAGES = 100
 LETTERS = re.compile(r"[\W\d_]+")
 _MIX = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
