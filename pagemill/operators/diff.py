@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.functions.urls import candidate_keys, identity_key, normalize_url
 from pagemill.session import cut_lineage
 
+WHOLE = 100_000
 _KEYS = ("source_chapter_id", "url", "index", "title")
 
 
@@ -29,17 +32,29 @@ def _choices(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("book_id", "r").agg(F.array_distinct(ranked).alias("choices")).withColumn("at", F.lit(1))
 
 
+def _pick_in_order(book: pd.DataFrame) -> pd.DataFrame:
+    """Every remote of one book takes its first candidate that is still free."""
+    free_of: dict = {}
+    for r, choices in sorted(zip(book["r"], book["choices"], strict=True), key=lambda p: p[0]):
+        pick = next((c for c in choices if c not in free_of), None)
+        if pick is not None:
+            free_of[pick] = r
+    return pd.DataFrame({"book_id": book["book_id"].iloc[0], "r": list(free_of.values()), "l": list(free_of)}, columns=["book_id", "r", "l"])
+
+
 def match_chapters(
-    local: DataFrame, remote: DataFrame, local_order: str = "index", remote_order: str = "index"
+    local: DataFrame, remote: DataFrame, local_order: str = "index", remote_order: str = "index", whole: int = WHOLE
 ) -> DataFrame:
     """One-to-one matches (book_id, r, l), as if remote rows picked in order.
 
     Remotes propose to their best candidate, a local keeps the earliest proposer, rejected remotes propose to their
     next candidate, until nobody is rejected. Books where every proposal was kept at once are finished in the first
-    round; later rounds carry only the books with a conflict. Each round is a checkpoint, so a lost executor never
-    restarts the loop.
+    round. A book with a conflict and at most ``whole`` proposing chapters is then settled in remote order in one task;
+    only larger ones go through further rounds, which may be as many as the longest chain of rejections. Each round is a
+    checkpoint, so a lost executor never restarts the loop.
     """
     state = cut_lineage(_choices(_proposals(local, remote, local_order, remote_order)))
+    order = state.schema["choices"].dataType.elementType
     done = None
     while True:
         proposal = state.withColumn("l", F.try_element_at("choices", F.col("at")))
@@ -58,7 +73,13 @@ def match_chapters(
         )
         if judged.filter("lost").isEmpty():
             return done
-        state = rest
+        bounded = rest.groupBy("book_id").agg(F.count("*").alias("n")).filter(F.col("n") <= whole).select("book_id")
+        schema = T.StructType([state.schema["book_id"], state.schema["r"], T.StructField("l", order)])
+        small = rest.join(bounded, "book_id", "left_semi").select("book_id", "r", "choices")
+        done = done.unionByName(small.groupBy("book_id").applyInPandas(_pick_in_order, schema))
+        state = rest.join(bounded, "book_id", "left_anti")
+        if state.isEmpty():
+            return done
 
 
 def chapter_diff(

@@ -65,8 +65,21 @@ def test_contested_matches_equal_the_sequential_rule(spark):
         for side in (local, remote):
             for i in range(rng.randint(0, 7)):
                 side.append((f"b{b}", rng.choice([None, *"1234"]), rng.choice(["", *[f"https://a/{k}" for k in range(4)]]), i, f"t{i % 2}"))
+    for whole in (0, 4, D.WHOLE):  # all in rounds, some books in one task, all in one task
+        got = D.match_chapters(spark.createDataFrame(local, CHAPTER), spark.createDataFrame(remote, CHAPTER), whole=whole)
+        assert {(r["book_id"], r["r"]): r["l"] for r in got.collect()} == in_order(local, remote)
+
+
+def test_a_shifted_catalogue_needs_few_checkpoints(spark, monkeypatch):
+    from pagemill.operators import diff as module
+
+    taken, cut = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: taken.append(1) or cut(df))
+    local = [("b", str(i), f"https://a/{i}", i, "t") for i in range(2000)]
+    remote = [("b", str(i + 1), f"https://a/{i}", i, "t") for i in range(2000)]
     got = D.match_chapters(spark.createDataFrame(local, CHAPTER), spark.createDataFrame(remote, CHAPTER))
     assert {(r["book_id"], r["r"]): r["l"] for r in got.collect()} == in_order(local, remote)
+    assert len(taken) <= 3
 
 
 def test_diff_partitions_both_sides(spark):
