@@ -23,6 +23,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 3000
+TOGETHER = 100  # texts hashed at once; a text of 1,000 characters takes some 150 KB on the way
 MOST_LANGUAGES = 100
 LETTERS = re.compile(r"[\W\d_]+")
 _MIX = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -76,7 +77,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
             langs = batch.column(0).to_pylist()
             buckets, starts = ngram_buckets(texts(batch.column(1)))
             for k, lang in enumerate(langs):
@@ -124,7 +125,7 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, log = model.value
-        for batch in batches:
+        for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
             best, score = predict(texts(batch.column(at)), names, log)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
