@@ -11,6 +11,7 @@ import json
 import re
 import struct
 import unicodedata
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
@@ -25,7 +26,7 @@ _NOT_A_CUT = r" ([\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{
 _CUT = re.compile(r"(?= \S)")
 #: Beyond these code points Unicode versions may differ; the capital dotted I changes its length when lowered.
 _FAR = re.compile("[^\x00-\u024f]|\u0130")
-MOST_KNOWN = 2_000_000
+MOST_KNOWN = 600_000
 
 
 def _kind(path: str) -> tuple[str, str]:
@@ -48,8 +49,8 @@ def _kind(path: str) -> tuple[str, str]:
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, one instance per Python worker and tokenizer file.
 
-    Words and the pieces that the pre-tokenizer cuts them into are remembered together. The memory is bounded; a full one is
-    emptied, which costs time and changes nothing else.
+    Words and the pieces that the pre-tokenizer cuts them into are remembered together, in two generations of bounded size:
+    a full young one becomes the old one, and what is met again moves back, so frequent words are never forgotten.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,6 +65,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self._special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         done = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -83,11 +85,23 @@ class Encoder:
             return [word]
         return self._pattern.findall(lowered)
 
+    def _recall(self, words: Iterable[str]) -> list[str]:
+        """Move what the old generation has into the young one; the rest is new."""
+        new, old, known = [], self._old, self._known
+        for word in words:
+            ids = old.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                known[word] = ids
+        return new
+
     def _learn(self, words: list[str]) -> None:
         """Ids of words not met before; what their pieces need is encoded in one call."""
         known = self._known
+        words = self._recall(words)
         cuts = [self._pieces(word) for word in words]
-        new = list(set(chain.from_iterable(cuts)).difference(known))
+        new = self._recall(set(chain.from_iterable(cuts)).difference(known))
         known.update(zip(new, self._whole(new), strict=True))
         for word, pieces in zip(words, cuts, strict=True):
             if len(pieces) > 1:
@@ -109,7 +123,7 @@ class Encoder:
         if self.kind == "other":
             return self._whole(column.to_pylist())
         if len(self._known) > MOST_KNOWN:
-            self._known.clear()
+            self._old, self._known = self._known, {}
         odd = pc.match_substring_regex(column, _NOT_A_CUT)
         usual = column.filter(pc.invert(odd))
         lists = pc.split_pattern(pc.replace_substring(usual, " ", "\0 "), "\0")
