@@ -28,10 +28,10 @@ from pagemill.llm.sampling import fold
 DISCOUNT = 0.75
 LEAST_COUNTS = (1, 2)  # of stored bigrams and trigrams; what is left out goes to the shorter context
 SHARD_TOKENS = 4_000_000
-WORD_SHARDS = 64
-HELD_TOKENS = 3_000_000
+MOST_WORD_BITS = 12
+HELD_TOKENS = 1_500_000
 STEPS = 255 / 12.0  # quantisation of -log10 p, 8 bits for 12 decades
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LETTER = np.random.default_rng(42).integers(1, 2**63, 256, dtype=np.uint64)  # a fixed random word per byte
@@ -93,8 +93,20 @@ def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64)
 
 
+def word_bits(texts: DataFrame) -> int:
+    """Leading hash bits that name a vocabulary shard: at least as many shards as shuffle partitions, from 64 to 4096."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_WORD_BITS, max(6, (partitions - 1).bit_length()))
+
+
+def _shard_cuts(words: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard begins among ascending hashes, and the end."""
+    return np.searchsorted(words >> np.uint64(63 - (shards - 1).bit_length()), np.arange(shards + 1))
+
+
 def count_words(texts: DataFrame, folder: str) -> list[tuple[int, int]]:
     """Write the vocabulary shards; (words, tokens) per shard in order."""
+    shards = 1 << word_bits(texts)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -109,10 +121,10 @@ def count_words(texts: DataFrame, folder: str) -> list[tuple[int, int]]:
             if sum(map(len, held)) > HELD_TOKENS:
                 totals, held = merge(), []
         words, n = merge()
-        cut = np.searchsorted(words >> np.uint64(57), np.arange(WORD_SHARDS + 1))
-        shards = np.flatnonzero(np.diff(cut))
-        columns = [pa.array(shards, pa.int32())]
-        columns += [pa.array([c[cut[s] : cut[s + 1]].tobytes() for s in shards], pa.binary()) for c in (words, n)]
+        cut = _shard_cuts(words, shards)
+        used = np.flatnonzero(np.diff(cut))
+        columns = [pa.array(used, pa.int32())]
+        columns += [pa.array([c[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary()) for c in (words, n)]
         yield pa.RecordBatch.from_arrays(columns, names=["shard", "words", "n"])
 
     def write(table: pa.Table) -> pa.Table:
@@ -120,13 +132,13 @@ def count_words(texts: DataFrame, folder: str) -> list[tuple[int, int]]:
         words = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in table.column("words")])
         n = np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in table.column("n")])
         words, n = _sum(words, n)
-        shared.put(f"{folder}/words-{shard:03d}", pack_arrays(build(words, 1 << 63) | {"sum": np.r_[0, np.cumsum(n)].astype(np.uint64)}))
+        shared.put(f"{folder}/words-{shard:04d}", pack_arrays(build(words, 1 << 63) | {"sum": np.r_[0, np.cumsum(n)].astype(np.uint64)}))
         return pa.table({"shard": pa.array([shard], pa.int32()), "words": [len(words)], "tokens": [int(n.sum())]})
 
     counted = texts.mapInArrow(local, "shard int, words binary, n binary")
-    rows = counted.groupBy("shard").applyInArrow(write, "shard int, words long, tokens long").collect()  # WORD_SHARDS short rows
+    rows = counted.groupBy("shard").applyInArrow(write, "shard int, words long, tokens long").collect()  # one short row per shard
     by = {r["shard"]: (r["words"], r["tokens"]) for r in rows}
-    return [by.get(s, (0, 0)) for s in range(WORD_SHARDS)]
+    return [by.get(s, (0, 0)) for s in range(shards)]
 
 
 class Vocabulary:
@@ -140,7 +152,7 @@ class Vocabulary:
         self._shards: list[tuple[EliasFano, np.ndarray] | None] = []
         for s, (n, _) in enumerate(sizes):
             if n:
-                a = open_arrays(shared.get(f"{folder}/words-{s:03d}"))
+                a = open_arrays(shared.get(f"{folder}/words-{s:04d}"))
                 self._shards.append((EliasFano(a["low"], a["high"], a["zeros"], a["shape"]), a["sum"]))
             else:
                 self._shards.append(None)
@@ -152,10 +164,10 @@ class Vocabulary:
         distinct, _, inverse = _places(hashes)
         ids = np.full(len(distinct), self.unknown, np.int64)
         count, below = np.zeros(len(distinct), np.int64), np.full(len(distinct), self.tokens, np.int64)
-        cut = np.searchsorted(distinct >> np.uint64(57), np.arange(WORD_SHARDS + 1))
-        for s, shard in enumerate(self._shards):
-            part = slice(cut[s], cut[s + 1])
-            if shard is None or part.start == part.stop:
+        cut = _shard_cuts(distinct, len(self._shards))
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            shard, part = self._shards[s], slice(cut[s], cut[s + 1])
+            if shard is None:
                 continue
             found = shard[0].find(distinct[part])
             known = np.flatnonzero(found >= 0)
