@@ -19,7 +19,7 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits = [np.zeros(0, np.uint8)]
     if width:
         shifts = np.arange(width, dtype=np.uint64)
-        step = 8 * max(1, (1 << 21) // width)  # whole bytes per part
+        step = 8 * max(1, (1 << 18) // width)  # whole bytes per part, some 16 MB on the way
         for k in range(0, n, step):
             bits.append(np.packbits(((values[k : k + step, None] >> shifts) & _ONE).astype(np.uint8).ravel(), bitorder="little"))
     low = np.concatenate([*bits, np.zeros(8, np.uint8)])
