@@ -53,7 +53,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return packing.pack_documents(docs, public_file("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_file("byte_bpe_50k.json"), remember=False)  # workers of other stages stay small
 
 
 STAGES = [

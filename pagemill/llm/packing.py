@@ -28,9 +28,11 @@ STUCK_BINS = 24
 ROUNDS_PER_PIECE = 4
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, remember: bool = True) -> DataFrame:
     """One row per piece of every document: ``doc_id, piece, start, length, ids_crc32``.
 
+    ``remember`` keeps the words met for the next task of a worker; without it a task ends as small as it began.
+
     Null texts count as empty: one piece that holds the end id. Null and repeated ``doc_id`` are kept as they are.
     """
     bounded(docs.sparkSession)
@@ -53,6 +55,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int =
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names)
+        if not remember:
+            enc.forget()
 
     return select(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text").mapInArrow(run, PIECES)
 
@@ -203,10 +207,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_pieces: int = GROUP_PIEC
     return full.unionByName(named(first.filter(whole), 0)).unionByName(named(second, 1))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, remember: bool = True) -> DataFrame:
     """Pack whole documents: one row per piece with ``sequence_id`` and ``offset``.
 
     Null or empty texts give a piece of one token. An empty table gives no rows. Repeated rows are packed as often as they
     occur. Other columns are ignored, whatever their names.
     """
-    return pack(cut_lineage(cut_pieces(docs, tokenizer, end_id, capacity)), capacity)
+    return pack(cut_lineage(cut_pieces(docs, tokenizer, end_id, capacity, remember)), capacity)
