@@ -26,7 +26,7 @@ _NOT_A_CUT = r" ([\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{
 _CUT = re.compile(r"(?= \S)")
 #: Beyond these code points Unicode versions may differ; the capital dotted I changes its length when lowered.
 _FAR = re.compile("[^\x00-\u024f]|\u0130")
-MOST_KNOWN = 600_000
+MOST_KNOWN = 900_000
 
 
 def _kind(path: str) -> tuple[str, str]:
@@ -85,6 +85,10 @@ class Encoder:
             return [word]
         return self._pattern.findall(lowered)
 
+    def forget(self) -> None:
+        """Give the memory back, for workers that go on with other work."""
+        self._known, self._old = {}, {}
+
     def _recall(self, words: Iterable[str]) -> list[str]:
         """Move what the old generation has into the young one; the rest is new."""
         new, old, known = [], self._old, self._known
