@@ -24,7 +24,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Encodings by the pattern of all their characters, and their alphabets; the first that fits is taken.
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),

@@ -81,6 +81,15 @@ def test_masking(docs):
     assert by[37] == "key [SECRET] end"
 
 
+def test_tokens_after_equals_signs(docs):
+    value = "q7Rk2LmZ9xVb4TnW8sYp3HdC"
+    texts = [f"AUTH_KEY={value}", f"AWS_SECRET_ACCESS_KEY={value}", f"https://h.example/p?sig={value}&x=1", f"a=={value}"]
+    by = check(secrets.find_secrets(docs(list(enumerate(texts)))), list(enumerate(texts)))
+    for k, t in enumerate(texts):
+        at = t.index(value)
+        assert f"random:{at}:{at + len(value)}" in by[k].spans.split(",")
+
+
 def test_native_plan(docs):
     plan = secrets.mask_secrets(docs(ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
