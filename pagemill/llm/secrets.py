@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control for what they miss.
 
-Candidates are long tokens that mix letters and digits. The encoding of a candidate is inferred (hexadecimal, base 32,
-base 64) and gives an alphabet; uniformity of the alphabet (chi-squared), runs about the middle of the alphabet and serial
-correlation are tested against random characters. The smallest of the three p-values, corrected for taking the smallest,
+Candidates are all long tokens. The encoding of a candidate is inferred (hexadecimal, base 32, 36, 62 and 64, or the union of
+both kinds of base 64) and gives an alphabet; uniformity of the alphabet (chi-squared), runs about the middle of the alphabet,
+serial correlation, and runs of one class of characters together with the share of common letters (words and names stay in a
+class and prefer e, t, a, o, i, n, s, r) are tested against random characters. The smallest of the four p-values, corrected for taking the smallest,
 says how unlike random characters the token is. Tests on short tokens are weak, so the Benjamini-Hochberg step that
 declares tokens ordinary is made within classes of length, over all documents, from a histogram of bounded size. What it
 doesn't declare ordinary is reported. Native column functions only; every text is read once.
@@ -31,11 +32,16 @@ ENCODINGS = (
     ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF"),
     ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("BASE36", "^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("base62", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("base64", "^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("either", "^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
+COMMON = "etaoinsrETAOINSR"
+CLASS_RUN = "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"
 LENGTH_CLASSES = (20, 28, 40, 64, 128)
-FDR = 0.2
+FDR = 0.01
 BINS = 400
 SPAN = "array<struct<start:bigint,rank:int,stop:bigint>>"
 
@@ -83,19 +89,26 @@ def base_spans(text: Column) -> Column:
 
 def _tail(z: Column) -> Column:
     """Upper tail of the normal distribution, by the logistic approximation (error below 0.0002)."""
-    z = F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))
-    return 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
+    return let(F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0)), lambda z: 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z)))
+
+
+def _class_shares(letters: str) -> tuple[float, float, float]:
+    """Chances that two, and that three, random characters of the alphabet are of one class, and that one is a common letter."""
+    kinds = (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())
+    shares = [sum(map(kind, letters)) / len(letters) for kind in kinds]
+    return sum(x**2 for x in shares), sum(x**3 for x in shares), sum(c in COMMON for c in letters) / len(letters)
 
 
 def nonrandom_p(token: Column) -> Column:
     """p-value of the battery under random characters of the inferred encoding; null if no encoding fits."""
     body = F.rtrim(token, F.lit("="))
-    alphabet = F.lit(None).cast("string")
+    alphabet = F.lit(None).cast("struct<letters:string,two:double,three:double,common:double>")
     for _, pattern, letters in reversed(ENCODINGS):
-        alphabet = F.when(body.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+        named = zip(("letters", "two", "three", "common"), (letters, *_class_shares(letters)), strict=True)
+        alphabet = F.when(body.rlike(pattern), F.struct(*[F.lit(v).alias(k) for k, v in named])).otherwise(alphabet)
 
     def battery(x: Column) -> Column:
-        s, letters = x["body"], x["alphabet"]
+        s, (letters, two, three, common) = x["body"], [x["alphabet"][k] for k in ("letters", "two", "three", "common")]
         n, k = F.length(s).cast("double"), F.length(letters).cast("double")
         squares = F.aggregate(
             F.split(letters, ""), F.lit(0.0), lambda a, c: a + F.when(c == "", 0.0).otherwise(F.pow(F.length(s) - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0)))
@@ -105,17 +118,25 @@ def nonrandom_p(token: Column) -> Column:
         hilferty = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
         values = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.instr(letters, c).cast("double") - (k + 1) / 2)
 
+        same = n - F.regexp_count(s, F.lit(CLASS_RUN)).cast("double")  # neighbours of one class
+        spread_same = (n - 1) * two * (1 - two) + 2 * (n - 2) * (three - two * two)
+        often = F.regexp_count(s, F.lit(f"[{COMMON}]")).cast("double")
+        z_class = ((same - (n - 1) * two) / F.sqrt(spread_same) + (often - n * common) / F.sqrt(n * common * (1 - common))) / F.sqrt(F.lit(2.0))
+
         def ordered(v: Column) -> Column:
             high = F.aggregate(v, F.lit(0.0), lambda a, y: a + F.when(y > 0, 1.0).otherwise(0.0))
             runs = F.aggregate(F.transform(v, lambda y, i: F.when((i > 0) & ((y > 0) == (F.get(v, i - 1) > 0)), 0.0).otherwise(1.0)), F.lit(0.0), lambda a, y: a + y)
             mean = 2 * high * (n - high) / n + 1
             variance = (mean - 1) * (mean - 2) / (n - 1)
             z_runs = F.when(variance > 0, F.abs(runs - mean) / F.sqrt(variance)).otherwise(12.0)
-            mid = F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / n
-            spread = F.aggregate(v, F.lit(0.0), lambda a, y: a + (y - mid) * (y - mid))
-            pairs = F.aggregate(F.transform(v, lambda y, i: F.when(i > 0, (y - mid) * (F.get(v, i - 1) - mid)).otherwise(0.0)), F.lit(0.0), lambda a, y: a + y)
-            z_serial = F.when(spread > 0, F.abs(pairs / spread) * F.sqrt(n)).otherwise(12.0)
-            return F.least(F.lit(1.0), 3 * F.least(_tail(hilferty), 2 * _tail(z_runs), 2 * _tail(z_serial)))
+
+            def serial(mid: Column) -> Column:  # bound, or it would be summed again for every character
+                spread = F.aggregate(v, F.lit(0.0), lambda a, y: a + (y - mid) * (y - mid))
+                pairs = F.aggregate(F.transform(v, lambda y, i: F.when(i > 0, (y - mid) * (F.get(v, i - 1) - mid)).otherwise(0.0)), F.lit(0.0), lambda a, y: a + y)
+                return F.when(spread > 0, F.abs(pairs / spread) * F.sqrt(n)).otherwise(12.0)
+
+            z_serial = let(F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / n, serial)
+            return F.least(F.lit(1.0), 4 * F.least(_tail(hilferty), _tail(z_class), 2 * _tail(z_runs), 2 * _tail(z_serial)))
 
         return let(values, ordered)
 
@@ -128,9 +149,8 @@ def _candidates(text: Column, base: Column) -> Column:
 
     def found(spans: Column, tokens: Column) -> Column:
         apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-        mixed = lambda t: t.rlike("[0-9].*[0-9].*[0-9]") & t.rlike("[A-Za-z].*[A-Za-z].*[A-Za-z]")
         all_of = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.get(tokens, i).alias("token")))
-        kept = F.filter(all_of, lambda x: mixed(x["token"]) & apart(x))
+        kept = F.filter(all_of, apart)
         return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), nonrandom_p(x["token"]).alias("p")))
 
     none = F.array().cast("array<struct<start:bigint,stop:bigint,p:double>>")

@@ -90,6 +90,18 @@ def test_tokens_after_equals_signs(docs):
         assert f"random:{at}:{at + len(value)}" in by[k].spans.split(",")
 
 
+def test_recall_among_ordinary_tokens(docs):
+    """Random tokens of any encoding, few digits or both kinds of base 64 among nine times as many words and names."""
+    words = ["Donaudampfschifffahrt", "internationalization", "some_long_function_name", "getUserNameByAccountId", "/usr/share/doc/packages", "MAXIMUM_BUFFER_LENGTH"]
+    kinds = [B64, B64 + "-_", B64 + "+/", B64 + "+/-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", B64[:26] + "0123456789", "0123456789ABCDEF"]
+    random = [token(a, n) for a in kinds for n in (20, 24) for _ in range(20)] + ["qXRkALmZbxVbFTnWhsYpGHdC", "aB+c9-Zk_Q/x7LmR2pVt4W0s"]
+    pairs = list(enumerate(random + [w + "abcdefgh"[k % 8] for k in range(9 * len(random) // len(words)) for w in words]))
+    rows = {r.doc_id: r.n_random for r in secrets.find_secrets(docs([(k, f"see {t} now") for k, t in pairs])).collect()}
+    assert sum(rows[k] for k in range(len(random))) >= 0.97 * len(random)
+    assert rows[len(random) - 2] == rows[len(random) - 1] == 1
+    assert sum(rows[k] for k in range(len(random), len(pairs))) <= 0.02 * len(pairs)
+
+
 def test_native_plan(docs):
     plan = secrets.mask_secrets(docs(ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
