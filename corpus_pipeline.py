@@ -30,12 +30,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the least id of each group; of rows that share this id one stays, and so do rows without an id."""
-    named = docs.filter(F.col("doc_id").isNotNull())
-    groups = simhash.near_duplicates(named)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first")).distinct()
-    kept = named.join(first, F.col("doc_id") == F.col("first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each group: the least id, a null one last; rows that share an id are told apart by their contents."""
+    return simhash.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -219,6 +219,34 @@ def near_links(fps: DataFrame, radius: int = 4, hot: int = HOT) -> DataFrame:
     return links.unionByName(met.mapInArrow(_search(radius, ["bucket", "i", "j"]), "a long, b long"))
 
 
+def one_of_each(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
+    """One row, in all its columns, of each component of ``near_duplicates``; rows without an id join their groups.
+
+    The survivor is chosen by row, not by id: the least id (null last), then the least hash of the row. Only rows that are alike in
+    all columns (maps excepted) are interchangeable, so runs agree.
+    """
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    marks = (F.xxhash64(*plain), F.hash(*plain))  # 96 bits
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("doc_id"), marks[0].alias("h"), marks[1].alias("g"))
+    bounded(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([fingerprint(t, size) for t in texts(batch.column(1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["key", "fp"])
+
+    kind = "struct<unnamed:boolean,doc_id:long,h:long,g:int>"
+    marked = docs.select(key.cast(kind).alias("key"), "text").mapInArrow(run, f"key {kind}, fp long")
+    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("key").alias("key")))
+    roots = components(near_links(distinct.select("fp"), radius))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "key")
+    first = placed.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.h").alias("h"), F.col("key.g").alias("g"))
+    names = docs.columns
+    rows = docs.select(F.struct(*[f"`{c}`" for c in names]).alias("row"), marks[0].alias("h"), marks[1].alias("g"))
+    kept = rows.join(first, ["h", "g"], "left_semi").dropDuplicates(["h", "g"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document.
 

@@ -71,6 +71,15 @@ def test_stages_against_brute_force(spark, folder):
     _valid(whole.collect(), _pieces(rows))
 
 
+def test_one_row_of_each_group(spark, docs):
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(5, a), (7, a), (7, b), (7, b), (None, b), (None, c), (None, c), (9, a + " tail")]
+    for order in (rows, rows[::-1]):
+        kept = corpus_pipeline.drop_near_copies(spark, docs(order).repartition(3), "").collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(5, a), (7, b), (None, c)], key=repr)
+
+
 def test_empty_table(spark, docs):
     path = shared.new_folder(spark, "fixture")
     docs([]).write.parquet(f"{path}/documents.parquet")
