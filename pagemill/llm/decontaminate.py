@@ -4,7 +4,7 @@ Texts are lower-cased and white space is folded. A benchmark item is cut into ov
 within k edits of a segment of m characters shares at least m - q + 1 - kq of its q-grams, and their diagonals (place in the
 text minus place in the segment) differ by at most k from one another. So shared q-grams are counted in overlapping bands of
 diagonals, each twice as wide as needed; bands that reach the bound are aligned with the segment inside the band, and the
-region is reported if the alignment needs at most k edits.
+region is reported if the alignment needs at most k edits. Items below 20 characters must occur exactly, as whole words.
 """
 
 from __future__ import annotations
@@ -75,17 +75,17 @@ def edit_budget(length: int, edit_share: float = EDIT_SHARE) -> int:
 
 
 def build_index(rows: list[tuple], edit_share: float = EDIT_SHARE) -> Index:
-    """``rows`` are (item_id, text); texts under LEAST_CHARS characters are no evidence and are left out."""
+    """``rows`` are (item_id, text); texts under LEAST_CHARS characters have no edits, those under Q have no q-gram and are left out."""
     items, item, segment = [], [], []
     for name, text in rows:
         whole = normal(text or "")
-        if len(whole) < LEAST_CHARS:
+        if len(whole) < Q:
             continue
         starts = [0] if len(whole) <= SEGMENT else sorted({*range(0, len(whole) - SEGMENT, SEGMENT // 2), len(whole) - SEGMENT})
         segment += [whole[s : s + SEGMENT] for s in starts]
         item += [len(items)] * len(starts)
         items.append(name)
-    budget = np.array([edit_budget(len(s), edit_share) for s in segment], np.int64)
+    budget = np.array([edit_budget(len(s), edit_share) if len(s) >= LEAST_CHARS else 0 for s in segment], np.int64)
     bound = np.array([len(s) - Q + 1 for s in segment], np.int64) - Q * budget
     hashed = [grams(codes(s)) for s in segment]
     key = np.concatenate([*hashed, np.zeros(0, np.uint64)])
@@ -130,6 +130,27 @@ def align(text: str, segment: str, budget: int) -> tuple[int, int, int] | None:
     return (int(row[end]), int(start[end]), end) if row[end] <= budget else None
 
 
+#: Scripts that put no space between words, by ranges of code points.
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def _joins(a: str, b: str) -> bool:
+    """Whether two neighbouring characters lie within one word."""
+    spaced = lambda c: c.isalnum() and not any(lo <= ord(c) <= hi for lo, hi in UNSPACED)
+    return spaced(a) and spaced(b)
+
+
+def whole_words(text: str, item: str, lo: int, hi: int) -> tuple[int, int, int] | None:
+    """(0, start, stop) of the first exact occurrence of ``item`` inside ``text[lo:hi]`` that cuts no word of ``text``."""
+    at = text.find(item, lo, hi)
+    while at >= 0:
+        end = at + len(item)
+        if not (at and _joins(text[at - 1], item[0])) and not (end < len(text) and _joins(item[-1], text[end])):
+            return 0, at, end
+        at = text.find(item, at + 1, hi)
+    return None
+
+
 def least_edits(text: str, segment: str) -> int:
     """Edits of the best region, by Myers' bit-parallel columns: one whole-number word holds a column of the table."""
     where: dict[str, int] = {}
@@ -209,10 +230,14 @@ def find(batch: list[str], index: Index) -> list[tuple[int, int, int, int, int]]
         k, wide, pattern = int(index.budget[s]), int(2 * index.budget[s] + 1), index.segment[s]
         low = (b - 1) * wide - 2 * SEGMENT  # the band spans diagonals [low, low + 2 wide)
         lo, hi = max(0, low - k), max(0, low + 2 * wide + len(pattern) + k)
+        key = (r, int(index.item[s]))
+        if len(pattern) < LEAST_CHARS:
+            if key not in best and (exact := whole_words(clean[r], pattern, lo, hi)):  # bands go from left to right
+                best[key] = exact
+            continue
         region = clean[r][lo:hi]
         found = align(region, pattern, k) if pattern in region or least_edits(region, pattern) <= k else None
         if found:
-            key = (r, int(index.item[s]))
             best[key] = min(best.get(key, (1 << 30, 0, 0)), (found[0], lo + found[1], lo + found[2]))
     return [(r, i, start, stop, edits) for (r, i), (edits, start, stop) in sorted(best.items())]
 
@@ -234,8 +259,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE)
     """``doc_id, item_id, start, stop, edits``: one row per document and benchmark item found in it, the best region of it.
 
     Places are in the lower-cased text with folded white space. All of every text is searched. Null and empty texts hold
-    nothing; repeated rows are reported as often as they occur; null ids are carried. Items below 20 characters are ignored;
-    an empty benchmark or table gives no rows. Each block of the benchmark is one pass over the documents.
+    nothing; repeated rows are reported as often as they occur; null ids are carried. Items of 7 to 19 characters must
+    occur exactly, as whole words; shorter ones are ignored; an empty benchmark or table gives no rows. Each block of the benchmark is one pass over the documents.
     """
     context = bounded(docs.sparkSession).sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

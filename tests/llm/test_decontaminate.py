@@ -77,6 +77,14 @@ def test_documents(spark, docs):
     assert d.leaks(docs(pairs), bench.limit(0)).count() == 0
 
 
+def test_short_items_as_whole_words():
+    items = [(1, "Who wrote Hamlet?"), (2, "art of"), (3, "the art"), (4, "\u8c01\u5199\u4e86\u54c8\u59c6\u96f7\u7279"), (5, "x" * 19)]
+    index = d.build_index(items)
+    batch = ["so: WHO  wrote Hamlet? Shakespeare", "who wrote a hamlet?", "bathe artist, breathe art", "See the art.", "\u95ee\u8c01\u5199\u4e86\u54c8\u59c6\u96f7\u7279\u5417", "x" * 20]
+    found = [(r, index.items[i], edits, d.normal(batch[r])[a:b]) for r, i, a, b, edits in d.find(batch, index)]
+    assert found == [(0, 1, 0, "who wrote hamlet?"), (3, 3, 0, "the art"), (4, 4, 0, items[3][1])]
+
+
 def test_blocks_cover_the_benchmark(spark):
     bench = spark.createDataFrame([(k, f"item number {k} " * 5) for k in range(40)], "item_id long, text string")
     parts = list(d.blocks(bench, 500))
