@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontaminate, langid, ngram_lm, packing, rules, secrets, shared, simhash, suffixes, token_file, toxicity
+from pagemill.llm import bpe, decontaminate, langid, ngram_lm, packing, rules, secrets, shared, simhash, suffixes, token_file, toxicity
 from pagemill.llm.tokens import public_file
 from pagemill.session import prepare
 
@@ -96,3 +96,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     files = token_file.write_tokens(table(spark, folder, "documents"), public_file("word_bpe_49k.json"), shared.new_folder(spark, "tokens"))
     return token_file.read_tokens(files)
+
+
+@query("op12_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, folder, "documents"), public_file("word_bpe_49k.json"))
