@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import bpe, decontaminate, langid, ngram_lm, packing, rules, secrets, shared, simhash, suffixes, token_file, toxicity
+from pagemill.llm import bpe, decontaminate, importance, langid, ngram_lm, packing, rules, secrets, shared, simhash, suffixes, token_file, toxicity
 from pagemill.llm.tokens import public_file
 from pagemill.session import prepare
 
@@ -98,6 +98,38 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_file.read_tokens(files)
 
 
+OP11_SQL = r"""
+WITH RECURSIVE byte AS (SELECT 0 AS k, range(256) AS t UNION ALL
+  SELECT k + 1, list_transform(t, lambda c: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FROM byte WHERE k < 8),
+crc AS (SELECT t FROM byte WHERE k = 8),
+words AS (SELECT 'd' AS side, row_number() OVER () AS row_no, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+features AS (SELECT side, row_no, unnest(w) AS f FROM words
+  UNION ALL SELECT side, row_no, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
+met AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)),
+bucketed AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM met, crc),
+counted AS (SELECT side, bucket, count(*) AS n FROM features JOIN bucketed USING (f) GROUP BY ALL),
+sums AS (SELECT coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t FROM counted),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE + 1) * (any_value(s) + 10000)
+    / ((coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE + 1) * (any_value(t) + 10000))))::BIGINT AS g FROM counted, sums GROUP BY bucket),
+weight AS (SELECT row_no, count(*) AS n_features, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight
+  FROM features JOIN bucketed USING (f) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY row_no),
+scored AS (SELECT doc_id, row_no, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(w) >= 20 AS able,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weight USING (row_no) WHERE side = 'd'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS FIRST) AS r, count(*) FILTER (able) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= 25 * n // 100 THEN r END AS rank FROM ranked
+"""
+
+
+@query("op11_importance_sample", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.importance_sample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op12_bpe")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"), public_file("word_bpe_49k.json"))
