@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill import fixed
@@ -44,25 +44,39 @@ def upsert_books(books: DataFrame, drafts: DataFrame, now: Column, order: str |
     return joined.withColumns(cols).drop("_old", "_hit", "_extra", *[f"_new_{c}" for c in BOOK_REFRESHED])
 
 
+def _winners(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per key, the last by ``order``, ties by a hash of the row. Rows with bodies are neither aggregated nor made into
+    text: each task keeps its own best row per key before anything is shuffled."""
+    digest = F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind])
+    place = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order), digest)
+    return rows.withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_place")
+
+
 def upsert_chapters(chapters: DataFrame, incoming: DataFrame, order: str = "updated_at") -> DataFrame:
     """Match on (book_id, identity_key): repeats in the batch collapse to the latest, an existing row keeps its id and
-    creation time. One snapshot, one write, one commit."""
+    creation time. Null keys match null keys. One snapshot, one write, one commit.
+
+    What is known of existing rows is joined from narrow columns; bodies of rows that stay are only read and passed on, past
+    the keys that came in, so they never wait in a sort beside the new ones. Keys of ``incoming`` are read once more for that.
+    """
     keys = ["book_id", "identity_key"]
     key = identity_key("source_chapter_id", "url", "index", "title")
     old = chapters if "identity_key" in chapters.columns else chapters.withColumn("identity_key", key)
     new = incoming if "identity_key" in incoming.columns else incoming.withColumn("identity_key", key)
-    new = _latest(new.select(*[c for c in old.columns if c in new.columns]), keys, order)
+    new = new.select(*[c for c in old.columns if c in new.columns])
     kept = ("id", "created_at")
-    rest = [c for c in old.columns if c not in (*keys, *kept)]
-    fresh = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in new.columns if c not in keys], F.lit(True).alias("_hit"))
-    joined = old.withColumn("_old", F.lit(True)).join(fresh, keys, "full_outer")
-    hit = F.col("_hit").isNotNull()
-    cols = {
-        **{c: F.coalesce(F.col(c), F.col(f"_new_{c}")) for c in kept},
-        **{c: F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in rest if c in new.columns},
-        "merge_action": F.when(F.col("_old").isNull(), "insert").when(hit, "update").otherwise("keep"),
-    }
-    return joined.withColumns(cols).drop("_old", "_hit", *[f"_new_{c}" for c in new.columns if c not in keys])
+    carried = [c for c in old.columns if c not in keys and (c in kept or c not in new.columns)]
+    known = old.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *[F.col(c).alias(f"_old_{c}") for c in carried], F.lit(True).alias("_hit"))
+    met = _winners(new, keys, order).join(known, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys], "left")
+
+    def value(c: str) -> Column:
+        before, now = [F.col(f"_old_{c}")] if c in carried else [], [F.col(c)] if c in new.columns else []
+        return F.coalesce(*before, *now).alias(c)
+
+    action = F.when(F.col("_hit").isNull(), "insert").otherwise("update").alias("merge_action")
+    came = new.select(*[F.col(c).alias(f"_k_{c}") for c in keys])
+    stay = old.join(came, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys], "left_anti").withColumn("merge_action", F.lit("keep"))
+    return stay.unionByName(met.select(*[value(c) for c in old.columns], action))
 
 
 SOURCE_DEFINITION = ("name", "version", "spec_version", "homepage", "license", "capabilities")

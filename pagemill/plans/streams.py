@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
+from pagemill.operators import library as L
 from pagemill.operators.quality import ContentPolicy, accepted, process_content
 from pagemill.plans import crawl, quality
 from pagemill.plans import sqltext as S
@@ -131,29 +132,70 @@ def content(t: Tables):  # noqa: ANN201
     return drained(done.select("doc_id", F.col("word_count").cast("long").alias("word_count"), "content_hash"))
 
 
-@query("incremental_intake", f"""WITH ch AS ({W.CHAPTERS}), n AS (SELECT *, {S.normalize(S.clean('content'))} AS body FROM ch)
-  SELECT book_id, "index", title, {S.words('body')} AS word_count, {S.content_hash('body')} AS content_hash FROM n""")
-def incremental(t: Tables):  # noqa: ANN201
-    """Chapters land, are gated, diffed and merged batch by batch; the second run over the same rows adds nothing."""
+_LANDED = 1704067200
+_INTAKE = f"""WITH ch AS ({W.CHAPTERS}),
+  a AS (SELECT book_id, "index", title, {S.normalize(S.clean('content'))} AS body, {_LANDED} AS seen, 0 AS batch FROM ch),
+  b AS (SELECT book_id, "index", title, {S.normalize(S.clean("CASE WHEN substr(book_id, 2)::BIGINT % 7 = 0 THEN ' ' WHEN substr(book_id, 2)::BIGINT % 5 = 0 THEN content || ' more' ELSE content END"))} AS body,
+        {_LANDED + 3600} AS seen, 1 AS batch FROM ch)"""
+
+
+def _intake(t: Tables) -> tuple[I.ChapterTable, str]:
+    """Three batches: all chapters; all again, some changed and some empty; the same once more. The table and its rejects."""
     spark = t._spark  # noqa: SLF001
-    store = I.SnapshotStore(spark, f"{scratch_folder(spark)}/intake-{next(_names)}")
-    policy = ContentPolicy(min_length=0, max_length=10**9, min_script_ratio=0.0, max_repeat_line_ratio=1.0, reject_on_empty=False, script=r"\p{L}")
-    step = I.intake_batch(store, policy)
+    table = I.ChapterTable(spark, f"{scratch_folder(spark)}/intake-{next(_names)}", buckets=8)
+    rejects = f"{table.root}/rejects"
+    policy = ContentPolicy(min_length=0, max_length=10**9, min_script_ratio=0.0, max_repeat_line_ratio=1.0, script=r"\p{L}")
+    step = I.intake_batch(table, policy, lambda bad, n: bad.withColumn("batch", F.lit(n).cast("long")).write.mode("append").parquet(rejects))
     book = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
     landed = streamed(t, "conversations").select(
-        book.alias("book_id"),
+        "conv_id", book.alias("book_id"),
         F.when(F.col("conv_id") % 3 != 0, F.concat(book, F.lit("."), F.col("turn").cast("string"))).alias("source_chapter_id"),
         F.concat(F.col("role"), F.lit(" "), F.col("turn").cast("string")).alias("title"),
         F.concat(F.lit("https://Books.example.com/"), book, F.lit("/"), F.col("turn").cast("string")).alias("url"),
-        F.col("turn").cast("long").alias("index"), F.col("text").alias("content"), F.timestamp_seconds(F.lit(1704067200)).alias("landed_at"),
+        F.col("turn").cast("long").alias("index"), F.col("text").alias("content"),
     )
-    for number in range(2):
+    later = F.when(F.col("conv_id") % 7 == 0, " ").when(F.col("conv_id") % 5 == 0, F.concat("content", F.lit(" more"))).otherwise(F.col("content"))
+    before = -1
+    for number, content in enumerate((F.col("content"), later, later)):
+        rows = landed.withColumns({"content": content, "landed_at": F.timestamp_seconds(F.lit(_LANDED + 3600 * number))}).drop("conv_id")
+        before = table.last_batch()
         run = (
-            landed.writeStream.foreachBatch(lambda df, i, n=number: step(df, n * 1000 + i))
-            .option("checkpointLocation", f"{store.root}/checkpoint-{number}").trigger(availableNow=True).start()
+            rows.writeStream.foreachBatch(lambda df, i, n=number: step(df, n))
+            .option("checkpointLocation", f"{table.root}/checkpoint-{number}").trigger(availableNow=True).start()
         )
         run.awaitTermination()
-    if store.last_batch() >= 1000:
-        raise RuntimeError("the repeated run changed the snapshot")
-    return store.current().select("book_id", "index", "title", F.col("word_count").cast("long").alias("word_count"), "content_hash")
+    if table.last_batch() != before:
+        raise RuntimeError("the repeated run changed the table")
+    return table, rejects
+
+
+@query("incremental_intake", f"""{_INTAKE}
+  SELECT a.book_id, a."index", a.title, CASE WHEN n THEN {S.words('b.body')} ELSE {S.words('a.body')} END AS word_count, true AS has_content,
+         CASE WHEN n THEN {S.content_hash('b.body')} ELSE {S.content_hash('a.body')} END AS content_hash, a.seen AS created, CASE WHEN n THEN b.seen ELSE a.seen END AS updated,
+         CASE WHEN n THEN b.batch ELSE a.batch END AS batch
+  FROM (SELECT a.book_id, a."index", b.body <> '' AND {S.content_hash('a.body')} <> {S.content_hash('b.body')} AS n FROM a JOIN b USING (book_id, "index")) AS k
+  JOIN a USING (book_id, "index") JOIN b USING (book_id, "index") WHERE a.body <> ''""")
+def incremental(t: Tables):  # noqa: ANN201
+    """What is stored after an insert, a change with rejects, and a repeat that changes nothing."""
+    table, _ = _intake(t)
+    seconds = lambda c: F.unix_timestamp(c)
+    return table.current().select(
+        "book_id", "index", "title", F.col("word_count").cast("long").alias("word_count"), "has_content", "content_hash",
+        seconds("created_at").alias("created"), seconds("updated_at").alias("updated"), "batch",
+    )
+
+
+@query("intake_rejects", f"""{_INTAKE}
+  SELECT book_id, "index", title, 'empty' AS reason, batch FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT book_id, "index", title, body, seen, 2 FROM b) WHERE body = ''""")
+def intake_rejects(t: Tables):  # noqa: ANN201
+    """Rows that failed the gate in each batch, while the batch went on."""
+    table, rejects = _intake(t)
+    return table.spark.read.parquet(rejects).select("book_id", "index", "title", "reason", "batch")
+
 
+@query("intake_summaries", f"""{_INTAKE}, k AS (SELECT a.book_id, a."index", a.title, CASE WHEN b.body <> '' THEN b.body ELSE a.body END AS body FROM a JOIN b USING (book_id, "index") WHERE a.body <> '')
+  SELECT book_id, "index", title, {S.words('body')} AS word_count, true AS has_content FROM k""")
+def intake_summaries(t: Tables):  # noqa: ANN201
+    """The stored table listed from its stored columns: bodies are not in the scan."""
+    table, _ = _intake(t)
+    return L.list_summaries(table.current()).drop("id").withColumn("word_count", F.col("word_count").cast("long"))

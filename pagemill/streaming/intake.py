@@ -15,9 +15,11 @@ from pagemill.operators.merge import upsert_chapters
 from pagemill.operators.quality import ContentPolicy, process_content
 
 SNAPSHOT_COLUMNS = (
-    "id", "book_id", "source_chapter_id", "title", "url", "index", "content", "content_hash", "word_count", "created_at",
-    "updated_at", "identity_key",
+    "id", "book_id", "source_chapter_id", "title", "url", "index", "content", "content_hash", "word_count", "has_content",
+    "created_at", "updated_at", "identity_key", "batch", "bucket",
 )
+#: Choose it so that a bucket holds some hundred MB; a table keeps the number it began with.
+BUCKETS = 64
 
 
 def dedup_requests(
@@ -53,19 +55,34 @@ def dedup_requests(
     )
 
 
-def prepare_chapters(landed: DataFrame, policy: ContentPolicy, extra_junk: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Cleaned and identified chapters, and the rejects with their reasons."""
-    done = process_content(landed, "content", policy, extra_junk)
-    good = (
-        done.filter(F.col("rejected").isNull())
+def identified(processed: DataFrame, batch: int = 0, buckets: int = BUCKETS) -> DataFrame:
+    """The accepted rows of ``process_content`` over ``content`` as chapters in the columns of the stored table."""
+    return (
+        processed.filter(F.col("rejected").isNull())
         .withColumn("content", F.col("body"))
         .withColumn("identity_key", identity_key("source_chapter_id", "url", "index", "title"))
-        .withColumn("id", F.md5(F.concat_ws("\x1f", "book_id", "identity_key")))
-        .withColumns({"created_at": F.col("landed_at"), "updated_at": F.col("landed_at")})
+        .withColumns(
+            {
+                "id": F.md5(F.concat_ws("\x1f", "book_id", "identity_key")),
+                "has_content": F.length("content") > 0,
+                "created_at": F.col("landed_at"), "updated_at": F.col("landed_at"),
+                "batch": F.lit(batch).cast("long"),
+                "bucket": F.pmod(F.xxhash64("book_id", "identity_key"), F.lit(buckets)).cast("int"),
+            }
+        )
         .select(*SNAPSHOT_COLUMNS)
     )
-    rejects = done.filter(F.col("rejected").isNotNull()).select("book_id", "url", "index", "title", "rejected.*")
-    return good, rejects
+
+
+def reject_rows(processed: DataFrame) -> DataFrame:
+    return processed.filter(F.col("rejected").isNotNull()).select("book_id", "url", "index", "title", "rejected.*")
+
+
+def prepare_chapters(landed: DataFrame, policy: ContentPolicy, extra_junk: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Cleaned and identified chapters, and the rejects with their reasons. Each of the two cleans the texts again when it is
+    run on its own; ``intake_batch`` writes the cleaned batch first."""
+    done = process_content(landed, "content", policy, extra_junk)
+    return identified(done), reject_rows(done)
 
 
 def observed(processed: DataFrame, name: str = "intake") -> DataFrame:
@@ -77,66 +94,92 @@ def observed(processed: DataFrame, name: str = "intake") -> DataFrame:
     )
 
 
+def _same(columns: Iterable[str]):  # noqa: ANN202
+    return [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
+
+
 def changed_only(current: DataFrame | None, incoming: DataFrame) -> DataFrame:
-    """Rows whose identity is new or whose title, link or text differs; equal rows are skipped."""
+    """Rows whose identity is new or whose title, link or text differs; equal rows are skipped. Bodies of ``current`` are not read."""
     if current is None:
         return incoming
-    known = current.select("book_id", "identity_key", F.lit(True).alias("_same"), "content_hash", "title", "url")
-    return incoming.join(known, ["book_id", "identity_key", "content_hash", "title", "url"], "left_anti")
+    columns = ("book_id", "identity_key", "content_hash", "title", "url")
+    return incoming.alias("l").join(current.select(*columns).alias("r"), _same(columns), "left_anti")
 
 
-class SnapshotStore:
-    """Snapshots of the chapter table in one folder, one subfolder per batch, the newest named in a pointer table.
+class ChapterTable:
+    """The chapter table as plain Parquet in hash buckets, one partition folder each; a batch rewrites only the buckets it changes.
 
-    A batch that is replayed after a failure finds its own snapshot already named and does nothing, so each batch is
-    applied once. Nothing is overwritten: readers keep the snapshot they opened.
+    The bucket comes from (book, identity), so a book of any size is spread. The new content of the touched buckets is written
+    beside the table first and then put in their place by a dynamic partition overwrite. A run that stopped in between is
+    finished by the next one from that copy; a copy without its success mark was never applied and is written anew. Every row
+    names the batch that wrote it, so a batch that is replayed after it was applied is known.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.path, self.staged, self.cleaned = f"{self.root}/chapters-{buckets}", f"{self.root}/_staged", f"{self.root}/_cleaned"
 
-    def _pointer(self) -> tuple[int, str] | None:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_pointer")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
-            return None
-        last = self.spark.read.schema("batch bigint, path string").json(f"{self.root}/_pointer").orderBy(F.desc("batch")).first()
-        return (last["batch"], last["path"]) if last else None
+    def _path(self, name: str):  # noqa: ANN202
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        path, system = self._path(name)
+        return system.exists(path)
 
-    def current(self) -> DataFrame | None:
-        pointer = self._pointer()
-        return None if pointer is None else self.spark.read.parquet(pointer[1])
+    def _remove(self, name: str) -> None:
+        path, system = self._path(name)
+        system.delete(path, True)
+
+    def current(self, buckets: Iterable[int] | None = None) -> DataFrame | None:
+        """All rows, or those of some buckets (other folders are not listed as input)."""
+        path, system = self._path(f"{self.path}/bucket=*")
+        if not system.globStatus(path):
+            return None
+        rows = self.spark.read.parquet(self.path)
+        return rows if buckets is None else rows.filter(F.col("bucket").isin(*buckets))
 
     def last_batch(self) -> int:
-        pointer = self._pointer()
-        return -1 if pointer is None else pointer[0]
+        """The newest batch that changed a row; -1 before the first."""
+        rows = self.current()
+        newest = None if rows is None else rows.agg(F.max("batch")).first()[0]
+        return -1 if newest is None else newest
 
-    def commit(self, snapshot: DataFrame, batch: int) -> None:
-        path = f"{self.root}/chapters-{batch:012d}"
-        # a half-written folder of a failed attempt is replaced; it was never named in the pointer
-        snapshot.repartitionByRange("book_id", "index").sortWithinPartitions("book_id", "index").write.mode("overwrite").parquet(path)
-        named = self.spark.range(1).select(F.lit(batch).cast("bigint").alias("batch"), F.lit(path).alias("path"))
-        named.coalesce(1).write.mode("append").json(f"{self.root}/_pointer")
+    def replace(self, rows: DataFrame, touched: int) -> None:
+        """Put ``rows`` in the place of the buckets they belong to; ``touched``: how many there are."""
+        placed = rows.select(*SNAPSHOT_COLUMNS).repartition(max(1, touched), "bucket").sortWithinPartitions("bucket", "book_id", "index")
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(self.staged)
+        self.recover()
+
+    def recover(self) -> None:
+        """Finish what was staged whole; nothing to do in the usual case."""
+        if self._exists(f"{self.staged}/_SUCCESS"):
+            rows = self.spark.read.parquet(self.staged)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+            self._remove(self.staged)
 
 
 def intake_batch(
-    store: SnapshotStore, policy: ContentPolicy, on_rejects: Callable[[DataFrame, int], None] | None = None
+    table: ChapterTable, policy: ContentPolicy, on_rejects: Callable[[DataFrame, int], None] | None = None, extra_junk: Iterable[str] = ()
 ) -> Callable[[DataFrame, int], None]:
-    """Function for ``foreachBatch``: gate, diff against the snapshot, merge, commit."""
+    """Function for ``foreachBatch``: clean once, gate, diff against the stored rows, merge, rewrite the changed buckets."""
 
     def apply(landed: DataFrame, batch: int) -> None:
-        if batch <= store.last_batch():
+        table.recover()
+        if batch <= table.last_batch():
             return
-        good, rejects = prepare_chapters(landed, policy)
+        process_content(landed, "content", policy, extra_junk).write.mode("overwrite").parquet(table.cleaned)
+        done = table.spark.read.parquet(table.cleaned)
         if on_rejects is not None:
-            on_rejects(rejects, batch)
-        current = store.current()
+            on_rejects(reject_rows(done), batch)
+        good = identified(done, batch, table.buckets)
+        hit = [r[0] for r in good.select("bucket").distinct().collect()]  # at most the number of buckets
+        current = table.current(hit)
         fresh = changed_only(current, good)
-        if current is None:
-            current = good.limit(0)
-        elif fresh.isEmpty():
-            return
-        merged = upsert_chapters(current, fresh).select(*SNAPSHOT_COLUMNS)
-        store.commit(merged, batch)
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
+        if touched:
+            known = good.limit(0) if current is None else current.filter(F.col("bucket").isin(*touched))
+            table.replace(upsert_chapters(known, fresh), len(touched))
+        table._remove(table.cleaned)  # noqa: SLF001
 
     return apply

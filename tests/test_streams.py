@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import content_hash
+from pagemill.operators import library, merge
 from pagemill.operators.quality import ContentPolicy, process_content
 from pagemill.streaming import intake as I
 from pagemill.streaming import tasks as K
@@ -103,15 +105,26 @@ def test_requests_repeat_after_their_time_to_live(spark, tmp_path):
 LANDED = "book_id string, source_chapter_id string, title string, url string, index bigint, content string"
 
 
-def test_intake_is_incremental_and_idempotent(spark, tmp_path):
-    store = I.SnapshotStore(spark, str(tmp_path / "store"))
-    seen = []
-    step = I.intake_batch(store, OPEN, lambda bad, n: seen.extend(r["reason"] for r in bad.collect()))
+def _landing(spark, table, policy=OPEN, seen=None):
+    step = I.intake_batch(table, policy, lambda bad, n: (seen if seen is not None else []).extend(r["reason"] for r in bad.collect()))
 
     def land(number, *items):
         df = spark.createDataFrame([("b", *x) for x in items], LANDED).withColumn("landed_at", F.timestamp_seconds(F.lit(number)))
         step(df, number)
 
+    return land
+
+
+def _files(table):
+    import glob
+
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{table.path}/bucket=*/*.parquet")}
+
+
+def test_intake_is_incremental_and_idempotent(spark, tmp_path):
+    store, seen = I.ChapterTable(spark, str(tmp_path / "store"), 4), []
+    land = _landing(spark, store, seen=seen)
+    assert store.current() is None and store.last_batch() == -1
     land(0, ("1", "one", "https://a/1", 0, "text one"), ("2", "two", "https://a/2", 1, "  "))
     assert seen == ["empty"] and store.current().count() == 1
     land(1, ("1", "one", "https://a/1", 0, "text  one"))
@@ -121,6 +134,73 @@ def test_intake_is_incremental_and_idempotent(spark, tmp_path):
     assert set(got) == {"uno", "two"} and got["uno"]["created_at"].timestamp() == 0 and got["uno"]["updated_at"].timestamp() == 2
     land(2, ("3", "again", "https://a/3", 2, "a replayed batch number is ignored"))
     assert store.current().count() == 2
+    land(3, ("4", None, None, 3, "no title"), ("4", None, None, 3, "no title"))
+    files = _files(store)
+    land(4, ("4", None, None, 3, "no title"))
+    assert store.current().count() == 3 and _files(store) == files and store.last_batch() == 3
+
+
+def test_only_changed_buckets_are_rewritten(spark, tmp_path):
+    store = I.ChapterTable(spark, str(tmp_path / "store"), 16)
+    land = _landing(spark, store)
+    rows = [(str(i), f"t{i}", f"https://a/{i}", i, f"text {i}") for i in range(200)]
+    land(0, *rows)
+    before = _files(store)
+    assert len(before) == 16
+    land(1, *rows[:-2], *[(i, t, u, k, "changed") for i, t, u, k, _ in rows[-2:]])
+    after = _files(store)
+    changed = {r["bucket"] for r in store.current().filter("batch = 1").select("bucket").collect()}
+    gone = {int(f.split("bucket=")[1].split("/")[0]) for f in before.keys() - after.keys()}
+    assert gone == changed and 1 <= len(gone) <= 2 and len(after) == 16
+    assert all(after[f] == before[f] for f in before.keys() & after.keys())
+    assert store.current().count() == 200 and store.current().filter("content = 'changed'").count() == 2
+    assert not os.path.exists(store.staged) and not os.path.exists(store.cleaned)
+
+
+def test_a_run_that_stopped_half_way_is_finished(spark, tmp_path, monkeypatch):
+    store = I.ChapterTable(spark, str(tmp_path / "store"), 4)
+    land = _landing(spark, store)
+    rows = [(str(i), f"t{i}", f"https://a/{i}", i, f"text {i}") for i in range(20)]
+    land(0, *rows)
+    newer = [(i, t, u, k, f"new {x}") for i, t, u, k, x in rows]
+    with monkeypatch.context() as patch:
+        patch.setattr(I.ChapterTable, "recover", lambda self: None)
+        land(1, *newer)  # staged whole, never put in place
+    import shutil
+
+    shutil.rmtree(next(p for p in (tmp_path / "store" / "chapters-4").iterdir() if p.name.startswith("bucket=")))  # and one bucket lost on the way
+    land(1, *newer)
+    got = store.current()
+    assert got.count() == 20 and got.filter("content LIKE 'new %'").count() == 20 and store.last_batch() == 1
+
+
+def test_each_text_is_cleaned_once(spark, tmp_path):
+    """The cleaning of a batch stands in one plan: the one that writes the cleaned batch."""
+    store = I.ChapterTable(spark, str(tmp_path / "store"), 4)
+    _landing(spark, store)(0, ("1", "one", "https://a/1", 0, "text one"))
+    done = process_content(spark.createDataFrame([("b", "1", "one", "https://a/1", 0, "text two")], LANDED).withColumn("landed_at", F.timestamp_seconds(F.lit(1))), "content", OPEN)
+    done.write.parquet(str(tmp_path / "cleaned"))
+    good = I.identified(spark.read.parquet(str(tmp_path / "cleaned")), 1, 4)
+    fresh = I.changed_only(store.current(), good)
+    text = merge.upsert_chapters(store.current(), fresh)._jdf.queryExecution().executedPlan().toString()
+    assert "inline" not in text and "SortAggregate" not in text and "ObjectHashAggregate" not in text
+
+
+def test_the_listing_of_the_stored_table_reads_no_bodies(spark, tmp_path):
+    store = I.ChapterTable(spark, str(tmp_path / "store"), 4)
+    _landing(spark, store)(0, ("1", "one", "https://a/1", 0, "text one"))
+    listed = library.list_summaries(store.current())
+    text = listed._jdf.queryExecution().executedPlan().toString()
+    assert "content:string" not in text and "has_content:boolean" in text and listed.first()["has_content"]
+
+
+def test_upsert_keeps_null_keys_and_columns_the_batch_lacks(spark):
+    old = spark.createDataFrame([("i1", None, "k", "t", "x", 1), ("i2", "b", "k", "t", "y", 2)], "id string, book_id string, identity_key string, title string, note string, updated_at int")
+    old = old.withColumn("created_at", F.lit(5))
+    new = spark.createDataFrame([("n1", None, "k", "new", 3), ("n2", None, "k", "older", 2), ("n3", "c", "k", "more", 3)], "id string, book_id string, identity_key string, title string, updated_at int")
+    new = new.withColumn("created_at", F.lit(9))
+    got = {(r.id, r.book_id, r.title, r.note, r.created_at, r.merge_action) for r in merge.upsert_chapters(old, new).collect()}
+    assert got == {("i1", None, "new", "x", 5, "update"), ("i2", "b", "t", "y", 5, "keep"), ("n3", "c", "more", None, 9, "insert")}
 
 
 def test_metrics_come_from_the_same_run(spark):
