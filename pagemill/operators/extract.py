@@ -6,18 +6,19 @@ import re
 import warnings
 from collections.abc import Iterable
 
-import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import fixed
-from pagemill.functions.core import blank_to_null, col, let, strip
+from pagemill.functions.core import blank_to_null, col, fold_space, let, strip
 from pagemill.functions.text import parse_status
 from pagemill.functions.urls import normalize_url
-from pagemill.operators.html import inside, node_value, parse_selector, select_nodes, selector_supported
+from pagemill.operators.html import inside, node_value, parse_selector, scan_pages, select_nodes, selector_supported
+from pagemill.operators.ordered import running_sums
 from pagemill.operators.transforms import STEPS, apply_transform_column
+from pagemill.session import written
 from pagemill.sizes import join_small
 
 
@@ -77,8 +78,8 @@ XPATH_STEPS = r"^/{0,2}[a-zA-Z*][\w\-]*(?:\[@[\w\-]+(?:\s*=\s*(?:'[^']*'|\"[^\"]
 JSON_STEPS = r"^\$(?:\.[^.\[\]*?@() ]+|\[\d+\]|\[\*\]|\['[^'\]]+'\])*$"
 
 
-@F.pandas_udf(T.StringType())
-def java_pattern(patterns: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def java_pattern(patterns: pa.Array) -> pa.Array:
     """The pattern in Java's spelling, or null if it is no pattern or means something else there. Runs over rules, not pages."""
 
     def one(pattern: str | None) -> str | None:
@@ -95,7 +96,7 @@ def java_pattern(patterns: pd.Series) -> pd.Series:
         spelled = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern).replace("(?P<", "(?<").replace("{,", "{0,")
         return None if any(not n.isalnum() or not n.isascii() for n in names) else spelled
 
-    return patterns.map(one, na_action="ignore")
+    return pa.array([one(p) for p in patterns.to_pylist()], pa.string())
 
 
 def compile_rules(rules: DataFrame, raw: str = "rule") -> DataFrame:
@@ -201,7 +202,7 @@ def rule_sets(rules: DataFrame, transforms: DataFrame | None = None) -> DataFram
     grouped = compiled.groupBy("source_id", "capability").agg(
         F.first(F.when(F.col("field") == "list", rule), ignorenulls=True).alias("list_rule"),
         F.collect_list(F.when(F.col("field") != "list", rule)).alias("fields"),
-    )
+    ).withColumn("sheet", F.to_json(F.struct(F.col("list_rule").alias("list"), "fields")))
     if transforms is None:
         return grouped.withColumn("transforms", F.array().cast(STEPS))
     step = F.struct(*[F.col(c) for c in ("op", "pattern", "replacement", "value", "separator")])
@@ -221,6 +222,20 @@ def with_rules(shredded: DataFrame, sets: DataFrame, capability: str) -> DataFra
     return join_small(shredded, sets.filter(F.col("capability") == capability).drop("capability"), "source_id")
 
 
+def scan(landed: DataFrame, sets: DataFrame, capability: str, many: bool = False, drop: Iterable[str] = ()) -> DataFrame:
+    """Landed pages (``source_id``, ``url``, ``html``) with what their rules find: one parse, in which the selectors are swept
+    too. ``many`` takes the items of the list rule instead of the whole page; ``drop`` removes matching nodes first.
+
+    The result goes to ``extract_one``, ``extract_many`` or ``extract_content``. Use ``shred_html`` and ``with_rules`` instead
+    where the node arrays themselves are wanted.
+    """
+    dropped = list(drop)
+    if dropped:
+        gone = F.to_json(F.struct(parse_selector(F.lit(",".join(dropped))).alias("drop")))
+        sets = sets.withColumn("sheet", F.concat(F.expr("left(sheet, length(sheet) - 1)"), F.lit(","), F.substring(gone, F.lit(2), F.length(gone))))
+    return scan_pages(with_rules(landed, sets, capability), many)
+
+
 def _page() -> Column:
     return F.struct(F.col("page_text"), F.col("html"))
 
@@ -237,36 +252,70 @@ def _record(page: Column, nodes: Column, fields: Column, transforms: Column, bas
     )
 
 
+def _found_record(found: Column, body: Column, fields: Column, transforms: Column, base: Column) -> Column:
+    """The record of one entry of ``scan``: selector values are there, patterns and JSON paths are evaluated here."""
+
+    def value(f: Column, at: Column) -> Column:
+        got = F.get(found["values"], at)
+        mode = F.when(f["rule_type"] == "attr", f["expression"]).otherwise(F.coalesce(f["attribute"], F.lit("text")))
+        return (
+            F.when(f["rule_type"] == "regex", first_value(extract_regex(found["markup"], f["expression"])))
+            .when(f["rule_type"] == "jsonpath", first_value(extract_jsonpath(body, f["expression"])))
+            .when(mode.isin("text", "own_text"), fold_space(got))
+            .otherwise(got)
+        )
+
+    return F.map_from_entries(
+        F.transform(fields, lambda f, at: F.struct(f["field"], apply_transform_column(value(f, at), transforms, base)))
+    )
+
+
 def extract_one(pages: DataFrame, base_url: str = "url") -> DataFrame:
-    """Every field rule on the whole page: adds ``record``, a map from field to transformed first value or null."""
+    """Every field rule on the whole page: adds ``record``, a map from field to transformed first value or null. Takes the
+    result of ``scan``, or pages with node arrays and rules."""
     keep = [c for c in pages.columns if c not in _SPENT]
-    record = _record(_page(), F.col("nodes"), F.col("fields"), F.col("transforms"), F.col(base_url))
+    if "found" in pages.columns:
+        record = _found_record(F.get("found", F.lit(0)), F.col("html"), F.col("fields"), F.col("transforms"), F.col(base_url))
+    else:
+        record = _record(_page(), F.col("nodes"), F.col("fields"), F.col("transforms"), F.col(base_url))
     return pages.select(*keep, F.inline(F.array(F.struct(record.alias("record")))))
 
 
-_SPENT = ("nodes", "page_text", "html", "fields", "list_rule", "transforms")
+_SPENT = ("nodes", "page_text", "html", "fields", "list_rule", "transforms", "sheet", "found")
+
+
+def _json_elements(body: Column) -> Column:
+    """The texts of the elements that a JSON list rule finds (or of a single value); null elements are skipped."""
+    found = F.call_function("get_json_object", body, F.col("list_rule.expression"))
+    elements = F.when(F.startswith(found, F.lit("[")), F.from_json(found, "array<string>")).otherwise(F.array(found))
+    return F.filter(elements, lambda i: i.isNotNull() & (i != "null"))
 
 
 def extract_many(pages: DataFrame, base_url: str = "url") -> DataFrame:
-    """One row per list item with ``item_no`` (from 0) and ``record``; all in the row of the page, no shuffle.
+    """One row per list item with ``item_no`` (from 0) and ``record``; all in the row of the page, no shuffle. Takes the
+    result of ``scan`` with ``many``, or pages with node arrays and rules.
 
     An item of a selector is the part of the page below it; an item of a JSON path is the text of an array element (or of a
     single value), on which the JSON paths of the fields are evaluated; null elements are skipped.
     """
-    nodes, body = F.col("nodes"), F.col("html")
-    dom = F.transform(select_nodes(nodes, F.col("list_rule.selector")), lambda i: F.struct(inside(nodes, i).alias("scope"), body.alias("body")))
-    none = F.filter(nodes, lambda n: F.lit(False))
-    found = F.call_function("get_json_object", body, F.col("list_rule.expression"))
-    elements = F.when(F.startswith(found, F.lit("[")), F.from_json(found, "array<string>")).otherwise(F.array(found))
-    texts = F.filter(elements, lambda i: i.isNotNull() & (i != "null"))
-    json = F.transform(texts, lambda i: F.struct(none.alias("scope"), i.alias("body")))
-    items = F.when(F.col("list_rule.rule_type") == "jsonpath", json).otherwise(dom)
-    records = F.transform(
-        items,
-        lambda item: _record(
-            F.struct(F.col("page_text"), item["body"].alias("html")), item["scope"], F.col("fields"), F.col("transforms"), F.col(base_url)
-        ),
-    )
+    body, fields, transforms, base = F.col("html"), F.col("fields"), F.col("transforms"), F.col(base_url)
+    is_json = F.col("list_rule.rule_type") == "jsonpath"
+    if "found" in pages.columns:
+        none = F.array().cast("array<string>")
+        json = F.transform(_json_elements(body), lambda i: F.struct(F.struct(none.alias("values"), i.alias("markup")).alias("found"), i.alias("body")))
+        dom = F.transform("found", lambda e: F.struct(e.alias("found"), body.alias("body")))
+        records = F.transform(
+            F.when(is_json, json).otherwise(dom), lambda item: _found_record(item["found"], item["body"], fields, transforms, base)
+        )
+    else:
+        nodes = F.col("nodes")
+        dom = F.transform(select_nodes(nodes, F.col("list_rule.selector")), lambda i: F.struct(inside(nodes, i).alias("scope"), body.alias("body")))
+        none = F.filter(nodes, lambda n: F.lit(False))
+        json = F.transform(_json_elements(body), lambda i: F.struct(none.alias("scope"), i.alias("body")))
+        records = F.transform(
+            F.when(is_json, json).otherwise(dom),
+            lambda item: _record(F.struct(F.col("page_text"), item["body"].alias("html")), item["scope"], fields, transforms, base),
+        )
     keep = [c for c in pages.columns if c not in _SPENT]
     return pages.select(*keep, F.posexplode(records).alias("item_no", "record"))
 
@@ -322,25 +371,23 @@ def extract_book(records: DataFrame, book_url: str = "url") -> tuple[DataFrame,
 def extract_chapters(items: DataFrame, book: str = "book_id", reverse: str | None = None) -> DataFrame:
     """Chapter drafts of books whose catalogue spans pages (``page_no``, ``item_no``).
 
-    The index is the position before incomplete rows are dropped. Items per page are counted first (map-side), the
-    offset of a page is the sum over the pages before it, so a book of any length never meets in one sort.
+    The index is the position before incomplete rows are dropped. The items are written once, so that no page is parsed twice;
+    their numbers per page, read from two narrow columns, give the offset of a page as the sum over the pages before it, taken
+    by ranges of pages, so a book of any length never meets in one sort. Rows without a book or page number form one of their own.
     """
-    from pyspark.sql import Window
-
+    items = written(items, "items")
     counts = items.groupBy(book, "page_no").agg(F.count("*").alias("_n"))
-    by_book = Window.partitionBy(book)
-    offsets = counts.select(
-        book,
-        "page_no",
-        (F.sum("_n").over(by_book.orderBy("page_no")) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(by_book).alias("_total"),
-    )
+    placed = running_sums(counts, [book], ["page_no"], None, {"_upto": F.col("_n")})
+    offsets = placed.select(F.col(book).alias("_book"), F.col("page_no").alias("_page"), (F.col("_upto") - F.col("_n")).alias("_before"))
+    if reverse:
+        totals = counts.groupBy(F.col(book).alias("_of")).agg(F.sum("_n").alias("_total"))
+        offsets = offsets.join(totals, F.col("_book").eqNullSafe(F.col("_of")), "left").drop("_of")
     position = F.col("_before") + F.col("item_no")
     if reverse:
         position = F.when(F.col(reverse), F.col("_total") - 1 - position).otherwise(position)
     keep = [c for c in items.columns if c not in ("record", "page_no", "item_no", "url")]
     return (
-        items.join(offsets, [book, "page_no"])
+        items.join(offsets, F.col(book).eqNullSafe(F.col("_book")) & F.col("page_no").eqNullSafe(F.col("_page")))
         .withColumn("_index", position)
         .filter((F.coalesce(_field("title"), F.lit("")) != "") & (F.coalesce(_field("url"), F.lit("")) != ""))
         .select(

@@ -7,6 +7,8 @@ inside the row: no shuffle, no self-join of a node table, and the page text is s
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -55,6 +57,7 @@ class _Shredder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[dict] = []
+        self.opened: Counter[str] = Counter()  # open elements by tag, so that no deep stack is searched in vain
         self.pieces: list[str] = []
         self.own: list[str] = []
         self.length = 0
@@ -88,6 +91,7 @@ class _Shredder(HTMLParser):
     def _shut(self, inner_end: int, outer_end: int) -> None:
         self._seal_own()
         node = self.open.pop()
+        self.opened[node["tag"]] -= 1
         node["last"] = len(self.nodes) - 1
         node["text_end"] = self.length
         node["html_end"] = node["tail_end"] = outer_end
@@ -97,7 +101,7 @@ class _Shredder(HTMLParser):
         at = self._offset()
         self._finish_tail(at)
         closes = _CLOSES.get(tag)
-        if closes:
+        if closes and any(self.opened[t] for t in closes[0]):
             for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i]["tag"] in closes[0]:
                     while len(self.open) > i:
@@ -122,11 +126,12 @@ class _Shredder(HTMLParser):
             self.waiting = node
         else:
             self.open.append(node)
+            self.opened[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         at = self._offset()
         self._finish_tail(at)
-        if not any(n["tag"] == tag for n in self.open):
+        if not self.opened[tag]:
             return
         while self.open[-1]["tag"] != tag:
             self._shut(at, at)
@@ -160,6 +165,167 @@ def shred_html(df: DataFrame, html: str = "html") -> DataFrame:
     return df.mapInArrow(parse, T.StructType([*df.schema.fields, *added.fields]))
 
 
+# --- values in one pass over the page -----------------------------------------------------------------------------
+class _Steps:
+    """One alternative of a selector: for every step what a node must have, and whether it must be a child."""
+
+    def __init__(self, steps: list[dict]) -> None:
+        self.needs = [
+            (s.get("tag"), s.get("id"), frozenset(s.get("classes") or ()), [(a["name"], a.get("value")) for a in s.get("attrs") or ()])
+            for s in steps
+        ]
+        self.child = [bool(s.get("child")) for s in steps]
+
+
+def _fits(node: dict, need: tuple) -> bool:
+    tag, name, classes, attrs = need
+    if (tag is not None and node["tag"] != tag) or (name is not None and node["id"] != name):
+        return False
+    if classes and not classes.issubset(node["classes"]):
+        return False
+    if attrs:
+        own = node["named"]
+        return all(k in own and (v is None or own[k] == v) for k, v in attrs)
+    return True
+
+
+def sweep(nodes: list[dict], alternatives: list[_Steps], first: int, last: int) -> Iterator[dict]:
+    """Nodes of ``first`` to ``last`` that a selector matches, in document order, in one pass.
+
+    Parents come before their children, so a node needs only two masks of its parent: the steps that the parent has matched
+    itself, and those that some node above it has. Work is nodes times steps, whatever matches and however deep the page is.
+    """
+    masks = [([0] * (last - first + 1), [0] * (last - first + 1)) for _ in alternatives]
+    for at in range(first, last + 1):
+        node = nodes[at]
+        if node["gone"]:
+            continue
+        up, hit = node["parent"] - first, False
+        for steps, (own, above) in zip(alternatives, masks, strict=True):
+            parent, over = (own[up], above[up] | own[up]) if up >= 0 else (0, 0)
+            above[at - first] = over
+            mask = 0
+            for k, need in enumerate(steps.needs):
+                if (k == 0 or (parent if steps.child[k] else over) >> (k - 1) & 1) and _fits(node, need):
+                    mask |= 1 << k
+            own[at - first] = mask
+            hit = hit or bool(mask >> (len(steps.needs) - 1))
+        if hit:
+            yield node
+
+
+class _Page:
+    """A parsed page with the values of its nodes; removed nodes lose their text and markup."""
+
+    def __init__(self, html: str, drop: list[_Steps]) -> None:
+        shredded = _Shredder(html)
+        self.html, self.nodes, self.text = html, shredded.nodes, "".join(shredded.pieces)
+        for node in self.nodes:
+            node["gone"], node["named"] = False, dict(node["attrs"])
+        if drop and self.nodes:
+            self._remove(list(sweep(self.nodes, drop, 0, len(self.nodes) - 1)))
+
+    def _remove(self, doomed: list[dict]) -> None:
+        text, markup, end = [], [], -1
+        at_text = at_html = 0
+        for node in doomed:
+            if node["node"] <= end:
+                continue  # below one that is gone already
+            end = node["last"]
+            for k in range(node["node"], end + 1):
+                self.nodes[k]["gone"] = True
+            for pieces, whole, lo, hi, at in (
+                (text, self.text, node["text_start"], node["text_end"], at_text), (markup, self.html, node["html_start"], node["html_end"], at_html)
+            ):
+                pieces += [whole[at:lo], BLANK * (hi - lo)]
+            at_text, at_html = node["text_end"], node["html_end"]
+        self.text = "".join(text) + self.text[at_text:]
+        self.html = "".join(markup) + self.html[at_html:]
+
+    def value(self, node: dict, mode: str | None) -> str | None:
+        """As ``node_value``, but white space is folded later, in the JVM."""
+        if mode is None or mode == "text":
+            return self.text[node["text_start"] : node["text_end"]].replace(BLANK, "")
+        if mode in ("html", "inner_html"):
+            return self.html[node["html_start"] : node["tail_end"]].replace(BLANK, "")
+        return node["own"] if mode == "own_text" else node["named"].get(mode)
+
+    def root(self, first: int, last: int) -> dict | None:
+        return next((n for n in self.nodes[first : last + 1] if not n["gone"]), None)
+
+    def record(self, fields: list[dict], first: int, last: int) -> list[str | None]:
+        """The first value of every selector or root rule inside a range of nodes."""
+        out: list[str | None] = []
+        for field in fields:
+            found = None
+            if field["steps"]:
+                values = (self.value(n, field.get("attribute")) for n in sweep(self.nodes, field["steps"], first, last))
+                found = next((v for v in values if v is not None), None)
+            elif field.get("rule_type") == "attr" and (root := self.root(first, last)) is not None:
+                found = self.value(root, field["expression"])
+            out.append(found)
+        return out
+
+
+def _compiled(selector: list | None) -> list[_Steps]:
+    return [_Steps(steps) for steps in selector or ()]
+
+
+class _Sheet:
+    """The rules of one source as they arrive beside a page; compiled once per worker and text."""
+
+    def __init__(self, text: str | None) -> None:
+        given = json.loads(text) if text else {}
+        self.drop = _compiled(given.get("drop"))
+        self.list = given.get("list")
+        self.items = _compiled((self.list or {}).get("selector"))
+        self.fields = [dict(f, steps=_compiled(f.get("selector"))) for f in given.get("fields") or ()]
+        self.markup = any(f.get("rule_type") == "regex" for f in self.fields)
+
+
+FOUND = "array<struct<values: array<string>, markup: string>>"
+_ARROW_FOUND = pa.list_(pa.struct([("values", pa.list_(pa.string())), ("markup", pa.string())]))
+
+
+def scan_pages(df: DataFrame, many: bool, html: str = "html", sheet: str = "sheet", out: str = "found") -> DataFrame:
+    """Parse every page once and take the values of its rules from it, in the same pass: adds an array with one entry for the
+    whole page, or (``many``) one for every node that the list rule selects.
+
+    ``sheet`` is the rule set as JSON: ``drop`` and ``list.selector`` (parsed selectors), ``fields`` (selector, rule_type,
+    expression, attribute). Values stand in the order of the fields; patterns and JSON paths are left null for the JVM, with
+    the markup of the entry beside them where a pattern needs it. A null page is an empty one, a page without nodes has an
+    entry of nulls, or none (``many``).
+    """
+    keep = df.columns
+    at_html, at_sheet = keep.index(html), keep.index(sheet)
+    added = T.StructType.fromDDL(f"`{out}` {FOUND}")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sheets: dict[str | None, _Sheet] = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch, found = whole.slice(start, 256), []
+                for text, rules in zip(batch.column(at_html).to_pylist(), batch.column(at_sheet).to_pylist(), strict=True):
+                    if rules not in sheets:
+                        sheets[rules] = _Sheet(rules)
+                    found.append(_entries(sheets[rules], text or "", many))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_FOUND)], [*keep, out])
+
+    return df.mapInArrow(parse, T.StructType([*df.schema.fields, *added.fields]))
+
+
+def _entries(sheet: _Sheet, text: str, many: bool) -> list[dict]:
+    page = _Page(text, sheet.drop)
+    last = len(page.nodes) - 1
+    if not many:
+        return [{"values": page.record(sheet.fields, 0, last), "markup": page.html.replace(BLANK, "") if sheet.markup else None}]
+    items = sweep(page.nodes, sheet.items, 0, last) if sheet.items else ()
+    return [
+        {"values": page.record(sheet.fields, i["node"], i["last"]), "markup": page.value(i, "html") if sheet.markup else None}
+        for i in items
+    ]
+
+
 def node_table(shredded: DataFrame, keys: Iterable[str]) -> DataFrame:
     """One row per node, for SQL users; ``text`` is the folded text below the node."""
     flat = shredded.select(*keys, "page_text", F.inline("nodes"))

@@ -150,7 +150,7 @@ _H1 = S.fold(sql_plain("regexp_extract(html, '<h1>(.*?)</h1>', 1)"))
   FROM pages""")
 def extract_one(t: Tables):  # noqa: ANN201
     """The book rules of every source on its pages: selectors, attributes, a pattern and a path, then transforms."""
-    pages = E.with_rules(H.shred_html(_pages(t)), _sources(t), "book")
+    pages = E.scan(_pages(t), _sources(t), "book")
     get = lambda f: F.try_element_at("record", F.lit(f))
     return E.extract_one(pages).select(
         "page_id", F.nullif(get("title"), F.lit("")).alias("title"), get("heading").alias("heading"),
@@ -165,7 +165,7 @@ def extract_one(t: Tables):  # noqa: ANN201
   SELECT page_id, item_no, {S.fold(sql_plain('item'))} AS title,
          regexp_extract(url, '^[a-z]+://[^/]+') || {first('item', 'href="([^"]*)"')} AS link, NULL::VARCHAR AS kind FROM i""")
 def extract_many(t: Tables):  # noqa: ANN201
-    pages = E.with_rules(H.shred_html(_pages(t)), _sources(t), "chapters")
+    pages = E.scan(_pages(t), _sources(t), "chapters", many=True)
     get = lambda f: F.try_element_at("record", F.lit(f))
     return E.extract_many(pages).select(
         "page_id", F.col("item_no").cast("long").alias("item_no"), get("title").alias("title"), get("url").alias("link"),
@@ -180,7 +180,7 @@ def extract_many(t: Tables):  # noqa: ANN201
          regexp_extract(url, '^[a-z]+://[^/]+') || {first('item', 'href="([^"]*)"')} AS url, NULL::VARCHAR AS author, 1 AS extras FROM i
   WHERE {S.fold(sql_plain('item'))} <> ''""")
 def extract_search(t: Tables):  # noqa: ANN201
-    pages = E.with_rules(H.shred_html(_pages(t)), _sources(t), "chapters")
+    pages = E.scan(_pages(t), _sources(t), "chapters", many=True)
     hits = E.extract_search(E.extract_many(pages))
     return hits.select(
         "page_id", F.col("item_no").cast("long").alias("item_no"), "title", "url", "author", F.size("extra").alias("extras")
@@ -191,7 +191,7 @@ def extract_search(t: Tables):  # noqa: ANN201
   SELECT page_id, {_HEAD} AS title, {S.normalize_url('url')} AS source_book_id, 'unknown' AS status, 4 AS extras
   FROM pages WHERE {_HEAD} <> ''""")
 def extract_book(t: Tables):  # noqa: ANN201
-    pages = E.with_rules(H.shred_html(_pages(t)), _sources(t), "book")
+    pages = E.scan(_pages(t), _sources(t), "book")
     books, _ = E.extract_book(E.extract_one(pages))
     return books.select("page_id", "title", "source_book_id", "status", F.size("extra").alias("extras"))
 
@@ -206,7 +206,7 @@ def extract_book(t: Tables):  # noqa: ANN201
   FROM k WHERE {S.fold(sql_plain('item'))} <> ''""")
 def extract_chapters(t: Tables):  # noqa: ANN201
     """Each host is one catalogue spread over its pages; some are listed newest first."""
-    pages = E.with_rules(H.shred_html(_pages(t)), _sources(t), "chapters")
+    pages = E.scan(_pages(t), _sources(t), "chapters", many=True)
     items = E.extract_many(pages).select(
         F.col("source_id").alias("book_id"), F.col("page_id").alias("page_no"), "item_no", "record",
         (F.length("source_id") % 2 == 0).alias("newest_first"),
@@ -223,8 +223,7 @@ _BODY = S.rep(S.rep(S.rep(f"regexp_extract(html, '{_ARTICLE}', 1)", r"<!--[\s\S]
   SELECT page_id, {S.fold(sql_plain(_BODY))} AS body FROM pages WHERE html LIKE '%<article>%'""")
 def extract_content(t: Tables):  # noqa: ANN201
     """Noise nodes dropped, the article taken as markup, then turned into text."""
-    pages = H.drop_nodes(H.shred_html(_pages(t)), ["script", "style", ".ad", "nav"])
-    done, _ = E.extract_content(E.with_rules(pages, _sources(t), "content"))
+    done, _ = E.extract_content(E.scan(_pages(t), _sources(t), "content", drop=["script", "style", ".ad", "nav"]))
     return done.select("page_id", X.fold_space("content").alias("body"))
 
 

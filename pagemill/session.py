@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +75,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+_written = itertools.count()
+
+
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read back: computed once, and later reads take only their columns."""
+    path = f"{scratch_folder(df.sparkSession).rstrip('/')}/{name}-{next(_written)}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
