@@ -17,7 +17,7 @@ from pagemill.functions.text import parse_status
 from pagemill.functions.urls import normalize_url
 from pagemill.operators.html import inside, node_value, parse_selector, scan_pages, select_nodes, selector_supported
 from pagemill.operators.ordered import running_sums
-from pagemill.operators.transforms import STEPS, apply_transform_column
+from pagemill.operators.transforms import OPS, STEPS, apply_transform_column
 from pagemill.session import written
 from pagemill.sizes import join_small
 
@@ -134,6 +134,48 @@ def rule_rejects(rules: DataFrame, raw: str = "rule") -> DataFrame:
     return compile_rules(rules, raw).filter(F.col("problem").isNotNull()).select(*rules.columns, "problem")
 
 
+@F.arrow_udf(T.BooleanType())
+def replacement_fits(patterns: pa.Array, replacements: pa.Array) -> pa.Array:
+    """Whether every group that a replacement names is in its pattern, and nothing else stands behind a backslash."""
+
+    def one(pattern: str | None, replacement: str | None) -> bool:
+        if pattern is None or not replacement:
+            return True
+        if re.search(r"\\(?!\d|g<\d+>)", replacement):
+            return False
+        try:
+            re.compile(pattern).sub(replacement, "")
+        except (re.error, IndexError, OverflowError, RecursionError):
+            return False
+        return True
+
+    return pa.array([one(p, r) for p, r in zip(patterns.to_pylist(), replacements.to_pylist(), strict=True)], pa.bool_())
+
+
+def compile_transforms(transforms: DataFrame) -> DataFrame:
+    """Check every row of a transform table once; ``problem`` says why a step cannot run. Such a step is left out of its list and
+    the others run; patterns come out in Java's spelling."""
+    op, pattern = F.col("op"), F.col("pattern")
+    by_pattern = op == "regex_replace"
+    checked = transforms.withColumns(
+        {"_java": java_pattern(F.when(by_pattern, pattern)), "_fits": replacement_fits(F.when(by_pattern, pattern), F.when(by_pattern, F.col("replacement")))}
+    )
+    problem = (
+        F.when(op.isNull() | ~op.isin(*OPS), "unknown transform")
+        .when(op.isin("replace", "regex_replace") & pattern.isNull(), "no pattern")
+        .when(by_pattern & F.col("_java").isNull(), "unusable pattern")
+        .when(by_pattern & ~F.col("_fits"), "unusable replacement")
+    )
+    return checked.withColumn("problem", problem).withColumn("pattern", F.coalesce("_java", pattern)).drop("_java", "_fits")
+
+
+def transform_rejects(transforms: DataFrame) -> DataFrame:
+    """The transform rows that cannot run, as they were given, with the reason in ``problem``."""
+    given = transforms.withColumn("_given", F.col("pattern"))
+    bad = compile_transforms(given).filter(F.col("problem").isNotNull()).withColumn("pattern", F.col("_given"))
+    return bad.select(*transforms.columns, "problem")
+
+
 # --- values of one rule -------------------------------------------------------------------------------------------
 def css_values(page: Column, nodes: Column, selector: Column, attribute: Column) -> Column:
     found = F.transform(
@@ -195,7 +237,7 @@ def rule_sets(rules: DataFrame, transforms: DataFrame | None = None) -> DataFram
 
     ``rules``: source_id, capability, field, rule (field ``list`` is the list rule).
     ``transforms``: source_id, capability (null for all), ord, op, pattern, replacement, value, separator.
-    The rules of one source are a handful of rows by nature, so gathering them per source is bounded.
+    Rules and steps that cannot be evaluated are left out (``rule_rejects``, ``transform_rejects``). The rules of one source are a handful of rows by nature, so gathering them per source is bounded.
     """
     compiled = compile_rules(rules)
     rule = F.struct(*[F.col(c) for c in ("field", "rule_type", "expression", "attribute", "selector")])
@@ -208,7 +250,7 @@ def rule_sets(rules: DataFrame, transforms: DataFrame | None = None) -> DataFram
     step = F.struct(*[F.col(c) for c in ("op", "pattern", "replacement", "value", "separator")])
     general = F.col("capability").isNull()
     steps = (
-        transforms.withColumn("capability", F.explode(
+        compile_transforms(transforms).filter(F.col("problem").isNull()).withColumn("capability", F.explode(
             F.when(general, F.array(*[F.lit(c) for c in fixed.CAPABILITIES])).otherwise(F.array("capability"))))
         .withColumn("_rank", F.struct(~general, F.col("ord")))
         .groupBy("source_id", "capability")

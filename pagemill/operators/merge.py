@@ -11,12 +11,27 @@ from pagemill.functions.urls import identity_key
 BOOK_REFRESHED = ("url", "title", "author", "intro", "cover_url", "latest_chapter", "status")
 
 
-def _latest(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+def version_order(version: Column | str) -> Column:
+    """A value that sorts like the version it stands for: by its numbers, a pre-release below its release, pre-releases by their
+    parts with numbers below words. Trailing zeros and what follows a plus sign do not count; texts without a number come first."""
+    text = F.col(version) if isinstance(version, str) else version
+    digits = "decimal(38,0)"
+    core = F.regexp_extract(text, r"^\s*[vV]?(\d+(?:\.\d+)*)", 1)
+    rest = F.regexp_replace(F.regexp_replace(text, r"^\s*[vV]?\d+(?:\.\d+)*", ""), r"(?s)\+.*$", "")
+    numbers = F.transform(F.split(F.regexp_replace(core, r"(?:\.0+)+$", ""), r"\."), lambda p: p.try_cast(digits))
+    parts = F.transform(
+        F.regexp_extract_all(rest, F.lit(r"\d+|[A-Za-z]+"), F.lit(0)),
+        lambda p: F.struct(p.rlike("^[A-Za-z]").alias("word"), p.try_cast(digits).alias("number"), F.lower(p).alias("text")),
+    )
+    return F.when(core != "", F.struct(numbers.alias("numbers"), (F.size(parts) == 0).alias("final"), parts.alias("parts")))
+
+
+def _latest(rows: DataFrame, keys: list[str], order: str | Column | None = None) -> DataFrame:
     """One row per key, the last by ``order``; combined map-side, so repeats of a hot key never travel. Rows that tie are
     told apart by a digest of their values, so that every run picks the same one."""
     rest = [c for c in rows.columns if c not in keys]
     digest = F.md5(F.to_json(F.struct(*rest)))
-    place = F.struct(F.col(order), digest) if order else digest
+    place = digest if order is None else F.struct(F.col(order) if isinstance(order, str) else order, digest)
     picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_r"))
     return picked.select(*keys, "_r.*")
 
@@ -84,8 +99,8 @@ SOURCE_DEFINITION = ("name", "version", "spec_version", "homepage", "license", "
 
 def sync_catalogue(index: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """Definitions found on storage against the index: insert, update (switches and health stay), delete.
-    A source found several times counts once, with its greatest version."""
-    found = _latest(found.select("source_id", *SOURCE_DEFINITION), ["source_id"], "version")
+    A source found several times counts once, with its greatest version by number."""
+    found = _latest(found.select("source_id", *SOURCE_DEFINITION), ["source_id"], version_order("version"))
     fresh = found.select("source_id", *[F.col(c).alias(f"_new_{c}") for c in SOURCE_DEFINITION], F.lit(True).alias("_hit"))
     joined = index.withColumn("_old", F.lit(True)).join(fresh, "source_id", "full_outer")
     hit, known = F.col("_hit").isNotNull(), F.col("_old").isNotNull()

@@ -13,7 +13,8 @@ from pagemill.functions.naming import render_template, template_variables, unkno
 from pagemill.functions.text import fold_ascii_case  # noqa: F401
 from pagemill.functions.urls import request_host, url_host
 from pagemill.functions.values import asset_suffix
-from pagemill.operators.extract import parse_rule, rule_rejects
+from pagemill.operators.extract import parse_rule, rule_rejects, transform_rejects
+from pagemill.operators.transforms import OPS
 from pagemill.sizes import join_small
 
 
@@ -127,7 +128,9 @@ def _report(rows: DataFrame, severity: str, path: Column, message: Column, hint:
     )
 
 
-def lint_rules(sources: DataFrame, rules: DataFrame, templates: DataFrame, removes: DataFrame) -> DataFrame:
+def lint_rules(
+    sources: DataFrame, rules: DataFrame, templates: DataFrame, removes: DataFrame, transforms: DataFrame | None = None
+) -> DataFrame:
     """Findings (source_id, severity, path, message, hint).
 
     ``sources``: source_id, allowed (array of domains), engine_min_version, engine_max_version (may be absent).
@@ -193,6 +196,15 @@ def lint_rules(sources: DataFrame, rules: DataFrame, templates: DataFrame, remov
         _report(wrong_list, "error", text("capability", F.lit(".list")), text(F.lit("list rule of type "), "r.rule_type"),
                 F.lit("use a selector or a JSON path"))
     )
+    # transforms that cannot run
+    if transforms is not None:
+        advice = {
+            "unknown transform": "use one of " + ", ".join(OPS), "no pattern": "give a pattern", "unusable pattern": "write a pattern that compiles",
+            "unusable replacement": "name groups that the pattern has",
+        }
+        where = text(F.coalesce("capability", F.lit("transforms")), F.lit("."), F.col("ord").cast("string"))
+        what = text("problem", F.lit(" "), F.coalesce("op", F.lit("")), F.lit(" "), F.coalesce("pattern", F.lit("")))
+        checks.append(_report(transform_rejects(transforms), "error", where, what, F.element_at(literal_map(advice), F.col("problem"))))
     return reduce(DataFrame.unionByName, checks)
 
 

@@ -291,6 +291,38 @@ def rejects(t: Tables):  # noqa: ANN201
     return E.rule_rejects(t.pages.select("page_id", number.alias("rule_no"), rule.alias("rule"))).select("page_id", "rule_no", "problem")
 
 
+BAD_STEPS = (
+    ("trim", None, None, None), ("regex_replace", "(", "", "unusable pattern"), ("regex_replace", "(a)(b)", "\\2-\\g<1>", None), ("shout", None, None, "unknown transform"),
+    ("replace", None, "x", "no pattern"), ("regex_replace", "(a)", "\\2", "unusable replacement"), ("regex_replace", "(?P<n>\\d+)", "#", None),
+    ("replace", "(", ")", None), ("regex_replace", "a", "\\n", "unusable replacement"), (None, None, None, "unknown transform"),
+)
+
+
+@query("transform_rejects", "SELECT page_id, k AS ord, problem FROM (SELECT page_id, page_id %% %d AS k, CASE %s END AS problem FROM pages) WHERE problem IS NOT NULL" % (
+    len(BAD_STEPS), " ".join(f"WHEN page_id % {len(BAD_STEPS)} = {k} THEN {S.lit(x[3]) if x[3] else 'NULL'}" for k, x in enumerate(BAD_STEPS))))
+def bad_transforms(t: Tables):  # noqa: ANN201
+    """One transform row per page, half of them beyond what can run."""
+    number = (F.col("page_id") % len(BAD_STEPS)).cast("long")
+    known = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("op", "pattern", "replacement"), x, strict=False)]) for x in BAD_STEPS])
+    rows = t.pages.select("page_id", number.alias("ord"), F.element_at(known, (number + 1).cast("int")).alias("s")).select("page_id", "ord", "s.*")
+    return E.transform_rejects(rows).select("page_id", "ord", "problem")
+
+
+@query("transforms_with_bad_steps", f"""
+  SELECT page_id, '#' || regexp_extract(html, 'track[(](\\d+)[)]', 1) AS mark, nullif({_H1}, '') AS heading FROM pages""")
+def transforms_with_bad_steps(t: Tables):  # noqa: ANN201
+    """A catalogue in which steps that cannot run stand among good ones: the good ones run."""
+    hosts = t.pages.select(U.url_host("url").alias("source_id")).distinct()
+    rules = hosts.select("source_id", F.lit("book").alias("capability"), F.inline(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.lit(r).alias("rule")) for f, r in (("mark", "regex:track\\((\\d+)\\)"), ("heading", "article > h1"))])))
+    rows = [("regex_replace", "(", ""), ("regex_replace", "^(\\d+)$", "#\\1"), ("shout", None, None), ("regex_replace", "^$", "\\4"), ("trim", None, None)]
+    text = lambda v: F.lit(v).cast("string")
+    steps = hosts.select("source_id", text(None).alias("capability"), text(None).alias("value"), text(None).alias("separator"), F.inline(F.array(*[
+        F.struct(F.lit(k).alias("ord"), text(o).alias("op"), text(p).alias("pattern"), text(r).alias("replacement")) for k, (o, p, r) in enumerate(rows)])))
+    done = E.extract_one(E.scan(_pages(t), E.rule_sets(rules, steps), "book"))
+    return done.select("page_id", F.try_element_at("record", F.lit("mark")).alias("mark"), F.nullif(F.try_element_at("record", F.lit("heading")), F.lit("")).alias("heading"))
+
+
 @query("extract_xpath", f"""
   SELECT conv_id, turn, role, {S.strip('text')} AS body FROM conversations""")
 def extract_xpath(t: Tables):  # noqa: ANN201

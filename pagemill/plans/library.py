@@ -274,6 +274,17 @@ def sync_catalogue(t: Tables):  # noqa: ANN201
     return out.select("source_id", "version", "enabled", "health", "sync_action")
 
 
+@query("sync_versions", """
+  SELECT 'src-' || s_suppkey AS source_id, '1.' || greatest(9, s_suppkey % 20) || '.0' AS version, 'update' AS sync_action FROM supplier""")
+def sync_versions(t: Tables):  # noqa: ANN201
+    """Each source is found in three versions: 1.9.0, another one, and a pre-release of that one."""
+    rows = _supplier_index(t)
+    minor = (F.col("k") % 20).cast("string")
+    versions = F.array(F.lit("1.9.0"), F.concat(F.lit("1."), minor, F.lit(".0")), F.concat(F.lit("1."), minor, F.lit(".0-rc.2")))
+    out = M.sync_catalogue(rows.drop("k"), rows.withColumn("version", F.explode(versions)), _now())
+    return out.select("source_id", "version", "sync_action")
+
+
 @query("install_source", """
   SELECT 'src-' || s_suppkey AS source_id, CASE WHEN s_suppkey % 10 = 4 THEN '1.' || s_suppkey % 2 || '.0' WHEN s_suppkey % 3 = 0 THEN '1.' || s_suppkey % 3 || '.0' ELSE '1.' || s_suppkey % 2 || '.0' END AS installed_version,
          CASE WHEN s_suppkey % 10 = 4 THEN NULL WHEN s_suppkey % 3 <> 0 AND s_suppkey % 3 <> s_suppkey % 2 THEN '1.' || s_suppkey % 3 || '.0' WHEN s_suppkey % 5 = 0 THEN '0.9.0' END AS previous_version

@@ -91,3 +91,46 @@ def test_workers_find_the_package_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "NODES 1" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize(
+    ("low", "high"),
+    [
+        ("1.9.0", "1.10.0"), ("1.0.0-rc.1", "1.0.0"), ("1.0.0-alpha", "1.0.0-beta"), ("1.0.0-rc.2", "1.0.0-rc.10"), ("1.0.0-1", "1.0.0-alpha"),
+        ("1.0.0-alpha", "1.0.0-alpha.1"), ("v1.2", "1.2.1"), ("2.0.0", "10"), (None, "0"), ("unknown", "0.0.1"), ("1.0.0-rc1", "1.0.0-rc2"),
+    ],
+)
+def test_versions_are_ordered_by_number(one, low, high):
+    order = merge.version_order
+    low, high = order(F.lit(low).cast("string")), order(F.lit(high))
+    assert one(F.coalesce(low < high, low.isNull() & high.isNotNull()))
+
+
+def test_equal_versions(one):
+    assert one(merge.version_order(F.lit("1.0")) == merge.version_order(F.lit("v1.0.0+build.5")))
+
+
+STEP_COLUMNS = "source_id string, capability string, ord int, op string, pattern string, replacement string, value string, separator string"
+
+
+def test_steps_that_cannot_run_are_rejected_and_stop_nothing(spark):
+    from pagemill.operators import extract, rules
+
+    steps = spark.createDataFrame(
+        [("s", None, 0, "regex_replace", "(", "", None, None), ("s", "book", 1, "regex_replace", "(?P<a>x)(y)", "\\2\\g<1>", None, None),
+         ("s", "book", 2, "regex_replace", "x", "\\3", None, None), ("s", "book", 3, "shout", None, None, None, None), ("s", "book", 4, "append", None, None, "!", None),
+         ("s", "book", 5, "replace", None, "q", None, None), ("t", "book", 6, "regex_replace", "[[a]]+", "", None, None)], STEP_COLUMNS)
+    bad = {(r.source_id, r.ord): (r.pattern, r.problem) for r in extract.transform_rejects(steps).collect()}
+    assert {k: p for k, (_, p) in bad.items()} == {
+        ("s", 0): "unusable pattern", ("s", 2): "unusable replacement", ("s", 3): "unknown transform", ("s", 5): "no pattern", ("t", 6): "unusable pattern"}
+    assert bad["s", 0][0] == "("
+    table = spark.createDataFrame([("s", "book", "t", "p"), ("t", "book", "t", "p")], "source_id string, capability string, field string, rule string")
+    pages = spark.createDataFrame([("s", "u", "<p>xy</p>"), ("t", "u", "<p>xy</p>")], "source_id string, url string, html string")
+    got = {r.source_id: r.record["t"] for r in extract.extract_one(extract.scan(pages, extract.rule_sets(table, steps), "book")).collect()}
+    assert got == {"s": "yx!", "t": "xy"}
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    found = rules.lint_rules(
+        empty("source_id string, allowed array<string>"), empty("source_id string, capability string, field string, rule string"),
+        empty("source_id string, capability string, path string, template string"), empty("source_id string, selector string"), steps)
+    assert sorted((r.path, r.severity) for r in found.collect()) == [
+        ("book.2", "error"), ("book.3", "error"), ("book.5", "error"), ("book.6", "error"), ("transforms.0", "error")]
