@@ -26,20 +26,30 @@ from pagemill.llm.elias_fano import EliasFano, Ranks, build, build_ranks, open_a
 from pagemill.llm.sampling import fold
 
 DISCOUNT = 0.75
-LEAST_COUNTS = (1, 2)  # of stored bigrams and trigrams; what is left out goes to the shorter context
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 MOST_WORD_BITS = 12
-HELD_TOKENS = 1_500_000
+HELD_TOKENS = 1_000_000
+MERGED_GRAMS = 500_000  # n-grams of a shard that wait before they are merged into what is there
 STEPS = 255 / 12.0  # quantisation of -log10 p, 8 bits for 12 decades
 BATCH_ROWS = 1000
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LETTER = np.random.default_rng(42).integers(1, 2**63, 256, dtype=np.uint64)  # a fixed random word per byte
 _LETTER[65:91] = _LETTER[97:123]  # A-Z as a-z
-_POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+_NEAR = 12  # bits of a place in a word whose powers are tabled; further powers are products
+_POWERS = np.cumprod(np.full(1 << _NEAR, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 END = np.uint64(1)  # hash of the end token; words have the lowest bit cleared
 
 
+def _powers(place: np.ndarray) -> np.ndarray:
+    """The factor of a byte by its place in the word: a power of one odd number, different for every place."""
+    far = int(place.max(initial=0)) >> _NEAR
+    near = _POWERS[place & ((1 << _NEAR) - 1)]
+    if not far:
+        return near
+    return near * np.cumprod(np.r_[np.uint64(1), np.full(far, _POWERS[-1], np.uint64)], dtype=np.uint64)[place >> _NEAR]
+
+
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """63-bit hashes of all tokens of a batch, the end token of each text included, and the first token of each text."""
     data, offsets = flat(column)
@@ -52,7 +62,7 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begin = np.searchsorted(at, starts)
     if len(starts):
         place = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
-        h = np.add.reduceat(_LETTER[data[at]] * _POWERS[place % len(_POWERS)], begin)
+        h = np.add.reduceat(_LETTER[data[at]] * _powers(place), begin)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         h = (h ^ (h >> np.uint64(29))) >> np.uint64(1) & ~np.uint64(1)
     else:
@@ -149,6 +159,8 @@ class Vocabulary:
         self.tokens = sum(t for _, t in sizes)
         self.documents = documents
         self.unknown, self.begin = self.words, self.words + 1
+        if self.begin > 0xFFFFFFFF:
+            raise ValueError("more than 2^32 - 2 distinct words: ids no longer fit the keys of n-grams")
         self._shards: list[tuple[EliasFano, np.ndarray] | None] = []
         for s, (n, _) in enumerate(sizes):
             if n:
@@ -249,53 +261,102 @@ def count_ngrams(texts: DataFrame, folder: str, sizes: list[tuple[int, int]], do
         if held:
             yield flush()
 
-    def write(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        u, v, n2, below, w, n3 = (
-            np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(b.as_py(), np.uint32) for b in table.column(c)]]) for c in ("u", "v", "n2", "below", "w", "n3")
-        )
-        pairs, _, inverse = _places(_pair(u, v))
-        total = np.bincount(inverse, n2, len(pairs)).astype(np.int64)
-        grams, n3 = _sum(_pair(np.repeat(inverse, below), w), n3.astype(np.int64))
-        vocabulary = Vocabulary(folder, sizes, documents)
-        shared.put(f"{folder}/grams-{shard:05d}", pack_arrays(_trie(pairs, total, grams, n3, vocabulary)))
-        return pa.table({"shard": pa.array([shard], pa.int32())})
+    def build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come in the order of their shards; only what a shard holds once, and a few blocks, are in memory."""
+        vocabulary, done, grams = Vocabulary(folder, sizes, documents), [], None
+
+        def close() -> None:
+            shared.put(f"{folder}/grams-{done[-1]:05d}", pack_arrays(grams.trie(vocabulary)))
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard = batch.column(0)[row].as_py()
+                if not done or done[-1] != shard:
+                    if done:
+                        close()
+                    done.append(shard)
+                    grams = Grams()
+                grams.add(*(np.frombuffer(batch.column(k)[row].as_buffer() or b"", np.uint32) for k in range(1, 7)))
+        if done:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["shard"])
 
     bounded(texts.sparkSession, BATCH_ROWS)
     counted = texts.mapInArrow(local, "shard int, u binary, v binary, n2 binary, below binary, w binary, n3 binary")
-    counted.groupBy("shard").applyInArrow(write, "shard int").count()
+    counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(build_shards, "shard int").count()
 
 
-def _quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-12)) * STEPS), 0, 255).astype(np.uint8)
+class Grams:
+    """Bigrams and trigrams of one shard with their counts, merged block by block.
+
+    Blocks wait until they are as many as what is merged already, so each n-gram is moved a few times only, and memory follows
+    the distinct n-grams of the shard, not the blocks that name them.
+    """
+
+    def __init__(self) -> None:
+        self.pairs, self.n2 = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.grams, self.n3 = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # (rank of the pair, word)
+        self._waiting: list[tuple[np.ndarray, ...]] = []
+        self._size = 0
+
+    def add(self, u: np.ndarray, v: np.ndarray, n2: np.ndarray, below: np.ndarray, w: np.ndarray, n3: np.ndarray) -> None:
+        """A block: bigrams with counts and the number of their trigrams, then the last words of these with counts."""
+        self._waiting.append((_pair(u, v), n2, below, w.copy(), n3.copy()))
+        self._size += len(u) + len(w)
+        if self._size > max(MERGED_GRAMS, len(self.pairs) + len(self.grams)):
+            self._merge()
+
+    def _merge(self) -> None:
+        waiting, self._waiting, self._size = self._waiting, [], 0
+        if not waiting:
+            return
+        pairs, _, inverse = _places(np.concatenate([self.pairs, *[b[0] for b in waiting]]))
+        inverse = inverse.astype(np.uint32)
+        self.n2 = np.bincount(inverse, np.concatenate([self.n2, *[b[1] for b in waiting]]), len(pairs)).astype(np.int64)
+        keys, at = [], len(self.pairs)
+        keys.append(_pair(inverse[:at][(self.grams >> np.uint64(32)).astype(np.int64)], self.grams & _LOW))
+        for block, _, below, w, _ in waiting:
+            keys.append(_pair(np.repeat(inverse[at : at + len(block)], below), w))
+            at += len(block)
+        del inverse
+        counts = np.concatenate([self.n3, *[b[4] for b in waiting]])
+        del waiting
+        self.pairs, (self.grams, self.n3) = pairs, _sum(np.concatenate(keys), counts)
+
+    def trie(self, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+        self._merge()
+        return _trie(self.pairs, self.n2, self.grams, self.n3, vocabulary)
 
 
 _LEVELS = 10 ** (-np.arange(256) / STEPS)
 
 
+def _quantised(p: np.ndarray) -> np.ndarray:
+    """The next stored probability from above in -log10, so that what is stored never exceeds what was counted."""
+    return np.clip(np.ceil(-np.log10(np.maximum(p, 1e-12)) * STEPS - 1e-9), 0, 255).astype(np.uint8)
+
+
 def _trie(pairs: np.ndarray, n2: np.ndarray, grams: np.ndarray, n3: np.ndarray, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Arrays of one shard: first words, bigrams below them, trigrams below these. ``grams`` are (rank of the pair, word).
 
-    A bigram keeps its discounted probability and what its trigrams leave over; a first word keeps the sum of its bigrams in
-    this shard, so that a word cut into several shards is added up by the reader.
+    A bigram keeps its discounted probability and what its trigrams, as stored, leave over; a first word keeps the sum of its
+    bigrams, as stored in this shard, so that a word cut into several shards is added up by the reader. Probabilities are
+    quantised before anything is subtracted from one: the model sums to one as it is read.
     """
     u, v = (pairs >> np.uint64(32)).astype(np.int64), pairs & _LOW
     base = np.uint64(vocabulary.words + 2)
     new = np.r_[True, u[1:] != u[:-1]][: len(u)]
     words, of_word = u[new], np.cumsum(new) - 1
-    keep = n3 >= LEAST_COUNTS[1]
-    parent, w = (grams[keep] >> np.uint64(32)), grams[keep] & _LOW
-    p3 = (n3[keep] - DISCOUNT) / n2[parent.astype(np.int64)]
-    left = 1 - np.bincount(parent.astype(np.int64), p3, len(pairs))
     known = vocabulary.counts(np.minimum(words, max(0, vocabulary.words - 1)))
     count = np.where(words == vocabulary.begin, vocabulary.documents, known)
-    p2 = np.where(n2 >= LEAST_COUNTS[0], (n2 - DISCOUNT) / count[of_word], 0.0)
-    out = {f"w.{k}": a for k, a in build_ranks(words).items()}
+    p2 = _quantised((n2 - DISCOUNT) / count[of_word])
+    out = {f"w.{k}": a for k, a in build_ranks(words).items()} | {"p2": p2, "sum": np.bincount(of_word, _LEVELS[p2], len(words))}
     out |= {f"b.{k}": a for k, a in build(of_word.astype(np.uint64) * base + v, (len(words) + 1) * int(base)).items()}
-    out |= {f"t.{k}": a for k, a in build(parent * base + w, (len(pairs) + 1) * int(base)).items()}
-    return out | {
-        "sum": np.bincount(of_word, p2, len(words)).astype(np.float32), "p2": _quantised(p2), "left": _quantised(np.maximum(left, 1e-12)), "p3": _quantised(p3),
-    }
+    parent = (grams >> np.uint64(32)).astype(np.int64)
+    p3 = _quantised((n3 - DISCOUNT) / n2[parent])
+    out |= {"p3": p3, "left": (1 - np.bincount(parent, _LEVELS[p3], len(pairs))).astype(np.float32)}
+    out |= {f"t.{k}": a for k, a in build(parent.astype(np.uint64) * base + (grams & _LOW), (len(pairs) + 1) * int(base)).items()}
+    return out
 
 
 class Trie:
@@ -346,7 +407,7 @@ class Trie:
             hit = np.flatnonzero(first >= 0)
             found = parts[1].find(first[hit].astype(np.uint64) * self._base + v[part][hit].astype(np.uint64))
             hit, found = hit[found >= 0] + part.start, found[found >= 0]
-            rank[hit], p[hit], left[hit] = found, _LEVELS[parts[4][found]], _LEVELS[parts[5][found]]
+            rank[hit], p[hit], left[hit] = found, _LEVELS[parts[4][found]], parts[5][found]
         return rank, p, left
 
     def triples(self, pair: np.ndarray, w: np.ndarray, shard: np.ndarray) -> np.ndarray:
