@@ -6,7 +6,8 @@ is finished on its own. Rows are shuffled once, by (key, range), so a hot key is
 
 Ranges come from a fixed ``width`` of the first order column where its values are known to be spread out (an index that
 is unique in its book), and otherwise from splitters taken from a sample of (key, order) tuples, which also cut through
-ties of the first order column. Null keys form a key of their own and null order values come first; the order tuple should
+ties of the first order column. Count and sample are subqueries of the same query: nothing runs while a plan is built, and no
+sample reaches the driver. They read the key and order columns only; what is costly to compute is better written first. Null keys form a key of their own and null order values come first; the order tuple should
 be unique.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.core import let
 
 RANGE = "_range"
-PER_RANGE = 64
+PER_RANGE = 16
 
 
 def with_ranges(
@@ -30,38 +31,40 @@ def with_ranges(
     if width is not None:
         first = F.floor(F.col(order[0]).cast("double") / F.lit(float(width))).cast("long")
         return df.withColumn(RANGE, F.coalesce(first, F.lit(-(1 << 62))))
-    place = F.struct(*keys, *order)
-    # an even sample by hash, so that any re-run picks the same tuples; equal tuples count once, so what reaches the
-    # driver is about ranges * PER_RANGE narrow rows whatever the size and the skew of the input
     if ranges is None:
         ranges = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.count()
-    share = F.lit(min(1.0, ranges * PER_RANGE / max(rows, 1)))
-    picked = df.select(place.alias("o")).filter(F.pmod(F.xxhash64("o"), F.lit(1 << 40)) < share * (1 << 40))
-    chosen = picked.distinct().orderBy("o")
-    kinds = [(f.name, f.dataType.simpleString()) for f in chosen.schema["o"].dataType.fields]
-    sample = chosen.select(*[F.col(f"o.`{n}`").cast("string").alias(f"c{i}") for i, (n, _) in enumerate(kinds)]).collect()
-    stride = max(PER_RANGE, len(sample) // ranges)
-    splitters = [_tuple_sql(r, kinds) for r in sample[stride::stride]]
-    if not splitters:
-        return df.withColumn(RANGE, F.lit(0).cast("long"))
-    side = max(1, round(len(splitters) ** 0.5))
-    groups = [splitters[i : i + side] for i in range(0, len(splitters), side)]
-    heads = F.expr(f"array({', '.join(g[0] for g in groups)})")
-    members = F.expr("array(" + ", ".join(f"array({', '.join(g)})" for g in groups) + ")")
-
-    def number(here: Column) -> Column:
-        group = F.size(F.filter(heads, lambda s: s <= here))
-        inside = F.size(F.filter(F.element_at(members, F.greatest(group, F.lit(1))), lambda s: s <= here))
-        return F.when(group == 0, 0).otherwise((group - 1) * side + inside).cast("long")
-
-    return df.withColumn(RANGE, let(place, number))
-
-
-def _tuple_sql(row: Sequence[str], kinds: list[tuple[str, str]]) -> str:
-    """A tuple as a constant; the text form of a value casts back to the same value."""
-    quoted = ["NULL" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in row]
-    return "named_struct(" + ", ".join(f"'{n}', cast({q} AS {k})" for q, (n, k) in zip(quoted, kinds)) + ")"
+    place = F.struct(*keys, *order)
+    found = df.withColumn("_splitters", _splitters(df.select(place.alias("o")), ranges))
+    # the optimizer puts the subquery into the expression, so the splitters are one constant and travel with no row
+    number = let(F.col("_splitters"), lambda s: let(place, lambda here: _bisected(s, here, ranges)))
+    return found.withColumn(RANGE, number.cast("long")).drop("_splitters")
+
+
+def _splitters(places: DataFrame, ranges: int) -> Column:
+    """Ascending tuples that cut the order into about ``ranges`` parts, as a subquery that runs with the query it is used in.
+
+    An even sample by hash, so that any re-run picks the same tuples; equal tuples count once, so the sample is about
+    ranges * PER_RANGE narrow rows whatever the size and the skew of the input.
+    """
+    rows = places.agg(F.count(F.lit(1))).scalar()
+    sampled = places.withColumn("_rows", rows).filter(
+        F.pmod(F.xxhash64("o"), F.lit(1 << 40)) < F.least(F.lit(1.0), F.lit(float(ranges * PER_RANGE)) / F.greatest("_rows", F.lit(1))) * float(1 << 40)
+    )
+    chosen = sampled.select("o").distinct().agg(F.sort_array(F.collect_list("o")).alias("all"))
+    stride = F.greatest(F.lit(PER_RANGE), F.floor(F.size("all") / F.lit(ranges))).cast("int")
+    cuts = F.floor((F.size("all") - 1) / F.col("stride")).cast("int")
+    at = F.when(F.col("cuts") > 0, F.sequence(F.lit(1), F.col("cuts"))).otherwise(F.array().cast("array<int>"))
+    strided = chosen.withColumn("stride", stride).withColumn("cuts", cuts)
+    return strided.select(F.transform(at, lambda k: F.get("all", k * F.col("stride"))).alias("splitters")).scalar()
+
+
+def _bisected(splitters: Column, here: Column, ranges: int) -> Column:
+    """How many splitters lie at or before a place, in log2(ranges) comparisons."""
+    steps = [1 << k for k in reversed(range((2 * ranges + PER_RANGE).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(k) for k in steps]), F.lit(0),
+        lambda at, step: F.when(F.get(splitters, at + step - 1) <= here, at + step).otherwise(at),
+    )
 
 
 def rejoin(rows: DataFrame, per_range: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -87,3 +87,29 @@ def test_the_gate_is_evaluated_once(spark, t):
 
 def test_flagship_has_no_python(spark):
     assert "Python" not in plan(plans.QUERIES["content_by_source"](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["schedule", "transitions", "attempts", "index", "in flight", "gaps"])
+def test_ordered_passes_run_nothing_while_they_are_planned(spark, t, name):
+    """Count, sample and splitters are subqueries of the plan, and no splitter is a literal in it."""
+    from pagemill.operators import ordered, schedule, tasks
+    from pagemill.plans import views as W
+
+    events, docs = W.task_events(t), t.documents.select("doc_id", "source")
+    seconds = (F.col("micros") / 1e6).alias("arrival")
+    requests = events.select(F.col("status").alias("source_id"), seconds, F.col("event_id").alias("request_id"))
+    spans = requests.select("source_id", "request_id", F.col("arrival").alias("started"), (F.col("arrival") + 5).alias("ended"))
+    codes = events.select("task_id", "event_id", "at", F.lit("HTTP").alias("code"), F.lit(500).alias("status_code"))
+    build = {
+        "schedule": lambda: schedule.politeness_schedule(requests), "transitions": lambda: tasks.validate_transitions(events),
+        "attempts": lambda: schedule.attempt_history(codes, request="task_id", tie="event_id"), "index": lambda: ordered.assign_index(docs, ["source"], ["doc_id"], None),
+        "in flight": lambda: schedule.in_flight(spans), "gaps": lambda: schedule.gap_violations(spans),
+    }[name]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"plan-{name}", "planning")
+    df = build()
+    text = plan(df)
+    assert list(tracker.getJobIdsForGroup(f"plan-{name}")) == []
+    spark.sparkContext.setJobGroup("rest", "")
+    assert "named_struct(cast" not in text and len(text) < 100_000 and "Subquery" in text
+    assert df.limit(1).collect() or name == "gaps"
