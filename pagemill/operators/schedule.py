@@ -89,6 +89,18 @@ def politeness_audit(
     )
 
 
+def concurrency_audit(
+    intervals: DataFrame, per_source: int = fixed.SOURCE_CONCURRENCY, overall: int = fixed.GLOBAL_CONCURRENCY, width: float | None = None,
+) -> DataFrame:
+    """Highest number of requests open at once against its limit: one row per source, and one for all sources together, whose
+    ``source_id`` is null and whose ``scope`` is ``overall``."""
+    each = in_flight(intervals, width).select(F.lit("source").alias("scope"), "source_id", "max_in_flight", F.lit(per_source).alias("allowed"))
+    whole = in_flight(intervals, width, source=None).filter(F.col("max_in_flight").isNotNull())
+    none = F.lit(None).cast(intervals.schema["source_id"].dataType).alias("source_id")
+    rows = each.unionByName(whole.select(F.lit("overall").alias("scope"), none, "max_in_flight", F.lit(overall).alias("allowed")))
+    return rows.withColumn("within_limit", F.col("max_in_flight") <= F.col("allowed"))
+
+
 def attempt_history(
     attempts: DataFrame, width: float | None = None, request: str = "request_id", at: str = "at", tie: str = "attempt_id",
     retry_after: Column | None = None,

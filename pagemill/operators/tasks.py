@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,31 +56,39 @@ def retry_tasks(states: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def retry_lineage(tasks: DataFrame, max_rounds: int = 40) -> DataFrame:
+def retry_lineage(tasks: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Root task and number of retries of every task (task_id, parent_task_id).
 
     Each round jumps twice as far up as the one before, so a chain of n retries takes log2(n) rounds; every round is a
-    checkpoint. Chains that form a circle never reach a root and come out with a null root.
+    checkpoint. A task that has met its root leaves the loop, so later rounds only carry what is still under way. The tasks
+    between a root and any other are settled one after the other, so a round that settles none has only tasks left that end in a
+    circle; they come out with a null root. ``max_rounds`` is only a guard: 64 rounds reach further than any table.
     """
     known = tasks.select(F.col("task_id").alias("_t"))
-    state = tasks.join(known, F.col("parent_task_id") == F.col("_t"), "left").select(
+    first = tasks.join(known, F.col("parent_task_id") == F.col("_t"), "left").select(
         "task_id", F.col("_t").alias("up"), F.when(F.col("_t").isNotNull(), 1).otherwise(0).cast("long").alias("retries")
     )
-    state = cut_lineage(state)
+    first = cut_lineage(first)
+    # a task without a parent is its own root; a settled task keeps its root in ``up``
+    settled = [first.filter(F.col("up").isNull()).withColumn("up", F.col("task_id"))]
+    active = first.filter(F.col("up").isNotNull())
+    left = active.count()
     for _ in range(max_rounds):
-        hop = state.select(F.col("task_id").alias("up"), F.col("up").alias("_next"), F.col("retries").alias("_more"))
-        stepped = state.join(hop, "up", "left").select(
-            "task_id", F.coalesce("_next", "up").alias("up"), (F.col("retries") + F.coalesce("_more", F.lit(0))).alias("retries"),
-            F.col("_next").isNotNull().alias("_moved"),
+        if not left:
+            break
+        met = reduce(DataFrame.unionByName, [s.withColumn("_done", F.lit(True)) for s in settled]).unionByName(active.withColumn("_done", F.lit(False)))
+        hop = met.select(F.col("task_id").alias("up"), F.col("up").alias("_next"), F.col("retries").alias("_more"), "_done")
+        stepped = cut_lineage(
+            active.join(hop, "up", "left").select("task_id", F.col("_next").alias("up"), (F.col("retries") + F.col("_more")).alias("retries"), "_done")
         )
-        stepped = cut_lineage(stepped)
-        state = stepped.drop("_moved")
-        if stepped.filter("_moved").isEmpty():
-            return state.select("task_id", F.coalesce("up", "task_id").alias("root_task_id"), "retries")
-    above = state.select(F.col("task_id").alias("up"), F.col("up").isNull().alias("_root"))
-    return state.join(above, "up", "left").select(
-        "task_id", F.when(F.col("up").isNull(), F.col("task_id")).when(F.col("_root"), F.col("up")).alias("root_task_id"), "retries"
-    )
+        settled.append(stepped.filter("_done").drop("_done"))
+        active = stepped.filter(~F.col("_done")).drop("_done")
+        before, left = left, active.count()
+        if left == before:
+            break
+    rooted = reduce(DataFrame.unionByName, settled).select("task_id", F.col("up").alias("root_task_id"), "retries")
+    circles = active.select("task_id", F.lit(None).cast(rooted.schema["root_task_id"].dataType).alias("root_task_id"), "retries")
+    return rooted.unionByName(circles)
 
 
 def run_report(items: DataFrame) -> DataFrame:

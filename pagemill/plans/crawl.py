@@ -141,6 +141,17 @@ def in_flight(t: Tables):  # noqa: ANN201
     return G.in_flight(_spans(t), 24 * HOUR, source=None)
 
 
+@query("concurrency_audit", f"""WITH e AS ({_SPANS}),
+  ed AS (SELECT s, at_, sum(d) AS d FROM (SELECT s, a AS at_, 1 AS d FROM e UNION ALL SELECT s, b, -1 FROM e) GROUP BY 1, 2),
+  al AS (SELECT at_, sum(d) AS d FROM ed GROUP BY 1),
+  m AS (SELECT 'source' AS scope, s AS source_id, max(o)::BIGINT AS max_in_flight, 2 AS allowed FROM (SELECT s, sum(d) OVER (PARTITION BY s ORDER BY at_ ROWS UNBOUNDED PRECEDING) AS o FROM ed) GROUP BY s
+        UNION ALL SELECT 'overall', NULL, max(o)::BIGINT, 8 FROM (SELECT sum(d) OVER (ORDER BY at_ ROWS UNBOUNDED PRECEDING) AS o FROM al))
+  SELECT *, max_in_flight <= allowed AS within_limit FROM m""")
+def concurrency(t: Tables):  # noqa: ANN201
+    """Limits per source and over all of them, where no overall limit is configured."""
+    return G.concurrency_audit(_spans(t), overall=K.fixed.GLOBAL_CONCURRENCY_UNSET)
+
+
 _ATT = """SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 'NETWORK_HTTP_STATUS' WHEN event_type = 'view' THEN 'NETWORK_TIMEOUT' END AS code,
   CASE WHEN value < 5 THEN 404 ELSE 503 END AS status_code, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events"""
 

@@ -173,6 +173,19 @@ def extract_many(t: Tables):  # noqa: ANN201
     )
 
 
+@query("extract_root_attr", f"""
+  WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<li>(<a href="[^"]*">.*?</a>)</li>', 1) AS items FROM pages),
+       i AS (SELECT page_id, i - 1 AS item_no, items[i] AS item FROM l, unnest(range(1, len(items) + 1)) AS r(i))
+  SELECT page_id, item_no, {first('item', 'href="([^"]*)"')} AS link, {S.fold(sql_plain('item'))} AS text, {S.fold(sql_plain('item'))} AS own, item AS markup, NULL::VARCHAR AS kind FROM i""")
+def extract_root_attr(t: Tables):  # noqa: ANN201
+    """Rules on the item itself: its text, direct text, markup, an attribute it has and one it lacks."""
+    hosts = t.pages.select(U.url_host("url").alias("source_id")).distinct()
+    fields = (("list", "nav li > a"), ("link", "@href"), ("text", "@text"), ("own", "@own_text"), ("markup", "@html"), ("kind", "@class"))
+    rules = hosts.select("source_id", F.lit("chapters").alias("capability"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(r).alias("rule")) for f, r in fields])))
+    items = E.extract_many(E.scan(_pages(t), E.rule_sets(rules), "chapters", many=True))
+    return items.select("page_id", F.col("item_no").cast("long").alias("item_no"), *[F.try_element_at("record", F.lit(f)).alias(f) for f, _ in fields[1:]])
+
+
 @query("extract_search", f"""
   WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS items FROM pages),
        i AS (SELECT page_id, url, i - 1 AS item_no, items[i] AS item FROM l, unnest(range(1, len(items) + 1)) AS r(i))

@@ -114,15 +114,40 @@ def sessions(t: Tables):  # noqa: ANN201
     return out.select("task_id", F.unix_micros("start").alias("start"), "n")
 
 
-@query("stream_dedup_requests", f"""
-  SELECT {S.normalize_url('url')} AS url, count(*) - count(*) AS repeats FROM pages GROUP BY 1""")
+@query("stream_dedup_requests", """
+  WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+  kept AS (SELECT user_id, a, k FROM e WHERE k = 1
+    UNION ALL
+    SELECT n.user_id, n.a, n.k FROM (
+      SELECT e.user_id, e.a, e.k, row_number() OVER (PARTITION BY e.user_id ORDER BY e.k) AS rn
+      FROM kept JOIN e ON e.user_id = kept.user_id AND e.k > kept.k AND e.a - kept.a >= 86400000000) n WHERE n.rn = 1)
+  SELECT 'https://e.com/x?a=1&b=' || user_id AS url, a AS micros FROM kept""")
 def dedup(t: Tables):  # noqa: ANN201
-    """All pages are asked for at once: equal requests pass once."""
-    requests = streamed(t, "pages").select(
-        F.lit("s").alias("source_id"), F.lit("GET").alias("method"), "url", F.timestamp_seconds(F.lit(1704067200)).alias("requested_at")
+    """Every user asks for one page again and again, spelled in two ways: served from the cache for a day, then fetched anew."""
+    user = F.col("user_id").cast("string")
+    spelled = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("https://e.com/x?b="), user, F.lit("&a=1"))).otherwise(F.concat(F.lit("HTTPS://E.com:443/x?a=1&b="), user))
+    requests = streamed(t, "events").select(
+        F.lit("s").alias("source_id"), F.lit("GET").alias("method"), spelled.alias("url"), F.col("ts").cast("timestamp").alias("requested_at")
     )
-    out = drained(I.dedup_requests(requests).select(U.normalize_url("url").alias("url")))
-    return out.groupBy("url").agg((F.count("*") - 1).alias("repeats"))
+    out = drained(I.dedup_requests(requests, 86_400).select(U.normalize_url("url").alias("url"), "requested_at"))
+    return out.select("url", F.unix_micros("requested_at").alias("micros"))
+
+
+@query("stream_watch_task", """
+  WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k FROM events WHERE user_id = 7)
+  SELECT user_id::VARCHAR AS task_id, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'success' ELSE 'running' END AS status
+  FROM e WHERE k <= coalesce((SELECT min(k) FROM e WHERE event_type IN ('error', 'purchase')), 9223372036854775807)""")
+def watch(t: Tables):  # noqa: ANN201
+    """One task is followed until it has ended; what comes after that is not part of the watch."""
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "success").otherwise("running")
+    record = F.to_json(F.struct(
+        F.lit("task").alias("event"), "event_id", F.col("user_id").cast("string").alias("task_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at")))
+    feed = streamed(t, "events").select(F.concat(F.lit("data: "), record).alias("value"))
+    root = f"{scratch_folder(t._spark)}/watch-{next(_names)}"  # noqa: SLF001
+    events = K.task_event_stream(feed, "7").select("task_id", "event_id", "status", "at")
+    K.watch_task(events, lambda rows, n: rows.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", available_now=True)
+    seen = t._spark.read.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")  # noqa: SLF001
+    return seen.select("task_id", "event_id", "status")
 
 
 @query("stream_process_content", f"""{quality.PROCESSED}

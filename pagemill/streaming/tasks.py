@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from threading import Event
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,44 @@ def is_terminal(status: Column) -> Column:
     return status.isin(*fixed.TERMINAL_STATUSES)
 
 
+def until_terminal(events: DataFrame, at: str = "at", tie: str = "event_id") -> DataFrame:
+    """Events of one task up to its first terminal status, that one included."""
+    place = F.struct(at, tie)
+    end = events.filter(is_terminal(F.col("status"))).agg(F.min(place).alias("_end"))
+    return events.join(F.broadcast(end), F.col("_end").isNull() | (place <= F.col("_end"))).drop("_end")
+
+
+def watch_task(
+    events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False, poll_seconds: float = 0.2
+) -> bool:
+    """Follow a stream of one task's events until a terminal status has come; True if it has.
+
+    ``apply`` gets each micro-batch up to the terminal event. The stream is stopped then; batches that were planned meanwhile
+    give nothing. With ``available_now`` the watch also ends when all that has landed is read. A watch that is started again from
+    the same checkpoint goes on after the last batch.
+    """
+    ended = Event()
+
+    def step(batch: DataFrame, number: int) -> None:
+        if ended.is_set():
+            return
+        rows = batch.persist()
+        try:
+            apply(until_terminal(rows), number)
+            if not rows.filter(is_terminal(F.col("status"))).isEmpty():
+                ended.set()
+        finally:
+            rows.unpersist()
+
+    writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    run = (writer.trigger(availableNow=True) if available_now else writer).start()
+    while not ended.is_set() and not run.awaitTermination(poll_seconds):
+        pass
+    if ended.is_set():
+        run.stop()
+    return ended.is_set()
+
+
 THINNED = "task_id string, event_id bigint, at timestamp, done bigint, total bigint"
 
 
@@ -162,5 +201,5 @@ def control_events(events: DataFrame) -> DataFrame:
 
 __all__ = [
     "control_events", "is_terminal", "latest_state_stream", "recover_orphans_stream", "sessions", "task_event_stream",
-    "throttle_progress_stream", "transition_allowed", "validate_transitions_stream", "windowed_counts",
+    "throttle_progress_stream", "transition_allowed", "until_terminal", "validate_transitions_stream", "watch_task", "windowed_counts",
 ]

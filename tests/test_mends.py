@@ -134,3 +134,28 @@ def test_steps_that_cannot_run_are_rejected_and_stop_nothing(spark):
         empty("source_id string, capability string, path string, template string"), empty("source_id string, selector string"), steps)
     assert sorted((r.path, r.severity) for r in found.collect()) == [
         ("book.2", "error"), ("book.3", "error"), ("book.5", "error"), ("book.6", "error"), ("transforms.0", "error")]
+
+
+def test_a_circle_of_retries_does_not_hold_up_the_others(spark):
+    """Settled tasks leave, and a circle ends the loop once a jump is longer than what is left."""
+    from pagemill.operators import tasks
+
+    rounds = []
+    real = tasks.cut_lineage
+    tasks.cut_lineage = lambda df: rounds.append(1) or real(df)
+    try:
+        data = [("x", "y"), ("y", "x")] + [(f"t{i}", f"t{i - 1}" if i else None) for i in range(9)] + [(None, "t0"), ("self", "self")]
+        got = {r["task_id"]: (r["root_task_id"], r["retries"]) for r in tasks.retry_lineage(spark.createDataFrame(data, "task_id string, parent_task_id string")).collect()}
+    finally:
+        tasks.cut_lineage = real
+    assert got["t8"] == ("t0", 8) and got["x"][0] is None and got["self"][0] is None and got[None] == ("t0", 1) and len(got) == 13
+    assert len(rounds) <= 6
+
+
+def test_overall_limit(spark):
+    from pagemill.operators import schedule
+
+    df = spark.createDataFrame([("a", 0, 10), ("b", 1, 9), ("a", 2, 8), ("c", 8, 9)], "source_id string, started long, ended long")
+    got = {r.source_id: (r.max_in_flight, r.allowed, r.within_limit) for r in schedule.concurrency_audit(df, 1, 3).collect()}
+    assert got == {"a": (2, 1, False), "b": (1, 1, True), "c": (1, 1, True), None: (3, 3, True)}
+    assert schedule.concurrency_audit(df.limit(0)).count() == 0

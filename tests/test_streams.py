@@ -218,3 +218,23 @@ def test_control_events(spark):
 
 def test_hash_is_stable(one):
     assert one(content_hash(F.lit("a  b"))) == "0cc175b9c0f1b6a831c399e269772661" or len(one(content_hash(F.lit("a  b")))) == 32
+
+
+def test_a_watch_of_one_task_ends(spark, tmp_path):
+    feed = Feed(spark, tmp_path, EVENTS)
+    for batch in (
+        [("t", 1, 0, "pending", 0, 1)], [("t", 2, 1, "running", 0, 1), ("t", 4, 3, "running", 1, 1), ("t", 3, 2, "success", 1, 1)], [("t", 5, 9, "running", 0, 1)],
+    ):
+        feed.land(rows(spark, *batch))
+    seen = []
+    assert K.watch_task(feed.stream(), lambda df, n: seen.extend(r["event_id"] for r in df.collect()), str(tmp_path / "watch"), available_now=True)
+    assert sorted(seen) == [1, 2, 3]
+    assert not any(q.isActive for q in spark.streams.active)
+
+
+def test_a_watch_without_an_end_reads_all(spark, tmp_path):
+    feed = Feed(spark, tmp_path, EVENTS)
+    feed.land(rows(spark, ("t", 1, 0, "pending", 0, 1), ("t", 2, 1, "running", 0, 1)))
+    seen = []
+    assert not K.watch_task(feed.stream(), lambda df, n: seen.extend(r["event_id"] for r in df.collect()), str(tmp_path / "watch"), available_now=True)
+    assert sorted(seen) == [1, 2]
