@@ -1,6 +1,6 @@
 """A cleaning pipeline over ``documents``: each stage takes (spark, docs, folder) and works on all its predecessor kept.
 
-Stages: documents without a recognised language go; one document of each SimHash group stays; documents that hold a
+Stages: documents without a recognised language go; one document of each SimHash group of near copies stays; documents that hold a
 benchmark item go; secrets are masked; what is left is packed into sequences. All stages but the last return the columns of
 ``documents``, whatever further columns the table has.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, langid, packing, secrets, shared, simhash
+from pagemill.llm import decontaminate, langid, near_copies, packing, secrets, shared
 from pagemill.llm.sampling import fold
 from pagemill.llm.tokens import public_file
 from pagemill.session import prepare
@@ -30,8 +30,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One row of each group: the least id, a null one last; rows that share an id are told apart by their contents."""
-    return simhash.one_of_each(docs)
+    """One row of each group of texts alike in 0.8 or more of their five-word shingles: the least id, a null one last; rows that
+    share an id are told apart by their contents."""
+    return near_copies.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

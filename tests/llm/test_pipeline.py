@@ -11,7 +11,7 @@ from cases import EDGES
 from pagemill.llm import decontaminate, shared
 from test_decontaminate import prose, sellers
 from test_secrets import base
-from test_simhash import brute as components
+from test_near_copies import survivors
 from test_tokens import _pieces, _valid
 
 
@@ -51,8 +51,7 @@ def test_stages_against_brute_force(spark, folder):
         if name == "language_id":
             rows = [(i, t) for i, t in rows if re.search(r"[^\W\d_]", t or "")]
         elif name == "simhash_near_dedup":
-            first = {(i, c) for i, _, c in components([(i, t) for i, t in rows if i is not None]) if i == c}
-            rows = [*{i: (i, t) for i, t in rows if (i, i) in first}.values(), *[(i, t) for i, t in rows if i is None]]
+            rows = survivors(rows)
         elif name == "benchmark_decontamination":
             index = decontaminate.build_index(items)
             clean = lambda t: not any(sellers(decontaminate.normal(t), p) <= b for p, b in zip(index.segment, index.budget, strict=True))
