@@ -94,6 +94,27 @@ def transitions(t: Tables):  # noqa: ANN201
     return drained(K.validate_transitions_stream(_events(t))).select("event_id", "previous_status", "status", "verdict")
 
 
+@query("stream_recover_orphans", """
+  WITH e AS (SELECT user_id, event_id, event_type, date_trunc('hour', ts) AS h FROM events),
+  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h DESC, event_id DESC) AS rn FROM e)
+  SELECT user_id::VARCHAR AS task_id, 'failed' AS status, 'INTERRUPTED' AS error_code, epoch_us(h + INTERVAL 3 HOUR) AS finished
+  FROM r WHERE rn = 1 AND event_type = 'click' AND h + INTERVAL 3 HOUR < (SELECT max(h) FROM e) - INTERVAL 10 MINUTE""")
+def recovered(t: Tables):  # noqa: ANN201
+    """Times are cut to the hour, so that many events of a task fall on one instant and their numbers decide."""
+    events = _events(t).withColumn("at", F.date_trunc("hour", "at"))
+    out = drained(K.recover_orphans_stream(events, "3 hours", "10 minutes"))
+    return out.select("task_id", "status", "error_code", F.unix_micros("finished_at").alias("finished"))
+
+
+@query("stream_control_events", f"""{crawl.EV}, r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY micros DESC, event_id DESC) AS rn FROM e)
+  SELECT task_id, CASE event_id % 5 WHEN 0 THEN 'paused' WHEN 1 THEN 'running' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'pending' ELSE status END AS status FROM r WHERE rn = 1""")
+def controlled(t: Tables):  # noqa: ANN201
+    """Four of five events are requests of a user; the last one of a task says where it stands."""
+    asked = F.get(F.array(*[F.lit(a) for a in ("pause", "resume", "cancel", "retry")]), (F.col("event_id") % 5).cast("int"))
+    events = K.control_events(_events(t).withColumn("action", asked))
+    return drained(K.latest_state_stream(events.drop("action")), "complete").select("task_id", "status")
+
+
 @query("stream_windows", """
   SELECT status, epoch_us(w) AS start, n FROM (SELECT event_type AS status, time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS n FROM events GROUP BY 1, 2)
   WHERE w + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE""")

@@ -72,29 +72,48 @@ def watch_task(
 THINNED = "task_id string, event_id bigint, at timestamp, done bigint, total bigint"
 
 
-def throttle_progress_stream(events: DataFrame, interval: float = fixed.PROGRESS_INTERVAL_SECONDS) -> DataFrame:
+def _milliseconds(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
+
+
+def _expire(state: GroupState, at_ms: int) -> None:
+    """The state goes once the watermark has passed ``at_ms``."""
+    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def _micros(moment) -> int:  # noqa: ANN001
+    return pd.Timestamp(moment).value // 1000
+
+
+def throttle_progress_stream(events: DataFrame, interval: float = fixed.PROGRESS_INTERVAL_SECONDS, late: str = "10 minutes") -> DataFrame:
     """First event of a task, then one only ``interval`` seconds after the last kept; final events always pass.
 
-    The state is one timestamp per task. Order is that of event time inside a micro-batch; bound the batch size with
-    the trigger options of the source.
+    The state is one timestamp per task, and only as long as it matters: once the watermark is ``interval`` past the last event
+    kept, the next one passes anyway, so the timer drops it and nothing is lost. Rows more than ``late`` behind the newest are
+    dropped. Order is that of event time inside a micro-batch; bound the batch size with the trigger options of the source.
     """
+    micros = int(interval * 1_000_000)
 
     def thin(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = state.get[0] if state.exists else None
         rows = pd.concat(frames).sort_values(["at", "event_id"])
-        moments = rows["at"].astype("int64").to_numpy() // (1000 if rows["at"].dtype == "datetime64[ns]" else 1)
         keep = []
-        for moment, done, total in zip(moments, rows["done"], rows["total"]):
-            ok = kept is None or done >= total or moment - kept >= interval * 1_000_000
+        for at, done, total in zip(rows["at"], rows["done"], rows["total"]):
+            moment = _micros(at)
+            ok = kept is None or done >= total or moment - kept >= micros
             if ok:
-                kept = int(moment)
+                kept = moment
             keep.append(ok)
         state.update((kept,))
+        _expire(state, (kept + micros) // 1000 + 1)
         yield rows.loc[keep, ["task_id", "event_id", "at", "done", "total"]]
 
     return (
-        events.select("task_id", "event_id", "at", "done", "total").groupBy("task_id")
-        .applyInPandasWithState(thin, THINNED, "kept bigint", "append", GroupStateTimeout.NoTimeout)
+        events.withWatermark("at", late).select("task_id", "event_id", "at", "done", "total").groupBy("task_id")
+        .applyInPandasWithState(thin, THINNED, "kept bigint", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -127,10 +146,21 @@ CHECKED = "task_id string, event_id bigint, at timestamp, previous_status string
 _EDGES = frozenset(fixed.TASK_TRANSITIONS)
 
 
-def validate_transitions_stream(events: DataFrame) -> DataFrame:
-    """Every event with the status before it and a verdict; the state is one status per task."""
+def validate_transitions_stream(
+    events: DataFrame, late: str = "10 minutes", keep: str = "30 days", keep_ended: str = "1 day"
+) -> DataFrame:
+    """Every event with the status before it and a verdict; the state is one status per task.
+
+    A task that has ended is remembered for ``keep_ended`` of event time, so that a record after the end is still rejected, any other
+    for ``keep`` after its last event; then the timer drops it, and a task that comes back later starts anew. Rows more than
+    ``late`` behind the newest are dropped.
+    """
+    spans = {True: _milliseconds(keep_ended), False: _milliseconds(keep)}
 
     def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         before = state.get[0] if state.exists else None
         rows = pd.concat(frames).sort_values(["at", "event_id"])
         previous, verdicts = [], []
@@ -142,13 +172,14 @@ def validate_transitions_stream(events: DataFrame) -> DataFrame:
             )
             before = status
         state.update((before,))
+        _expire(state, _micros(rows["at"].iloc[-1]) // 1000 + spans[before in fixed.TERMINAL_STATUSES])
         yield rows.assign(previous_status=previous, verdict=verdicts)[
             ["task_id", "event_id", "at", "previous_status", "status", "verdict"]
         ]
 
     return (
-        events.select("task_id", "event_id", "at", "status").groupBy("task_id")
-        .applyInPandasWithState(check, CHECKED, "status string", "append", GroupStateTimeout.NoTimeout)
+        events.withWatermark("at", late).select("task_id", "event_id", "at", "status").groupBy("task_id")
+        .applyInPandasWithState(check, CHECKED, "status string", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -156,12 +187,16 @@ RECOVERED = "task_id string, status string, error_code string, finished_at times
 
 
 def recover_orphans_stream(events: DataFrame, silence: str, late: str) -> DataFrame:
-    """Tasks whose last status is running or retrying and that stay silent for ``silence`` in event time are failed."""
-    quiet_ms = int(pd.Timedelta(silence).total_seconds() * 1000)
+    """Tasks whose last status is running or retrying and that stay silent for ``silence`` in event time are failed.
+
+    The last event is that of the latest time and, at equal times, of the greatest number, also across micro-batches. Every state
+    has a timer and is gone once its task has been silent for that long.
+    """
+    quiet_ms = _milliseconds(silence)
 
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            status, micros = state.get
+            status, micros, _ = state.get
             state.remove()
             if status in fixed.ORPHAN_STATUSES:
                 end = pd.Timestamp(micros, unit="us") + pd.Timedelta(milliseconds=quiet_ms)
@@ -169,14 +204,14 @@ def recover_orphans_stream(events: DataFrame, silence: str, late: str) -> DataFr
                     {"task_id": [key[0]], "status": ["failed"], "error_code": ["INTERRUPTED"], "finished_at": [end]}
                 )
             return
-        status, micros, number = (*state.get, -1) if state.exists else (None, -1, -1)
+        status, micros, number = state.get if state.exists else (None, -(1 << 63), -(1 << 63))
         for frame in frames:
             last = frame.sort_values(["at", "event_id"]).iloc[-1]
-            moment = pd.Timestamp(last["at"]).value // 1000
+            moment = _micros(last["at"])
             if (moment, last["event_id"]) >= (micros, number):
-                status, micros, number = last["status"], moment, last["event_id"]
-        state.update((status, micros))
-        state.setTimeoutTimestamp(max(micros // 1000 + quiet_ms, state.getCurrentWatermarkMs() + 1))
+                status, micros, number = last["status"], moment, int(last["event_id"])
+        state.update((status, micros, number))
+        _expire(state, micros // 1000 + quiet_ms)
         yield pd.DataFrame(
             {
                 "task_id": pd.Series(dtype="object"), "status": pd.Series(dtype="object"),
@@ -186,7 +221,9 @@ def recover_orphans_stream(events: DataFrame, silence: str, late: str) -> DataFr
 
     return (
         events.withWatermark("at", late).select("task_id", "event_id", "at", "status").groupBy("task_id")
-        .applyInPandasWithState(watch, RECOVERED, "status string, micros bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(
+            watch, RECOVERED, "status string, micros bigint, number bigint", "append", GroupStateTimeout.EventTimeTimeout
+        )
     )
 
 

@@ -238,3 +238,50 @@ def test_a_watch_without_an_end_reads_all(spark, tmp_path):
     seen = []
     assert not K.watch_task(feed.stream(), lambda df, n: seen.extend(r["event_id"] for r in df.collect()), str(tmp_path / "watch"), available_now=True)
     assert sorted(seen) == [1, 2]
+
+
+def _state(spark, feed, name="out"):
+    return spark.read.format("statestore").load(str(feed.root / f"check-{name}"))
+
+
+def test_equal_instants_across_batches(spark, tmp_path):
+    """A smaller number at the same instant does not overwrite the later status, whichever batch it comes in."""
+    feed = Feed(spark, tmp_path, EVENTS)
+    for batch in (
+        [("a", 5, 0, "success", 1, 1), ("b", 1, 0, "success", 1, 1)], [("a", 3, 0, "running", 0, 1), ("b", 2, 0, "running", 0, 1)],
+        [("z", 9, 9000, "pending", 0, 1)], [("z", 10, 9001, "pending", 0, 1)],
+    ):
+        feed.land(rows(spark, *batch))
+        out = feed.run(K.recover_orphans_stream(feed.stream(), "1 hour", "1 minute"))
+    assert [r["task_id"] for r in out.collect()] == ["b"]
+
+
+def test_state_of_thinned_tasks_ends(spark, tmp_path):
+    feed = Feed(spark, tmp_path, EVENTS)
+    build = lambda: K.throttle_progress_stream(feed.stream(), 60.0, "1 minute")
+    feed.land(rows(spark, *[(f"t{i}", i, i, "running", 0, 9) for i in range(20)]))
+    feed.run(build())
+    assert _state(spark, feed).count() == 20
+    feed.land(rows(spark, ("late", 90, 5000, "running", 0, 9)))
+    out = feed.run(build())
+    assert [r["key"]["task_id"] for r in _state(spark, feed).collect()] == ["late"] and out.count() == 21
+    feed.land(rows(spark, ("t3", 91, 5001, "running", 1, 9), ("t3", 92, 5002, "running", 2, 9)))
+    assert {r["event_id"] for r in feed.run(build()).filter("task_id = 't3'").collect()} == {3, 91}
+
+
+def test_state_of_checked_tasks_ends(spark, tmp_path):
+    feed = Feed(spark, tmp_path, EVENTS)
+    build = lambda: K.validate_transitions_stream(feed.stream(), "1 minute", keep="2 hours", keep_ended="10 minutes")
+    verdict = lambda n: feed.run(build()).filter(F.col("event_id") == n).first()["verdict"]
+    feed.land(rows(spark, ("done", 1, 0, "success", 1, 1), ("open", 2, 0, "running", 0, 1)))
+    assert verdict(1) == "start"
+    feed.land(rows(spark, ("done", 3, 300, "running", 0, 1)))
+    assert verdict(3) == "rejected"  # still remembered
+    feed.land(rows(spark, ("x", 4, 4000, "success", 0, 1)))
+    feed.run(build())
+    assert {r["key"]["task_id"] for r in _state(spark, feed).collect()} == {"open", "x", "done"}  # done says running again
+    feed.land(rows(spark, ("y", 5, 9000, "success", 0, 1)))
+    feed.run(build())
+    assert {r["key"]["task_id"] for r in _state(spark, feed).collect()} == {"y"}
+    feed.land(rows(spark, ("open", 6, 9001, "success", 0, 1)))
+    assert verdict(6) == "start"  # forgotten after two silent hours
