@@ -58,7 +58,17 @@ def to_download(t: Tables):  # noqa: ANN201
     return D.to_download(D.chapter_diff(*_snapshots(t))).select("book_id", "remote_order", "change_kind")
 
 
-@query("diff_contested", None)
+@query("diff_contested", """
+  WITH RECURSIVE d AS (SELECT source AS b, doc_id AS k, floor(doc_id / 40)::BIGINT AS s, floor((doc_id + 20) / 40)::BIGINT AS u FROM documents),
+  c AS (SELECT b, k, u, min(k) OVER (PARTITION BY b, s) AS first, min(k) OVER (PARTITION BY b, u) AS second, row_number() OVER (PARTITION BY b ORDER BY k DESC) AS n FROM d),
+  st AS (SELECT b, 0::BIGINT AS n, NULL::BIGINT AS k, NULL::BIGINT AS pick, []::BIGINT[] AS used FROM (SELECT DISTINCT b FROM d)
+    UNION ALL
+    SELECT b, n, k, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END
+    FROM (SELECT c.b, c.n, c.k, CASE WHEN NOT list_contains(used, first) THEN first WHEN NOT list_contains(used, second) THEN second END AS pick, used FROM st JOIN c ON c.b = st.b AND c.n = st.n + 1)),
+  m AS (SELECT b, k, pick FROM st WHERE n > 0)
+  SELECT r.b AS book_id, -r.k AS remote_order, r.pick AS local_order, CASE WHEN r.pick IS NULL THEN 'new' WHEN x.u <> y.u THEN 'changed' ELSE 'unchanged' END AS change_kind
+  FROM m r JOIN c x ON x.b = r.b AND x.k = r.k LEFT JOIN c y ON y.b = r.b AND y.k = r.pick
+  UNION ALL SELECT b, NULL, k, 'missing' FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.b = c.b AND m.pick = c.k)""")
 def diff_contested(t: Tables):  # noqa: ANN201
     """Remote rows compete for the same local rows: links and ids are shared by whole groups of documents."""
     k = F.col("doc_id")

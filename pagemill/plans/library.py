@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import content_hash
+from pagemill.operators import keywords as KW
 from pagemill.operators import library as L
 from pagemill.operators import merge as M
 from pagemill.operators import ordered as O
@@ -67,6 +68,14 @@ def search_many(t: Tables):  # noqa: ANN201
     return L.search_many(W.chapters(t), list(WORDS)).withColumn("cut", F.length("snippet") > 0).drop("snippet")
 
 
+@query("search_keywords", f"""{CB}, k AS (SELECT DISTINCT w AS keyword FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 3)
+  SELECT ch.book_id, ch.id, ch."index", k.keyword, length(ch.content) > 0 AS cut FROM ch JOIN k ON contains({_LOW.format('ch.content')}, {_LOW.format('k.keyword')})""")
+def search_keywords(t: Tables):  # noqa: ANN201
+    """All words of the benchmark, a table that grows with it, in one pass over the bodies."""
+    words = t.benchmark.select(F.explode(F.split("text", " ")).alias("keyword")).filter(F.length("keyword") >= 3)
+    return KW.search_keywords(W.chapters(t), words).withColumn("cut", F.length("snippet") > 0).drop("snippet")
+
+
 @query("cross_source_search", f"""
   WITH s AS (SELECT DISTINCT {S.host('url')} AS source_id FROM pages),
   u AS (SELECT source_id FROM s WHERE length(source_id) % 4 <> 0 AND length(source_id) % 5 <> 1 AND length(source_id) % 3 <> 2),

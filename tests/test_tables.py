@@ -287,3 +287,28 @@ def test_landed_responses_and_assets(spark, tmp_path):
     (tmp_path / "a" / "c.png").write_bytes(b"img")
     (tmp_path / "a" / "c.txt").write_bytes(b"no")
     assert [r["length"] for r in S.read_assets(spark, str(tmp_path / "a")).collect()] == [3]
+
+
+def test_keyword_tables_like_the_keyword_list(spark):
+    from pagemill.operators import keywords as KW
+
+    bodies = ["The cat SAT on the mat", "", None, "catalogue of cats " * 30, "x", "été ÉTÉ cat", "aaa"]
+    df = spark.createDataFrame([("b", f"c{i}", i, b) for i, b in enumerate(bodies)], "book_id string, id string, index int, content string")
+    words = ["cat", "CAT", "the", "sat on", "été", "aa", "a", "missing", "cats ", " "]
+    table = spark.createDataFrame([(w,) for w in [*words, "", None, "cat"]], "keyword string")
+    want = sorted(map(tuple, L.search_many(df, words).select("book_id", "id", "index", "keyword", "snippet").collect()))
+    for block in (KW.AUTOMATON_BYTES, 24):  # one automaton, and several passes
+        assert sorted(map(tuple, KW.search_keywords(df, table, block_bytes=block).collect())) == want
+    assert KW.search_keywords(df, table.limit(0)).count() == 0
+
+
+def test_a_hundred_thousand_keywords_in_one_pass(spark):
+    from pagemill.operators import keywords as KW
+
+    table = spark.range(100_000).select(F.concat(F.lit("key"), F.col("id").cast("string"), F.lit("!")).alias("keyword"))
+    df = spark.range(2_000).select(F.lit("b").alias("book_id"), F.col("id").cast("string").alias("id"), F.col("id").cast("int").alias("index"),
+                                   F.concat(F.lit("text of key"), (F.col("id") * 37).cast("string"), F.lit("! and more")).alias("content"))
+    found = KW.search_keywords(df, table)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = found.collect()
+    assert {r.id: r.keyword for r in rows} == {str(i): f"key{37 * i}!" for i in range(2_000)} and len(rows) == 2_000
