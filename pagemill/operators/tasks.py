@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import fixed
-from pagemill.operators.ordered import neighbours, running_sums
+from pagemill.operators.ordered import RANGE, neighbours, running_sums, with_ranges
 from pagemill.session import cut_lineage
 
 
@@ -127,27 +130,101 @@ def throttle_progress(
     """Per task keep the first event, then one only ``interval`` after the last kept; a final event always passes.
 
     An event at least ``interval`` after the event before it is kept whatever came earlier, and so is a final one: both
-    start a new burst that can be thinned on its own. Bursts, not tasks, are spread over the cluster, and a burst is
-    read as a sorted stream, never gathered.
+    start a new burst that can be thinned on its own. A burst of any length is cut into ranges of the order. Each range says, for
+    every event that can be its first kept one, which event it keeps last; these few numbers are followed from range to range,
+    and then every range is thinned by itself from the event that was kept before it. So rows are never gathered per burst: of a
+    burst that is denser than its ranges, eight bytes an event are read as a stream in one task.
     """
     seen = neighbours(events, [task], [at, tie], width, {"_previous": at})
     pause = F.col("_previous").isNull() | (F.col(at) - F.col("_previous") >= interval)
-    # written once: the burst numbers below read it twice
+    # written once: the burst numbers below read it several times
     marked = cut_lineage(seen.withColumn("_start", pause | (F.col(done) >= F.col(total))).drop("_previous"))
-    bursts = running_sums(marked, [task], [at, tie], width, {"_burst": F.col("_start").cast("long")})
+    bursts = cut_lineage(running_sums(marked, [task], [at, tie], width, {"_burst": F.col("_start").cast("long")}))
+    keys = [task, "_burst"]
+    ranged = with_ranges(bursts, keys, [at, tie])
+    several = ranged.groupBy(*keys).agg((F.min(RANGE) < F.max(RANGE)).alias("_cut")).filter("_cut")
+    several = several.select(F.col(task).alias("_t"), F.col("_burst").alias("_b"))
+    place = [task, "_burst", RANGE]
+    long = ranged.join(several, F.col(task).eqNullSafe(F.col("_t")) & (F.col("_burst") == F.col("_b")), "left_semi")
+    moments = long.select(*place, F.col(at).cast("double").alias("_at")).repartition(*place).sortWithinPartitions(*place, "_at")
+    ddl = T.StructType([*[ranged.schema[c] for c in place], T.StructField("entry", T.BinaryType()), T.StructField("exit", T.BinaryType())])
+    steps = moments.mapInPandas(lambda frames: _range_steps(frames, place, interval), ddl)
+    ddl = T.StructType([*[ranged.schema[c] for c in place], T.StructField("_kept", T.DoubleType())])
+    followed = steps.repartition(*keys).sortWithinPartitions(*place).mapInPandas(lambda frames: _followed(frames, place, interval), ddl)
+    side = followed.select(F.col(task).alias("_t"), F.col("_burst").alias("_b"), F.col(RANGE).alias("_r"), "_kept")
+    met = F.col(task).eqNullSafe(F.col("_t")) & (F.col("_burst") == F.col("_b")) & (F.col(RANGE) == F.col("_r"))
+    ready = ranged.join(side, met, "left").drop("_t", "_b", "_r").repartition(*place).sortWithinPartitions(*place, at, tie)
     names, kinds = events.columns, events.schema
-    ordered = bursts.repartition(task, "_burst").sortWithinPartitions(task, "_burst", at, tie)
 
     def thin(batches):  # noqa: ANN001, ANN202
-        burst, kept = None, 0.0
+        group, kept = None, None
         for batch in batches:
             keep = []
-            for t, b, moment, start in zip(batch[task], batch["_burst"], batch[at], batch["_start"]):
-                ok = start or (t, b) != burst or moment - kept >= interval
+            for *here, moment, start, before in zip(*[batch[c] for c in place], batch[at], batch["_start"], batch["_kept"]):
+                if here != group:
+                    group, kept = here, None if pd.isna(before) else before
+                ok = bool(start) or kept is None or moment - kept >= interval
                 if ok:
                     kept = moment
-                burst = (t, b)
                 keep.append(ok)
             yield batch.loc[keep, names]
 
-    return ordered.mapInPandas(thin, T.StructType(kinds.fields))
+    return ready.mapInPandas(thin, T.StructType(kinds.fields))
+
+
+def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of a stream that is sorted by ``keys``; a group is at most one range of the order."""
+    held = None
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        new = (frame[keys] != frame[keys].shift()) & ~(frame[keys].isna() & frame[keys].shift().isna())
+        starts = np.flatnonzero(np.r_[True, new.any(axis=1).to_numpy()[1:]])
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            yield frame.iloc[lo:hi]
+        held = frame.iloc[starts[-1] :]
+    if held is not None:
+        yield held
+
+
+def _range_steps(frames: Iterator[pd.DataFrame], place: list[str], interval: float) -> Iterator[pd.DataFrame]:
+    """One row per range: times of the events that may be kept first in it, and the time of the last one kept after each."""
+    for rows in _groups(frames, place):
+        moments = rows["_at"].to_numpy()
+        after = _first_after(moments, moments, interval)
+        last = np.arange(len(moments))
+        for k in range(len(moments) - 1, -1, -1):
+            if after[k] < len(moments):
+                last[k] = last[after[k]]
+        first = int(np.searchsorted(moments, moments[0] + interval, "right")) + 1  # entries, and the first event past them
+        row = {c: [rows[c].iloc[0]] for c in place}
+        yield pd.DataFrame(row | {"entry": [moments[:first].tobytes()], "exit": [moments[last[:first]].tobytes()]})
+
+
+def _first_after(moments: np.ndarray, kept: np.ndarray, interval: float) -> np.ndarray:
+    """Place of the first moment m with m - kept >= interval, by that very comparison."""
+    at = np.searchsorted(moments, kept + interval, "left")
+    while True:  # the sum may be rounded to either side of the difference
+        back = (at > 0) & (moments[np.maximum(at, 1) - 1] - kept >= interval)
+        on = (at < len(moments)) & (moments[np.minimum(at, len(moments) - 1)] - kept < interval)
+        if not (back.any() or on.any()):
+            return at
+        at = np.where(back, at - 1, np.where(on, at + 1, at))
+
+
+def _followed(frames: Iterator[pd.DataFrame], place: list[str], interval: float) -> Iterator[pd.DataFrame]:
+    """For every range of a burst, in order, the time of the event kept last before it (none before the first range)."""
+    burst, kept = None, None
+    for frame in frames:
+        before = []
+        for *here, _, entry, leave in zip(*[frame[c] for c in place], frame["entry"], frame["exit"]):
+            entries, exits = np.frombuffer(entry), np.frombuffer(leave)
+            here = [None if pd.isna(h) else h for h in here]
+            if here != burst:
+                burst, kept = here, None
+            before.append(kept)
+            at = 0 if kept is None else int(_first_after(entries, np.array([kept]), interval)[0])
+            if at < len(entries):
+                kept = exits[at]
+        yield frame[place].assign(_kept=pd.Series(before, dtype="float64", index=frame.index))
