@@ -27,7 +27,10 @@ PER_RANGE = 16
 def with_ranges(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None = None, ranges: int | None = None
 ) -> DataFrame:
-    """Add the range number: rising with the order inside each key. ``ranges`` defaults to four per shuffle partition."""
+    """Add the range number: rising with the order inside each key. ``ranges`` defaults to four per shuffle partition. Rows that
+    have range numbers already keep them, also through the functions below, so several passes can share one cut."""
+    if RANGE in df.columns:
+        return df
     if width is not None:
         first = F.floor(F.col(order[0]).cast("double") / F.lit(float(width))).cast("long")
         return df.withColumn(RANGE, F.coalesce(first, F.lit(-(1 << 62))))
@@ -85,6 +88,10 @@ def _local(keys: Sequence[str], order: Sequence[str | Column]):  # noqa: ANN202
     return Window.partitionBy(*keys, RANGE).orderBy(*order)
 
 
+def _added(df: DataFrame) -> list[str]:
+    return [] if RANGE in df.columns else [RANGE]
+
+
 def running_sums(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None, sums: dict[str, Column]
 ) -> DataFrame:
@@ -97,7 +104,7 @@ def running_sums(
     local = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     joined = rejoin(ranged, offsets, keys)
     return joined.withColumns({n: F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(local) for n in sums}).drop(
-        RANGE, *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums]
+        *_added(df), *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums]
     )
 
 
@@ -140,5 +147,5 @@ def neighbours(
                 for n, c in previous.items()
             }
         )
-        .drop(RANGE, "_carry")
+        .drop(*_added(df), "_carry")
     )

@@ -135,13 +135,13 @@ def throttle_progress(
     and then every range is thinned by itself from the event that was kept before it. So rows are never gathered per burst: of a
     burst that is denser than its ranges, eight bytes an event are read as a stream in one task.
     """
-    seen = neighbours(events, [task], [at, tie], width, {"_previous": at})
+    # one cut into ranges serves all passes; both tables are written because several of them read them
+    placed = cut_lineage(with_ranges(events, [task], [at, tie], width))
+    seen = neighbours(placed, [task], [at, tie], width, {"_previous": at})
     pause = F.col("_previous").isNull() | (F.col(at) - F.col("_previous") >= interval)
-    # written once: the burst numbers below read it several times
-    marked = cut_lineage(seen.withColumn("_start", pause | (F.col(done) >= F.col(total))).drop("_previous"))
-    bursts = cut_lineage(running_sums(marked, [task], [at, tie], width, {"_burst": F.col("_start").cast("long")}))
+    marked = seen.withColumn("_start", pause | (F.col(done) >= F.col(total))).drop("_previous")
+    ranged = cut_lineage(running_sums(marked, [task], [at, tie], width, {"_burst": F.col("_start").cast("long")}))
     keys = [task, "_burst"]
-    ranged = with_ranges(bursts, keys, [at, tie])
     several = ranged.groupBy(*keys).agg((F.min(RANGE) < F.max(RANGE)).alias("_cut")).filter("_cut")
     several = several.select(F.col(task).alias("_t"), F.col("_burst").alias("_b"))
     place = [task, "_burst", RANGE]
