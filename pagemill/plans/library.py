@@ -9,9 +9,11 @@ from pagemill.operators import keywords as KW
 from pagemill.operators import library as L
 from pagemill.operators import merge as M
 from pagemill.operators import ordered as O
+from pagemill.operators import signatures as SG
 from pagemill.plans import sqltext as S
 from pagemill.plans import views as W
 from pagemill.plans.registry import Tables, query
+from pagemill.session import written
 
 CB = f"WITH ch AS ({W.CHAPTERS}), bk AS ({W.BOOKS})"
 
@@ -47,6 +49,8 @@ def list_summaries(t: Tables):  # noqa: ANN201
     return L.list_summaries(W.chapters(t))
 
 
+#: A sequence of words that few chapters hold.
+RARE = "ing and the"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -68,6 +72,17 @@ def search_many(t: Tables):  # noqa: ANN201
     return L.search_many(W.chapters(t), list(WORDS)).withColumn("cut", F.length("snippet") > 0).drop("snippet")
 
 
+@query("search_indexed", f"""{CB} SELECT book_id, id, "index", length(content) AS chars FROM ch WHERE contains({_LOW.format('content')}, '{RARE}')""")
+def search_indexed(t: Tables):  # noqa: ANN201
+    """Chapters stored in files by book, with trigram signatures beside them; the search opens the files that can hold the word."""
+    spark = t._spark  # noqa: SLF001
+    stored = written(W.chapters(t).repartition(16, "book_id"), "chapters")
+    path = stored.inputFiles()[0].rsplit("/", 1)[0]
+    signatures = written(SG.file_signatures(spark, path), "signatures")
+    hits = SG.scan_indexed(spark, path, signatures, RARE)
+    return hits.select("book_id", "id", "index", F.length("content").cast("long").alias("chars"))
+
+
 @query("search_keywords", f"""{CB}, k AS (SELECT DISTINCT w AS keyword FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 3)
   SELECT ch.book_id, ch.id, ch."index", k.keyword, length(ch.content) > 0 AS cut FROM ch JOIN k ON contains({_LOW.format('ch.content')}, {_LOW.format('k.keyword')})""")
 def search_keywords(t: Tables):  # noqa: ANN201
