@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from pagemill import fixed
@@ -9,8 +11,10 @@ from pagemill.operators import export as X
 from pagemill.plans import sqltext as S
 from pagemill.plans import views as W
 from pagemill.plans.registry import Tables, query
-from pagemill.sources.tables import as_json
+from pagemill.session import scratch_folder
+from pagemill.sources.tables import as_json, read_packed, write_packed
 
+_names = itertools.count()
 CB = f"WITH ch AS ({W.CHAPTERS}), bk AS ({W.BOOKS})"
 LF = "chr(10)"
 RULE = f"{LF} || {LF} || repeat('=', 40) || {LF} || {LF}"
@@ -31,6 +35,18 @@ def txt(t: Tables):  # noqa: ANN201
     return X.export_txt(W.books(t), W.chapters(t))
 
 
+@query("packed_export", f"""{CB}, e AS (SELECT * FROM (WITH """ + _ends(f"""
+  SELECT id AS book_id, 'book.txt' AS part, -1 AS ord, title || CASE WHEN author <> '' THEN {LF} || '{fixed.AUTHOR_LABEL}' || author ELSE '' END
+         || CASE WHEN intro <> '' THEN {LF} || {LF} || intro ELSE '' END || {RULE} AS content FROM bk
+  UNION ALL SELECT book_id, 'book.txt', "index", title || {LF} || {LF} || content || {RULE} FROM ch""") + """))
+  SELECT book_id, part, ord, strlen(content) AS bytes, md5(content) AS digest FROM e""")
+def packed(t: Tables):  # noqa: ANN201
+    """The text export written in a few files with an index, and read back through the index."""
+    path = f"{scratch_folder(t._spark).rstrip('/')}/packed-{next(_names)}"  # noqa: SLF001
+    index = write_packed(X.export_txt(W.books(t), W.chapters(t)), path, tasks=6, file_bytes=100_000)
+    return read_packed(index, path).select("book_id", "part", "ord", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+
+
 @query("export_markdown", f"""{CB}, n AS (SELECT *, {S.normalize("CASE WHEN \"index\" = 2 THEN '' ELSE content END")} AS body FROM ch), """ + _ends(f"""
   SELECT id AS book_id, 'book.md' AS part, -1 AS ord, '# ' || title || {LF} || CASE WHEN author <> '' THEN {LF} || '- {fixed.AUTHOR_LABEL}' || author ELSE '' END
          || {LF} || '- {fixed.SOURCE_LABEL}' || source_id || CASE WHEN intro <> '' THEN {LF} || {LF} || '> ' || intro ELSE '' END || {LF} AS content FROM bk

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -312,3 +313,19 @@ def test_a_hundred_thousand_keywords_in_one_pass(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     rows = found.collect()
     assert {r.id: r.keyword for r in rows} == {str(i): f"key{37 * i}!" for i in range(2_000)} and len(rows) == 2_000
+
+
+def test_packed_exports_are_few_files(spark, tmp_path):
+    from pagemill.sources.tables import read_packed, write_packed
+
+    rows = [(f"b{i % 40}", f"p{i % 2}", i, ("é\n" * (i % 7)) if i % 11 else None) for i in range(600)]
+    pieces = spark.createDataFrame(rows, "book_id string, part string, ord int, content string").repartition(5)
+    path = str(tmp_path / "packed")
+    index = write_packed(pieces, f"file://{path}", tasks=3, file_bytes=1_000)
+    files = sorted(f for f in os.listdir(path) if f.endswith(".txt"))
+    assert len(files) <= 12 and not [f for f in os.listdir(path) if f.startswith("_part")]
+    assert sorted(map(tuple, read_packed(index, f"file://{path}").collect())) == sorted((b, p, o, c or "") for b, p, o, c in rows)
+    one = read_packed(index.filter("book_id = 'b7'"), f"file://{path}")
+    assert {(r.part, r.ord) for r in one.collect()} == {(p, o) for b, p, o, _ in rows if b == "b7"}
+    text = "".join(open(f"{path}/{f}", encoding="utf-8", newline="").read() for f in files)
+    assert text == "".join(c or "" for _, _, _, c in sorted(rows, key=lambda r: r[:3]))
