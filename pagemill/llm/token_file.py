@@ -140,12 +140,17 @@ WRITTEN = "part int, seq int, path string, n_docs long, n_tokens long"
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode whole texts in ascending ``doc_id`` order into files of about ``file_tokens`` tokens; one row per file.
 
-    The order is a range partitioning, so a hot id never gathers more than its own rows. Null ids come first, null texts
-    count as empty, equal ids follow the order of their texts. A file never holds part of a document.
+    The order is a range partitioning by id, a hash of the text and the row, so rows that share an id, even whole copies, are cut
+    into ranges like any others. Null ids come first, null texts count as empty, equal ids follow that hash. A file never holds
+    part of a document.
     """
     bounded(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    place = ("doc_id", "_hash", "_row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(
+        {"_hash": F.xxhash64(F.coalesce("text", F.lit(""))), "_row": F.monotonically_increasing_id()}
+    )
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -69,6 +69,25 @@ def test_token_file_edges(spark, docs):
     assert token_file.read_tokens(empty).count() == 0
 
 
+def test_token_file_cuts_a_hot_id(spark, docs):
+    """Two thirds of all rows under one id, half of them whole copies: no partition has much more than its share."""
+    rows = [(i, f"text {i}") for i in range(1000)] + [(7, "the same text")] * 1000 + [(7, f"other text {i}") for i in range(1000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few bytes would be put into one task
+    try:
+        files = token_file.write_tokens(docs(rows).repartition(4), public_file("word_bpe_49k.json"), shared.new_folder(spark, "t"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r.n_docs for r in files.collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 1500 and len(sizes) >= 3
+    got = [tuple(r) for r in token_file.read_tokens(files).orderBy("start").collect()]
+    assert [r[0] for r in got] == sorted(i for i, _ in rows)
+    assert [r[1] for r in got] == np.cumsum([0, *[r[2] for r in got]])[:-1].tolist()
+    tokenizer = Tokenizer.from_file(public_file("word_bpe_49k.json"))
+    coded = tokenizer.encode_batch([t for _, t in rows], add_special_tokens=False)
+    want = [zlib.crc32(np.array([*c.ids, 2], "<u4").tobytes()) for c in coded]
+    assert sorted(r[3] for r in got) == sorted(want)
+
+
 def _valid(rows, want, capacity=1024):
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
     bins: dict[int, list] = {}
