@@ -22,10 +22,11 @@ _names = itertools.count()
 
 
 def streamed(t: Tables, table: str) -> DataFrame:
-    """A given table as a file stream."""
+    """A given table as a file stream, be it one file or a folder of files. The path is a pattern for one name: a plain path would
+    become the stream's base path, which must be a folder."""
     spark, folder = t._spark, t._folder  # noqa: SLF001
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
