@@ -35,14 +35,15 @@ def purge_expired(cache: DataFrame, now: Column) -> DataFrame:
     return cache.filter(F.col("expires_at") > now)
 
 
-def touch_access(cache: DataFrame, reads: DataFrame) -> DataFrame:
+def touch_access(cache: DataFrame, reads: DataFrame, by: str = "key") -> DataFrame:
     """Fold a read log (key, read_at) in: reads are reduced to the last per key first, and the access time moves only
-    when the known one is at least an hour old. Reads of expired rows do not count."""
-    last = reads.groupBy("key").agg(F.max("read_at").alias("_read"))
+    when the known one is at least an hour old. Reads of expired rows do not count. ``by`` names the column that tells
+    entries apart, where several may share a key."""
+    last = reads.groupBy(by).agg(F.max("read_at").alias("_read"))
     stale = F.col("_read") >= F.col("accessed_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(fixed.ACCESS_REFRESH_SECONDS))
     valid = F.col("_read") < F.col("expires_at")
     moved = F.when(stale & valid, F.col("_read")).otherwise(F.col("accessed_at"))
-    return cache.join(last, "key", "left").withColumn("accessed_at", moved).drop("_read")
+    return cache.join(last, by, "left").withColumn("accessed_at", moved).drop("_read")
 
 
 def invalidate(cache: DataFrame, source_id: str | None = None, url: str | None = None) -> DataFrame:
