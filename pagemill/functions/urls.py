@@ -92,12 +92,12 @@ def normalize_url(
         if params is not None:
             extra = F.transform(F.map_entries(params), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
             pairs = F.concat(pairs, F.coalesce(extra, F.array().cast("array<struct<k:string,v:string>>")))
-        text = _encode_pairs(F.array_sort(F.filter(pairs, lambda p: ~tracked(p))))
+        text = _encode_pairs(F.sort_array(F.filter(pairs, lambda p: ~tracked(p))))
         return F.concat(
             F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
             F.when(F.length(authority) > 2, authority).otherwise(""),
             path,
-            F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""),
+            let(text, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")),
         )
 
     text = F.regexp_replace(strip(url), r"[\t\r\n]", "")

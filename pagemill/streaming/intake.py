@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,36 +24,52 @@ SNAPSHOT_COLUMNS = (
 BUCKETS = 64
 
 
+#: Groups of keys in ``dedup_requests``; a stream keeps the number it began with.
+REQUEST_BUCKETS = 4096
+
+
 def dedup_requests(
-    requests: DataFrame, ttl_seconds: int = fixed.CACHE_TTL_SECONDS, late: str = "10 minutes", at: str = "requested_at"
+    requests: DataFrame, ttl_seconds: int = fixed.CACHE_TTL_SECONDS, late: str = "10 minutes", at: str = "requested_at",
+    buckets: int = REQUEST_BUCKETS,
 ) -> DataFrame:
     """Requests that must be fetched: the first of its key, then the first after each time to live has run out.
 
     Built-in deduplication may also swallow a repeat that comes later than the time to live, so the expiry is kept as
-    state: one number per key, dropped by an event-time timer.
+    state: one number per key. Keys are grouped in hash buckets, because a call costs milliseconds however few rows it has.
+    Expiries that the watermark has passed are dropped when their bucket is met again, the whole bucket by an event-time timer
+    once all have run out. Requests without a time are dropped.
     """
     keyed = requests.withColumn("request_key", request_key("source_id", "method", "url"))
     names, ttl = keyed.columns, ttl_seconds * 1_000_000
 
-    def serve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def serve(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        expires = state.get[0] if state.exists else -1
-        rows = pd.concat(frames).sort_values(at)
-        fetch = []
-        for moment in rows[at]:
-            micros = pd.Timestamp(moment).value // 1000
-            fetch.append(micros >= expires)
-            if fetch[-1]:
-                expires = micros + ttl
-        state.update((expires,))
-        state.setTimeoutTimestamp(max(expires // 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[fetch, names]
+        expires = dict(zip(*state.get)) if state.exists else {}
+        rows = pd.concat(frames)
+        codes, keys = pd.factorize(rows["request_key"], use_na_sentinel=False)
+        micros = rows["_micros"].to_numpy()
+        order = np.lexsort((micros, codes))
+        times, fetch, start = micros[order].tolist(), [], 0
+        for key, end in zip(keys, np.cumsum(np.bincount(codes)).tolist()):
+            place = bisect_left(times, expires[key], start, end) if key in expires else start
+            while place < end:
+                fetch.append(place)
+                expires[key] = times[place] + ttl
+                place = bisect_left(times, expires[key], place + 1, end)
+            start = end
+        passed = state.getCurrentWatermarkMs()
+        kept = {k: e for k, e in expires.items() if e // 1000 >= passed}
+        state.update((list(kept), list(kept.values())))
+        state.setTimeoutTimestamp(max(max(kept.values(), default=0) // 1000, passed + 1))
+        yield rows.iloc[order[fetch]][names]
 
     return (
-        keyed.withWatermark(at, late).groupBy("request_key")
-        .applyInPandasWithState(serve, keyed.schema, "expires bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        keyed.filter(F.col(at).isNotNull()).withWatermark(at, late)
+        .withColumns({"_micros": F.unix_micros(at), "_bucket": F.pmod(F.xxhash64("request_key"), F.lit(buckets)).cast("int")})
+        .groupBy("_bucket")
+        .applyInPandasWithState(serve, keyed.schema, "keys array<string>, expires array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 

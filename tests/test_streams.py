@@ -102,6 +102,30 @@ def test_requests_repeat_after_their_time_to_live(spark, tmp_path):
     assert sum("/x" in r["url"] for r in out.collect()) == 2
 
 
+def test_requests_share_states_and_agree_with_the_rule(spark, tmp_path):
+    import random
+
+    draw, ttl, last, want = random.Random(3), 500, {}, []
+    feed = Feed(spark, tmp_path, "source_id string, method string, url string, requested_at timestamp")
+    for batch in range(3):
+        asked = sorted((batch * 2000 + draw.randrange(2000), f"https://a/{draw.randrange(300)}") for _ in range(1500))
+        for sec, url in asked:
+            if url not in last or sec >= last[url] + ttl:
+                last[url] = sec
+                want.append((url, sec))
+        df = spark.createDataFrame([("s", "GET", u, sec) for sec, u in asked] + [("s", "GET", "https://a/0", None)], "source_id string, method string, url string, sec long")
+        feed.land(df.select("source_id", "method", "url", F.timestamp_seconds("sec").alias("requested_at")))
+    out = I.dedup_requests(feed.stream(), ttl, "1 hour", buckets=8).select("url", F.unix_timestamp("requested_at").alias("sec"))
+    run = (
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check"))
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["url"], r["sec"]) for r in got) == sorted(want)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) == 8
+
+
 LANDED = "book_id string, source_chapter_id string, title string, url string, index bigint, content string"
 
 
