@@ -14,7 +14,7 @@ from pagemill.plans import crawl, quality
 from pagemill.plans import sqltext as S
 from pagemill.plans import views as W
 from pagemill.plans.registry import Tables, query
-from pagemill.session import scratch_folder
+from pagemill.session import new_folder, scratch_folder
 from pagemill.streaming import intake as I
 from pagemill.streaming import tasks as K
 
@@ -189,7 +189,7 @@ _INTAKE = f"""WITH ch AS ({W.CHAPTERS}),
 def _intake(t: Tables) -> tuple[I.ChapterTable, str]:
     """Three batches: all chapters; all again, some changed and some empty; the same once more. The table and its rejects."""
     spark = t._spark  # noqa: SLF001
-    table = I.ChapterTable(spark, f"{scratch_folder(spark)}/intake-{next(_names)}", buckets=8)
+    table = I.ChapterTable(spark, new_folder(spark, "intake"), buckets=8)
     rejects = f"{table.root}/rejects"
     policy = ContentPolicy(min_length=0, max_length=10**9, min_script_ratio=0.0, max_repeat_line_ratio=1.0, script=r"\p{L}")
     step = I.intake_batch(table, policy, lambda bad, n: bad.withColumn("batch", F.lit(n).cast("long")).write.mode("append").parquet(rejects))
