@@ -151,7 +151,7 @@ class ChapterTable:
 
     def current(self, buckets: Iterable[int] | None = None) -> DataFrame | None:
         """All rows, or those of some buckets (other folders are not listed as input)."""
-        path, system = self._path(f"{self.path}/bucket=*")
+        path, system = self._path(f"{self.path}/bucket=*/*.parquet")
         if not system.globStatus(path):
             return None
         rows = self.spark.read.parquet(self.path)
@@ -163,6 +163,10 @@ class ChapterTable:
         newest = None if rows is None else rows.agg(F.max("batch")).first()[0]
         return -1 if newest is None else newest
 
+    def begin(self, rows: DataFrame) -> None:
+        """An empty table with the columns of ``rows``, for the time until a chapter is accepted."""
+        rows.select(*SNAPSHOT_COLUMNS).drop("bucket").limit(0).write.mode("overwrite").parquet(f"{self.path}/bucket=0")
+
     def replace(self, rows: DataFrame, touched: int) -> None:
         """Put ``rows`` in the place of the buckets they belong to; ``touched``: how many there are."""
         placed = rows.select(*SNAPSHOT_COLUMNS).repartition(max(1, touched), "bucket").sortWithinPartitions("bucket", "book_id", "index")
@@ -198,6 +202,8 @@ def intake_batch(
         if touched:
             known = good.limit(0) if current is None else current.filter(F.col("bucket").isin(*touched))
             table.replace(upsert_chapters(known, fresh), len(touched))
+        elif table.current() is None:
+            table.begin(good)
         table._remove(table.cleaned)  # noqa: SLF001
 
     return apply

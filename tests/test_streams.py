@@ -164,6 +164,16 @@ def test_intake_is_incremental_and_idempotent(spark, tmp_path):
     assert store.current().count() == 3 and _files(store) == files and store.last_batch() == 3
 
 
+def test_a_table_without_an_accepted_chapter_is_empty(spark, tmp_path):
+    store, seen = I.ChapterTable(spark, str(tmp_path / "store"), 4), []
+    land = _landing(spark, store, seen=seen)
+    land(0, ("1", "one", "https://a/1", 0, " "))
+    assert seen == ["empty"] and store.current().count() == 0 and store.last_batch() == -1
+    land(1)
+    land(2, *[(str(i), "t", f"https://a/{i}", i, f"text {i}") for i in range(20)])
+    assert store.current().count() == 20 and store.last_batch() == 2
+
+
 def test_only_changed_buckets_are_rewritten(spark, tmp_path):
     store = I.ChapterTable(spark, str(tmp_path / "store"), 16)
     land = _landing(spark, store)
