@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import functions as F
 
 from pagemill import fixed
@@ -11,10 +9,9 @@ from pagemill.operators import export as X
 from pagemill.plans import sqltext as S
 from pagemill.plans import views as W
 from pagemill.plans.registry import Tables, query
-from pagemill.session import scratch_folder
+from pagemill.session import new_folder
 from pagemill.sources.tables import as_json, read_packed, write_packed
 
-_names = itertools.count()
 CB = f"WITH ch AS ({W.CHAPTERS}), bk AS ({W.BOOKS})"
 LF = "chr(10)"
 RULE = f"{LF} || {LF} || repeat('=', 40) || {LF} || {LF}"
@@ -42,7 +39,7 @@ def txt(t: Tables):  # noqa: ANN201
   SELECT book_id, part, ord, strlen(content) AS bytes, md5(content) AS digest FROM e""")
 def packed(t: Tables):  # noqa: ANN201
     """The text export written in a few files with an index, and read back through the index."""
-    path = f"{scratch_folder(t._spark).rstrip('/')}/packed-{next(_names)}"  # noqa: SLF001
+    path = new_folder(t._spark, "packed")  # noqa: SLF001
     index = write_packed(X.export_txt(W.books(t), W.chapters(t)), path, tasks=6, file_bytes=100_000)
     return read_packed(index, path).select("book_id", "part", "ord", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
 

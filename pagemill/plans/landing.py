@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
-
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
 from pagemill.plans.registry import Tables, query
-from pagemill.session import scratch_folder
+from pagemill.session import new_folder
 from pagemill.sources import tables as R
 
-_names = itertools.count()
-
 
 def _folder(t: Tables, name: str) -> str:
-    return f"{scratch_folder(t._spark).rstrip('/')}/{name}-{next(_names)}"  # noqa: SLF001
+    return new_folder(t._spark, name)  # noqa: SLF001
 
 
 @query("read_responses", """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +12,10 @@ from pagemill.plans import crawl, quality
 from pagemill.plans import sqltext as S
 from pagemill.plans import views as W
 from pagemill.plans.registry import Tables, query
-from pagemill.session import new_folder, scratch_folder
+from pagemill.session import new_folder
 from pagemill.streaming import intake as I
 from pagemill.streaming import tasks as K
 
-_names = itertools.count()
-
 
 def streamed(t: Tables, table: str) -> DataFrame:
     """A given table as a file stream, be it one file or a folder of files. The path is a pattern for one name: a plain path would
@@ -32,7 +28,7 @@ def streamed(t: Tables, table: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that has landed and read its sink back from the shared folder."""
     spark: SparkSession = stream.sparkSession
-    root = f"{scratch_folder(spark)}/stream-{next(_names)}"
+    root = new_folder(spark, "stream")
     latest = f"{root}/out"
 
     def replace(batch: DataFrame, number: int) -> None:
@@ -165,7 +161,7 @@ def watch(t: Tables):  # noqa: ANN201
     record = F.to_json(F.struct(
         F.lit("task").alias("event"), "event_id", F.col("user_id").cast("string").alias("task_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at")))
     feed = streamed(t, "events").select(F.concat(F.lit("data: "), record).alias("value"))
-    root = f"{scratch_folder(t._spark)}/watch-{next(_names)}"  # noqa: SLF001
+    root = new_folder(t._spark, "watch")  # noqa: SLF001
     events = K.task_event_stream(feed, "7").select("task_id", "event_id", "status", "at")
     K.watch_task(events, lambda rows, n: rows.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", available_now=True)
     seen = t._spark.read.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")  # noqa: SLF001
