@@ -80,7 +80,8 @@ JSON_STEPS = r"^\$(?:\.[^.\[\]*?@() ]+|\[\d+\]|\[\*\]|\['[^'\]]+'\])*$"
 
 @F.arrow_udf(T.StringType())
 def java_pattern(patterns: pa.Array) -> pa.Array:
-    """The pattern in Java's spelling, or null if it is no pattern or means something else there. Runs over rules, not pages."""
+    """The pattern in Java's spelling, or null if it is no pattern or means something else there. Lines end at ``\\n`` alone, as in
+    Python. Runs over rules, not pages."""
 
     def one(pattern: str | None) -> str | None:
         if pattern is None:
@@ -94,6 +95,8 @@ def java_pattern(patterns: pa.Array) -> pa.Array:
         if re.search(r"\(\?(?:\(|#|[a-zA-Z]*[aLu])|&&|\\Z", pattern):
             return None
         spelled = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern).replace("(?P<", "(?<").replace("{,", "{0,")
+        if re.search("[.^$]", pattern):
+            spelled = f"(?d){spelled}"
         return None if any(not n.isalnum() or not n.isascii() for n in names) else spelled
 
     return pa.array([one(p) for p in patterns.to_pylist()], pa.string())
